@@ -220,16 +220,16 @@ def roc_curve(cumulated: DataFrame, counts: DataFrame, labels_bound: int | None
 
     Points on a straight line are kept; the area is the same without them.
     """
-    totals = counts.groupBy("label").agg(F.sum("p").alias("P"), F.sum("n").alias("N")).where(
-        (F.col("P") > 0) & (F.col("N") > 0)
+    totals = counts.groupBy("label").agg(F.sum("p").alias("hits"), F.sum("n").alias("misses")).where(
+        (F.col("hits") > 0) & (F.col("misses") > 0)
     )
     if labels_bound is not None and labels_bound <= 10_000:
         totals = F.broadcast(totals)
     points = cumulated.join(totals, "label").select(
         "label",
         F.col("score").alias("threshold"),
-        (F.col("upto_n") / F.col("N")).alias("fpr"),
-        (F.col("upto_p") / F.col("P")).alias("tpr"),
+        (F.col("upto_n") / F.col("misses")).alias("fpr"),
+        (F.col("upto_p") / F.col("hits")).alias("tpr"),
     )
     origin = totals.select(
         "label", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
@@ -241,15 +241,15 @@ def curve_areas(cumulated: DataFrame) -> DataFrame:
     """``roc_auc`` and ``pr_auc`` per label; labels with one class only are left out."""
     tp, fp, p, n = (F.col(c).cast("double") for c in ("upto_p", "upto_n", "p", "n"))
     sums = cumulated.groupBy("label").agg(
-        F.sum("p").alias("P"),
-        F.sum("n").alias("N"),
+        F.sum("p").alias("hits"),
+        F.sum("n").alias("misses"),
         F.sum(n * (tp - p / 2)).alias("area"),
         F.sum(F.when(p > 0, p * tp / (tp + fp)).otherwise(0.0)).alias("gain"),
     )
-    return sums.where((F.col("P") > 0) & (F.col("N") > 0)).select(
+    return sums.where((F.col("hits") > 0) & (F.col("misses") > 0)).select(
         "label",
-        (F.col("area") / (F.col("P").cast("double") * F.col("N"))).alias("roc_auc"),
-        (F.col("gain") / F.col("P")).alias("pr_auc"),
+        (F.col("area") / (F.col("hits").cast("double") * F.col("misses"))).alias("roc_auc"),
+        (F.col("gain") / F.col("hits")).alias("pr_auc"),
     )
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from quillmill.functions.arrays import finite, let, multiset_overlap, ngrams
 from quillmill.functions.text import normalize_answer, words_of
@@ -77,7 +78,7 @@ def rouge_words(text: Column) -> Column:
     return words_of(F.trim(clean))
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def _common_subsequence(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Longest common subsequence of two word lists, one machine word of cells at a time.
 

@@ -350,11 +350,11 @@ def best_fit_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     on_cpu = catalog.where("cpu_ok").agg(F.sort_array(F.collect_list(item)).alias("fit"))
     cpu_answer = on_cpu.where(F.size("fit") > 0).select(answers(F.col("fit")).alias("answer"))
     first = catalog.agg(F.min_by("id", "position").alias("id"))
-    reached = F.size(F.filter(levels.scalar(), lambda e: e["need"] <= F.col("capacity")))
-    fitted = requests.withColumn(
+    reached = F.size(F.filter("_levels", lambda e: e["need"] <= F.col("capacity")))
+    fitted = requests.withColumn("_levels", levels.scalar()).withColumn(
         "_fit",
         F.when(F.col("tier") == "cpu", cpu_answer.scalar()).otherwise(
-            F.get(levels.scalar(), F.greatest(reached, F.lit(0)) - 1)["answer"]
+            F.get("_levels", F.greatest(reached, F.lit(0)) - 1)["answer"]
         ),
     )
     big = (F.col("objective") == "performance") & F.col("tier").isin("mid_gpu", "high_gpu")
@@ -364,4 +364,4 @@ def best_fit_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         .otherwise(F.col("_fit.middle"))
     )
     choice = F.coalesce(F.nullif(F.col("override"), F.lit("")), picked, first.scalar())
-    return fitted.withColumn("choice", choice).drop("_fit")
+    return fitted.withColumn("choice", choice).drop("_fit", "_levels")
