@@ -47,29 +47,26 @@ def value_counts(items: Column) -> Column:
 
 
 def multiset_overlap(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection of two arrays.
+    """Size of the multiset intersection of two string arrays.
 
-    Both sides are tagged, sorted together and counted by runs, so equal values of the two
-    sides become neighbours; no value is searched for in the other array.
+    Both sides get a one-letter tag behind a separator, are sorted together as plain strings and
+    counted by runs, so equal values of the two sides become neighbours; no value is searched for
+    in the other array.
     """
     tagged = F.concat(
-        F.transform(left, lambda v: F.struct(v.alias("v"), F.lit(0).alias("side"))),
-        F.transform(right, lambda v: F.struct(v.alias("v"), F.lit(1).alias("side"))),
+        F.transform(left, lambda v: F.concat(v, F.lit("\x00a"))),
+        F.transform(right, lambda v: F.concat(v, F.lit("\x00b"))),
     )
 
     def matched(runs: Column) -> Column:
-        return F.aggregate(
-            F.transform(
-                runs,
-                lambda run, k: F.when(
-                    (run["value"]["side"] == 1)
-                    & (F.get(runs, k - 1)["value"]["v"] == run["value"]["v"]),
-                    F.least(run["n"], F.get(runs, k - 1)["n"]),
-                ).otherwise(0),
-            ),
-            F.lit(0),
-            lambda acc, n: acc + n,
-        )
+        def shared(run: Column, k: Column) -> Column:
+            twin = F.get(runs, k - 1)
+            is_twin = F.concat(F.rtrim(run["value"], F.lit("b")), F.lit("a")) == twin["value"]
+            return F.when(
+                F.endswith(run["value"], F.lit("\x00b")) & is_twin, F.least(run["n"], twin["n"])
+            ).otherwise(0)
+
+        return F.aggregate(F.transform(runs, shared), F.lit(0), lambda acc, n: acc + n)
 
     return let(value_counts(tagged), matched)
 

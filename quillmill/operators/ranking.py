@@ -99,20 +99,32 @@ def two_level_rank(
     )
 
 
+def _cuts_below(cuts: Column, value: Column, bits: int) -> Column:
+    """How many of ``2**bits - 1`` sorted cuts lie below ``value``, by bisection."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at),
+    )
+
+
 def running_counts(
     counts: DataFrame,
     keys: Sequence[str],
     score: str,
     values: Sequence[str],
     key_bound: int | None = None,
-    slices: int = 256,
+    slice_bits: int = 8,
 ) -> DataFrame:
     """Inclusive sums of ``values`` over descending ``score`` within ``keys``.
 
     ``counts`` holds one row per (keys, score). Quantile cuts of the distinct scores slice each
-    key evenly whatever their distribution; sums run inside slices and are shifted by the totals
-    of the slices above. ``key_bound`` is a proven bound on the number of distinct keys.
+    key evenly whatever their distribution; sums run inside ``2**slice_bits`` slices and are
+    shifted by the totals of the slices above. ``key_bound`` is a proven bound on the number of
+    distinct keys.
     """
+    slices = 2**slice_bits
     fractions = [i / slices for i in range(1, slices)]
     cuts = counts.groupBy(*keys).agg(
         F.percentile_approx(score, fractions, 10_000).alias("_cuts")
@@ -121,7 +133,7 @@ def running_counts(
     cuts = broadcast_if(cuts, None if key_bound is None else key_bound * 4)
     sliced = (
         counts.join(cuts, list(keys))
-        .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(score))))
+        .withColumn("_slice", F.coalesce(_cuts_below(F.col("_cuts"), F.col(score), slice_bits), F.lit(0)))
         .drop("_cuts")
     )
     groups = [*keys, "_slice"]

@@ -255,11 +255,11 @@ def unpivot_metrics(runs: DataFrame, ids: Sequence[str], metrics: Sequence[str])
 
     def display(value: Column, kind: str) -> Column:
         if kind == "percent":
-            text = F.format_string("%.2f%%", value * 100)
+            text = F.format_string("%.2f%%", F.bround(value * 100, 2))
         elif kind == "int":
             text = value.cast("long").cast("string")
         else:
-            text = F.format_string("%.4f", value)
+            text = F.format_string("%.4f", F.bround(value, 4))
         return F.when(value.isNull(), "—").otherwise(text)
 
     rows = F.array(

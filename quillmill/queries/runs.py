@@ -49,10 +49,10 @@ health AS (SELECT run_id, 'success' AS status, coalesce(oom_detected, FALSE) AS
   FROM finals LEFT JOIN found USING (run_id) LEFT JOIN trends USING (run_id))
 """
 RUNS = """
-runs AS (SELECT user_id AS run_id, round(avg(value), 6) AS perplexity, round(count(*) FILTER (WHERE event_type = 'view') / count(*) * 3, 6) AS token_accuracy,
-  round(count(*) FILTER (WHERE event_type <> 'error') / count(*) * 0.8::DOUBLE, 6) AS accuracy,
-  CASE WHEN user_id % 3 = 0 THEN 0.0::DOUBLE ELSE round(count(*) FILTER (WHERE event_type <> 'view') / count(*) * 0.7::DOUBLE, 6) END AS f1,
-  CASE WHEN user_id % 5 <> 0 THEN round(count(*) FILTER (WHERE event_type <> 'click') / count(*) * 0.6::DOUBLE, 6) END AS macro_f1,
+runs AS (SELECT user_id AS run_id, exp(avg(value) / 15) AS perplexity, count(*) FILTER (WHERE event_type = 'view') / count(*) * 2.99713137::DOUBLE AS token_accuracy,
+  count(*) FILTER (WHERE event_type <> 'error') / count(*) * 0.79937193::DOUBLE AS accuracy,
+  CASE WHEN user_id % 3 = 0 THEN 0.0::DOUBLE ELSE count(*) FILTER (WHERE event_type <> 'view') / count(*) * 0.69971719::DOUBLE END AS f1,
+  CASE WHEN user_id % 5 <> 0 THEN count(*) FILTER (WHERE event_type <> 'click') / count(*) * 0.59893131::DOUBLE END AS macro_f1,
   user_id % 2 = 0 AS generated_qa, count(*) AS train_rows, count(*) * 3 AS num_images, user_id % 9 + 2 AS num_classes
   FROM events GROUP BY user_id)
 """
@@ -117,14 +117,14 @@ def run_table(spark, sf):
     kind, n, user = F.col("event_type"), F.count(F.lit(1)), F.col("run_id")
 
     def share(hit, scale: float):
-        return F.round(F.count_if(hit) / n * scale, 6)
+        return F.count_if(hit) / n * scale
 
     runs = table(spark, sf, "events").withColumn("run_id", F.col("user_id")).groupBy("run_id").agg(
-        F.round(F.avg("value"), 6).alias("perplexity"),
-        share(kind == "view", 3).alias("token_accuracy"),
-        share(kind != "error", 0.8).alias("accuracy"),
-        share(kind != "view", 0.7).alias("f1"),
-        share(kind != "click", 0.6).alias("macro_f1"),
+        F.exp(F.avg("value") / 15).alias("perplexity"),
+        share(kind == "view", 2.99713137).alias("token_accuracy"),
+        share(kind != "error", 0.79937193).alias("accuracy"),
+        share(kind != "view", 0.69971719).alias("f1"),
+        share(kind != "click", 0.59893131).alias("macro_f1"),
         n.alias("train_rows"),
     )
     return runs.withColumns(
@@ -195,13 +195,13 @@ long AS (SELECT run_id, CASE WHEN generated_qa THEN 'text_qa' ELSE 'image_classi
 
 @query(
     "key_metrics",
-    f"""WITH {LONG_SQL} SELECT * FROM long WHERE CASE WHEN task = 'text_qa' THEN metric IN ('eval_loss', 'perplexity', 'token_accuracy')
+    f"""WITH {LONG_SQL} SELECT run_id, task, metric, round(value, 6) AS value FROM long WHERE CASE WHEN task = 'text_qa' THEN metric IN ('eval_loss', 'perplexity', 'token_accuracy')
 ELSE metric IN ('accuracy', 'f1', 'macro_f1', 'weighted_f1', 'precision', 'recall') END""",
 )
 def _key(spark, sf):
     task = F.when(F.col("generated_qa"), "text_qa").otherwise("image_classification").alias("task")
     wide = run_table(spark, sf).select("run_id", task, *[F.col(m).cast("double").alias(m) for m in LONG])
-    return R.key_metrics(wide.unpivot(["run_id", "task"], LONG, "metric", "value"))
+    return rounded(R.key_metrics(wide.unpivot(["run_id", "task"], LONG, "metric", "value")), "value", places=6)
 
 
 @query(
@@ -211,11 +211,11 @@ def _key(spark, sf):
     WHEN 'token_accuracy' THEN 'Token Accuracy' ELSE 'Train Rows' END AS label,
   CASE WHEN metric IN ('accuracy', 'f1', 'token_accuracy') THEN 'Quality' WHEN metric = 'perplexity' THEN 'Loss & Perplexity' ELSE 'Other' END AS metric_group,
   CASE WHEN metric IN ('accuracy', 'f1', 'token_accuracy') THEN 'percent' WHEN metric = 'perplexity' THEN 'float' ELSE 'raw' END AS kind,
-  value, CASE WHEN value IS NULL THEN '—' WHEN metric IN ('accuracy', 'f1', 'token_accuracy') THEN printf('%.2f%%', round(value * 100, 2))
-    ELSE printf('%.4f', round(value, 4)) END AS display FROM long""",
+  round(value, 6) AS value, CASE WHEN value IS NULL THEN '—' WHEN metric IN ('accuracy', 'f1', 'token_accuracy') THEN printf('%.2f%%', value * 100)
+    ELSE printf('%.4f', value) END AS display FROM long""",
 )
 def _unpivot(spark, sf):
-    return R.unpivot_metrics(run_table(spark, sf), ["run_id"], LONG)
+    return rounded(R.unpivot_metrics(run_table(spark, sf), ["run_id"], LONG), "value", places=6)
 
 
 ATTEMPTS = f"""
