@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.arrays import let, softmax
 from quillmill.functions.text import clip_text, render_template
+from quillmill.operators.ranking import slices_with_carry
 
 # Context limits and prompt texts.
 MAX_TURNS, MAX_CONTEXT, MAX_TURN = 6, 2000, 600
@@ -23,32 +24,6 @@ SYSTEM_PROMPT = (
 CHAT_TEMPLATE = "### Instruction:\n{system}\n\n{question}\n\n### Response:\n"
 
 
-def _carried_turns(said: DataFrame, conv: str, turns: int) -> DataFrame:
-    """The last ``turns`` earlier turns for each later slice of a long conversation.
-
-    Only conversations with more than one slice take part, and each slice gives at most
-    ``turns`` rows, pruned before the shuffle.
-    """
-    long_ones = said.where(F.col("_slice") > 0).select(conv).distinct()
-    newest = Window.partitionBy(conv, "_slice").orderBy(F.desc("turn"))
-    tails = (
-        said.join(long_ones, conv, "left_semi")
-        .withColumn("_back", F.row_number().over(newest))
-        .where(F.col("_back") <= turns)
-    )
-    in_order = Window.partitionBy(conv).orderBy("turn")
-    before = F.collect_list(F.struct("turn", "role", "said")).over(
-        in_order.rowsBetween(-turns, -1)
-    )
-    first_here = F.lag("_slice").over(in_order)
-    return (
-        tails.withColumns({"_before": before, "_last": first_here})
-        .where(F.col("_last").isNotNull() & (F.col("_last") != F.col("_slice")))
-        .select(conv, "_slice", F.inline("_before"))
-        .select(conv, "turn", "role", "said", "_slice", F.lit(True).alias("_carried"))
-    )
-
-
 def recent_turns(
     turns: DataFrame,
     conv: str = "conv_id",
@@ -64,21 +39,13 @@ def recent_turns(
 
     Only non-empty user and assistant turns count; each is clipped, the last ``max_turns`` are
     taken, and the oldest are dropped until the rest fits ``max_context``. Conversations are cut
-    into slices of ``width`` turn numbers, and every later slice receives the few turns it needs
-    from the ones before, so a conversation of any length is spread over many tasks.
+    into slices of ``width`` turn numbers that carry over the few turns they look back on, so a
+    conversation of any length is spread over many tasks.
     """
-    said = turns.where(
-        F.col(role).isin("user", "assistant") & (F.col(text) != "")
-    ).select(
-        F.col(conv),
-        F.col(turn).alias("turn"),
-        F.col(role).alias("role"),
-        F.col(text).alias("said"),
-        F.floor(F.col(turn) / width).alias("_slice"),
-    )
-    everything = said.withColumn("_carried", F.lit(False)).unionByName(
-        _carried_turns(said.withColumn("said", clip_text(F.col("said"), max_turn)), conv, max_turns)
+    said = turns.where(F.col(role).isin("user", "assistant") & (F.col(text) != "")).select(
+        conv, F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("said")
     )
+    everything = slices_with_carry(said, conv, "turn", max_turns, width)
     frame = Window.partitionBy(conv, "_slice").orderBy("turn").rowsBetween(-max_turns, -1)
     earlier = F.collect_list(
         F.struct(F.col("role"), clip_text(F.col("said"), max_turn).alias("content"))

@@ -18,6 +18,15 @@ def broadcast_if(df: DataFrame, proven_rows: int | None) -> DataFrame:
     return df
 
 
+def distinct_bound(df: DataFrame, *columns: str) -> int | None:
+    """The number of distinct values, measured, if it is small enough to broadcast; else None.
+
+    Reads only these columns; each task sends its distinct values.
+    """
+    found = df.select(*columns).distinct().limit(BROADCAST_ROWS + 1).count()
+    return found if found <= BROADCAST_ROWS else None
+
+
 def hash_key(ids: Sequence[str], seed: int) -> Column:
     """A repeatable pseudo-random sort key; md5 of text has one value in every engine."""
     return F.md5(F.concat_ws("\x01", *[F.col(c).cast("string") for c in ids], F.lit(str(seed))))
@@ -159,3 +168,38 @@ def running_counts(
             *[(F.col(f"_in_{v}") + F.col(f"_above_{v}")).alias(f"upto_{v}") for v in values],
         )
     )
+
+
+def slices_with_carry(
+    df: DataFrame, key: str, position: str, carry: int, width: int = 4096
+) -> DataFrame:
+    """Cut each key into slices of ``width`` positions for windows that look back ``carry`` rows.
+
+    Adds ``_slice`` and ``_carried``. Every slice after a key's first also receives, marked as
+    carried, the ``carry`` rows before it, so a window over (key, _slice) sees what a window over
+    the key would, and a key of any length is spread over many tasks. Only keys with more than
+    one slice cost anything: whether there are any, and whether their list may be broadcast, is
+    measured first from the key and position columns.
+    """
+    slice_of = F.floor(F.col(position) / width)
+    sliced = df.withColumns({"_slice": slice_of, "_carried": F.lit(False)})
+    long_keys = df.where(slice_of != 0).select(key)
+    known = distinct_bound(long_keys, key)
+    if known == 0:
+        return sliced
+    newest = Window.partitionBy(key, "_slice").orderBy(F.desc(position))
+    tails = (
+        sliced.join(broadcast_if(long_keys.distinct(), known), key, "left_semi")
+        .withColumn("_back", F.row_number().over(newest))
+        .where(F.col("_back") <= carry)
+    )
+    # At most ``carry`` rows per slice are left here.
+    in_order = Window.partitionBy(key).orderBy(position)
+    before = F.collect_list(F.struct(*df.columns)).over(in_order.rowsBetween(-carry, -1))
+    carried = (
+        tails.withColumns({"_before": before, "_last": F.lag("_slice").over(in_order)})
+        .where(F.col("_last") != F.col("_slice"))
+        .select("_slice", F.inline("_before"))
+        .withColumn("_carried", F.lit(True))
+    )
+    return sliced.unionByName(carried)

@@ -59,7 +59,10 @@ def log_signals(msg: Column) -> list[Column]:
 
 def extract_log_events(logs: DataFrame, run: str = "run_id", seq: str = "seq", msg: str = "msg") -> DataFrame:
     """Per run: OOM and NaN flags, their first messages, and the number of losses."""
-    signals = logs.select(run, seq, F.left(msg, F.lit(120)).alias("head"), *log_signals(F.col(msg)))
+    signals = logs.select(run, seq, msg, *log_signals(F.col(msg))).withColumn(
+        # Few lines carry a signal; the others bring no text into the aggregation.
+        "head", F.when(F.col("oom") | F.col("nan"), F.left(msg, F.lit(120)))
+    )
     return signals.groupBy(run).agg(
         F.bool_or("oom").alias("oom_detected"),
         F.bool_or("nan").alias("nan_loss_detected"),

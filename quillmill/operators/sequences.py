@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.arrays import let
 from quillmill.functions.text import render_template
-from quillmill.operators.ranking import broadcast_if, hash_key
+from quillmill.operators.ranking import broadcast_if, distinct_bound, hash_key
 
 # The fallback chat template and the label that is ignored in a loss.
 PROMPT_TEMPLATE = "### Instruction:\n{instruction}\n\n### Response:\n"
@@ -82,18 +82,21 @@ def pack_sequences(
     df: DataFrame,
     order_by: str,
     max_length: int = 512,
-    shards: int = 1,
+    shards: int | None = None,
     shard_key: Sequence[str] = (),
 ) -> DataFrame:
     """Concatenate token records into blocks of at most ``max_length`` tokens, next-fit.
 
     A block closes when the next record would overflow it; longer records are cut exactly at
     ``max_length``. Packing is sequential by nature, so the table is cut into ``shards`` by a hash
-    of the unique row key and each shard is packed on its own: one shard equals one global fold,
-    more shards give other neighbours but the same tokens. Rows stream through a shard in Arrow
+    of the unique row key (as many as shuffle partitions, unless given) and each shard is packed
+    on its own: one shard equals one global fold, more shards give other neighbours but the same
+    tokens. Rows stream through a shard in Arrow
     batches; only the open block is held, so a shard may have any size.
     """
     keys = list(shard_key) or [order_by]
+    if shards is None:
+        shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard = (F.conv(F.left(F.md5(F.concat_ws("\x01", *[F.col(c).cast("string") for c in keys])), F.lit(7)), 16, 10).cast("long") % shards).cast("int")
     ordered = (
         df.select(shard.alias("shard"), F.col(order_by).alias("_order"), *TOKEN_COLUMNS)
@@ -159,7 +162,13 @@ def label_index(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def _quota_cuts(
-    df: DataFrame, label: str, ids: Sequence[str], ratio: float, seed: int, digits: int
+    df: DataFrame,
+    label: str,
+    ids: Sequence[str],
+    ratio: float,
+    seed: int,
+    digits: int,
+    labels_bound: int | None,
 ) -> DataFrame:
     """Per label, the last hash key of its share of the evaluation rows.
 
@@ -194,7 +203,9 @@ def _quota_cuts(
         .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select("_label", "prefix", (F.col("quota") - F.col("upto") + F.col("n")).alias("need"))
     )
-    in_edge = key.withColumn("prefix", prefix).join(edges, ["_label", "prefix"])
+    in_edge = key.withColumn("prefix", prefix).join(
+        broadcast_if(edges, labels_bound), ["_label", "prefix"]
+    )
     order = Window.partitionBy("_label", "prefix").orderBy("h", *ids)
     return (
         in_edge.withColumn("rank", F.row_number().over(order))
@@ -216,13 +227,16 @@ def stratified_split(
     """Add ``split`` (train or test) with exact per-label shares of the test rows.
 
     Fewer than four rows: every row is in both. A label with a single row, or fewer test or train
-    rows than labels: a plain exact split. ``labels_bound`` is a proven bound on the number of labels.
+    rows than labels: a plain exact split. ``labels_bound`` is a proven bound on the number of
+    labels; without one it is measured, so that the table is joined without a shuffle.
     """
     from quillmill.operators.corpus import sample_n
     from quillmill.operators.ranking import at_or_below_cut, lowest_hash_cut
 
     if max_rows is not None:
         df = sample_n(df, max_rows, ids, seed)
+    if labels_bound is None:
+        labels_bound = distinct_bound(df, label)
     facts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
         F.coalesce(F.min("n"), F.lit(0)).alias("least"),
@@ -233,7 +247,7 @@ def stratified_split(
     plain = facts.select((F.col("least") < 2) | (test < labels) | (total - test < labels))
     tiny = facts.select(total < 4)
     plain_cut, _ = lowest_hash_cut(df, ids, lambda t: F.ceil(F.lit(ratio) * t), seed)
-    cuts = broadcast_if(_quota_cuts(df, label, ids, ratio, seed, digits), labels_bound)
+    cuts = broadcast_if(_quota_cuts(df, label, ids, ratio, seed, digits, labels_bound), labels_bound)
     own = F.struct(hash_key(ids, seed).alias("h"), *[F.col(c) for c in ids])
     chosen = F.when(plain.scalar(), at_or_below_cut(plain_cut, ids, seed)).otherwise(
         F.coalesce(own <= F.col("cut"), F.lit(False))

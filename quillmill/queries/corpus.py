@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.text import chunk_text, clean_text, keywords
 from quillmill.operators import corpus as C
+from quillmill.operators.ranking import slices_with_carry
 from quillmill.operators.sequences import label_index, stratified_split
 from quillmill.plans.prepare import prepare_text_dataset
 from quillmill.queries.registry import query, rounded, table, texts
@@ -334,28 +335,32 @@ def _turns(spark, sf):
 
 
 def chat_records(spark, sf):
-    """One JSON chat record per conversation, as chat datasets come; the lists are short here."""
-    turns = table(spark, sf, "conversations")
+    """JSON chat records, as chat datasets come, of at most 64 turns each."""
     listed = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     messages = F.transform(listed, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    return turns.groupBy("conv_id").agg(F.to_json(messages).alias("messages"))
+    part = F.expr("turn div 64").alias("part")
+    records = table(spark, sf, "conversations").groupBy("conv_id", part).agg(F.to_json(messages).alias("messages"))
+    return records.select((F.col("conv_id") * 1_000_000 + F.col("part")).alias("record"), "messages")
+
+
+RECORD_PAIRS = f"""{SAID.replace('conv_id', 'record').replace('FROM conversations',
+    'FROM (SELECT conv_id * 1000000 + turn // 64 AS record, turn, role, text FROM conversations)')},
+record_pairs AS (SELECT * FROM turn_pairs WHERE instruction IS NOT NULL AND output IS NOT NULL)"""
 
 
-@query("messages_to_pair", TURN_PAIRS)
+@query("messages_to_pair", f"WITH {RECORD_PAIRS} SELECT * FROM record_pairs")
 def _messages(spark, sf):
-    pair = C.messages_to_pair(F.col("messages"))
-    return chat_records(spark, sf).select("conv_id", F.explode(F.array_compact(F.array(pair))).alias("p")).select(
-        "conv_id", "p.instruction", "p.output"
-    )
+    pair = F.array_compact(F.array(C.messages_to_pair(F.col("messages"))))
+    paired = chat_records(spark, sf).select("record", F.explode(pair).alias("p"))
+    return paired.select("record", "p.instruction", "p.output")
 
 
 @query(
     "to_instruction_output",
-    f"""WITH {SAID} SELECT conv_id, 0 AS chunk, instruction, output, CAST(NULL AS VARCHAR) AS source
-FROM turn_pairs WHERE instruction IS NOT NULL AND output IS NOT NULL""",
+    f"WITH {RECORD_PAIRS} SELECT record, 0 AS chunk, instruction, output, CAST(NULL AS VARCHAR) AS source FROM record_pairs",
 )
 def _to_pairs(spark, sf):
-    pairs, _, _ = C.to_instruction_output(materialize(chat_records(spark, sf), "chats"), "conv_id")
+    pairs, _, _ = C.to_instruction_output(materialize(chat_records(spark, sf), "chats"), "record")
     return pairs
 
 
@@ -374,15 +379,18 @@ asked AS (SELECT conv_id, turn, {CLEAN_TEXT} AS q, {CLEAN.format('input_role')}
 FROM asked WHERE (q <> '' OR i <> '') AND a <> ''""",
 )
 def _columns(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nexts = table(spark, sf, "conversations").select(
+    """An answer with the question right before it; the role before that is the extra input."""
+    turns = table(spark, sf, "conversations")
+    seen = slices_with_carry(turns, "conv_id", "turn", 2)
+    w = Window.partitionBy("conv_id", "_slice").orderBy("turn")
+    asked = seen.select(
         "conv_id",
-        "turn",
+        F.lag("turn").over(w).alias("turn"),
+        F.lag("text").over(w).alias("question"),
+        F.lag("role").over(w).alias("asked_by"),
+        F.lag("role", 2).over(w).alias("input"),
+        F.col("text").alias("answer"),
         "role",
-        F.col("text").alias("question"),
-        F.lag("role").over(w).alias("input"),
-        F.lead("text").over(w).alias("answer"),
-        F.lead("role").over(w).alias("next_role"),
-    )
-    asked = nexts.where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
+        "_carried",
+    ).where("role = 'assistant' AND asked_by = 'user' AND NOT _carried")
     return C.columns_to_pair(asked, keep=["conv_id", "turn"])

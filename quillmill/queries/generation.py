@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.text import normalize_answer
 from quillmill.operators import generation as G
+from quillmill.operators.ranking import slices_with_carry
 from quillmill.operators.sequences import word_ids
 from quillmill.queries.registry import query, rounded, table
 
@@ -19,10 +20,10 @@ gens AS (SELECT conv_id * 1000 + turn AS id, prediction, reference FROM answers
 
 
 def generations(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    answers = table(spark, sf, "conversations").where(F.col("role") == "assistant")
-    paired = answers.withColumn("reference", F.lag("text").over(w)).where(F.col("reference").isNotNull())
-    return paired.select(
+    answers = table(spark, sf, "conversations").where(F.col("role") == "assistant").drop("role")
+    w = Window.partitionBy("conv_id", "_slice").orderBy("turn")
+    paired = slices_with_carry(answers, "conv_id", "turn", 1).withColumn("reference", F.lag("text").over(w))
+    return paired.where(F.col("reference").isNotNull() & ~F.col("_carried")).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("prediction"), "reference"
     )
 

@@ -61,12 +61,12 @@ def _jsonl(spark, sf):
 
 @query("read_json_documents", "SELECT conv_id, turn, role, text FROM conversations")
 def _json(spark, sf):
-    """One wrapped document per part of the table: ``{"data": [row, ...]}``."""
+    """One wrapped document per small part of the table: ``{"data": [row, ...]}``."""
     path = scratch_path(spark, "json")
     row = F.to_json(F.struct("conv_id", "turn", "role", "text"))
     wrapped = (
         turns(spark, sf)
-        .groupBy(F.expr("conv_id div 16").alias("part"))
+        .groupBy(F.expr("concat(conv_id div 16, '-', turn div 64)").alias("part"))
         .agg(F.concat(F.lit('{"data": ['), F.array_join(F.collect_list(row), ", "), F.lit("]}")).alias("value"))
     )
     wrapped.repartition("part").write.partitionBy("part").text(path)

@@ -222,7 +222,7 @@ def zip_texts(members: DataFrame) -> DataFrame:
     return _texts(members, F.concat_ws("!/", "archive", "member"))
 
 
-def _zip_rows(spark: SparkSession, members: DataFrame, path: str) -> DataFrame:
+def _zip_rows(members: DataFrame) -> DataFrame:
     """Archive members as a dataset: unpacked once to the shared folder, then read like one."""
     from quillmill.session import materialize
 
@@ -249,12 +249,14 @@ def _delimited_members(members: DataFrame, sep: str) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text in batch["text"]:
-                table = pd.read_csv(io.StringIO(text), sep=sep, dtype=str)
-                rows = table.apply(
-                    lambda r: {k: v for k, v in r.items() if isinstance(v, str)}, axis=1, result_type="reduce"
-                )
-                names = [list(table.columns)] * len(table)
-                yield pd.DataFrame({"names": names, "cells": list(rows) if len(table) else []})
+                for table in pd.read_csv(io.StringIO(text), sep=sep, dtype=str, chunksize=5_000):
+                    cells = [
+                        {k: v for k, v in row.items() if isinstance(v, str)}
+                        for row in table.to_dict("records")
+                    ]
+                    # The column names travel with the first row of each piece only.
+                    names = [list(table.columns)] + [[]] * (len(cells) - 1)
+                    yield pd.DataFrame({"names": names[: len(cells)], "cells": cells})
 
     parsed = members.select("text").mapInPandas(parse, "names array<string>, cells map<string,string>")
     names = [r[0] for r in parsed.select(F.explode("names")).distinct().orderBy("col").collect()]
@@ -326,7 +328,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return read_dataset_dir(spark, path)
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "zip":
-        return _zip_rows(spark, read_zip_members(spark, path), path)
+        return _zip_rows(read_zip_members(spark, path))
     if kind in DELIMITERS:
         return read_delimited(spark, path)
     if kind == "json":
