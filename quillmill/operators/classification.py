@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.functions.arrays import finite, sigmoid, softmax, sum_of
-from quillmill.operators.ranking import running_counts
+from quillmill.operators.ranking import distinct_bound, running_counts
+from quillmill.session import materialize
 
 # The scalar metrics kept for each task.
 SCALAR_METRICS = {
@@ -211,51 +212,57 @@ def score_counts(df: DataFrame, label: str, score: str, positive: Column) -> Dat
 
 
 def curve_counts(counts: DataFrame, labels_bound: int | None = None) -> DataFrame:
-    """Add true and false positives at each threshold, ``upto_p`` and ``upto_n``."""
-    return running_counts(counts, ["label"], "score", ["p", "n"], labels_bound)
+    """Add true and false positives at each threshold, ``upto_p`` and ``upto_n``.
+
+    The counts are written once: prefix sums pass over them three times, and what leads to them
+    (scoring, exploding, the first shuffle) must not run again. ``labels_bound`` is a proven
+    bound on the number of labels; without one it is measured on the written table.
+    """
+    written = materialize(counts, "score-counts")
+    if labels_bound is None:
+        labels_bound = distinct_bound(written, "label")
+    return running_counts(written, ["label"], "score", ["p", "n"], labels_bound)
 
 
-def roc_curve(cumulated: DataFrame, counts: DataFrame, labels_bound: int | None = None) -> DataFrame:
+def roc_curve(cumulated: DataFrame) -> DataFrame:
     """Curve points per label: the origin and one point per distinct score.
 
-    Points on a straight line are kept; the area is the same without them.
+    Points on a straight line are kept; the area is the same without them. Labels with one class
+    only are left out.
     """
-    totals = counts.groupBy("label").agg(F.sum("p").alias("hits"), F.sum("n").alias("misses")).where(
-        (F.col("hits") > 0) & (F.col("misses") > 0)
-    )
-    if labels_bound is not None and labels_bound <= 10_000:
-        totals = F.broadcast(totals)
-    points = cumulated.join(totals, "label").select(
-        "label",
+    point = F.struct(
         F.col("score").alias("threshold"),
-        (F.col("upto_n") / F.col("misses")).alias("fpr"),
-        (F.col("upto_p") / F.col("hits")).alias("tpr"),
+        (F.col("upto_n") / F.col("total_n")).alias("fpr"),
+        (F.col("upto_p") / F.col("total_p")).alias("tpr"),
     )
-    origin = totals.select(
-        "label", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
+    origin = F.struct(
+        F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
-    return points.unionByName(origin)
+    highest = (F.col("upto_p") == F.col("p")) & (F.col("upto_n") == F.col("n"))
+    points = F.when(highest, F.array(origin, point)).otherwise(F.array(point))
+    two_classes = (F.col("total_p") > 0) & (F.col("total_n") > 0)
+    return cumulated.where(two_classes).select("label", F.inline(points))
 
 
 def curve_areas(cumulated: DataFrame) -> DataFrame:
     """``roc_auc`` and ``pr_auc`` per label; labels with one class only are left out."""
     tp, fp, p, n = (F.col(c).cast("double") for c in ("upto_p", "upto_n", "p", "n"))
-    sums = cumulated.groupBy("label").agg(
-        F.sum("p").alias("hits"),
-        F.sum("n").alias("misses"),
-        F.sum(n * (tp - p / 2)).alias("area"),
-        F.sum(F.when(p > 0, p * tp / (tp + fp)).otherwise(0.0)).alias("gain"),
-    )
-    return sums.where((F.col("hits") > 0) & (F.col("misses") > 0)).select(
-        "label",
-        (F.col("area") / (F.col("hits").cast("double") * F.col("misses"))).alias("roc_auc"),
-        (F.col("gain") / F.col("hits")).alias("pr_auc"),
+    hits, misses = F.col("total_p").cast("double"), F.col("total_n").cast("double")
+    return (
+        cumulated.where((F.col("total_p") > 0) & (F.col("total_n") > 0))
+        .groupBy("label")
+        .agg(
+            F.sum(n * (tp - p / 2) / hits / misses).alias("roc_auc"),
+            F.sum(F.when(p > 0, p / hits * tp / (tp + fp)).otherwise(0.0)).alias("pr_auc"),
+        )
     )
 
 
 def one_vs_rest(df: DataFrame, y: str = "y", scores: str = "scores") -> DataFrame:
     """One row per sample and class: ``(label, score, hit)``."""
-    return df.select(F.col(y).alias("_y"), F.posexplode(scores).alias("label", "score")).select(
+    # An inner explode would add a filter on the array's size, and with it a second evaluation.
+    cells = df.select(F.col(y).alias("_y"), F.posexplode_outer(scores).alias("label", "score"))
+    return cells.where(F.col("label").isNotNull()).select(
         "label", "score", (F.col("label") == F.col("_y")).alias("hit")
     )
 

@@ -126,9 +126,10 @@ def running_counts(
     key_bound: int | None = None,
     slice_bits: int = 8,
 ) -> DataFrame:
-    """Inclusive sums of ``values`` over descending ``score`` within ``keys``.
+    """Inclusive sums ``upto_*`` of ``values`` over descending ``score`` within ``keys``, and their
+    ``total_*`` per key.
 
-    ``counts`` holds one row per (keys, score). Quantile cuts of the distinct scores slice each
+    ``counts`` holds one row per (keys, score) and is read three times, so it should be a table. Quantile cuts of the distinct scores slice each
     key evenly whatever their distribution; sums run inside ``2**slice_bits`` slices and are
     shifted by the totals of the slices above. ``key_bound`` is a proven bound on the number of
     distinct keys.
@@ -136,7 +137,8 @@ def running_counts(
     slices = 2**slice_bits
     fractions = [i / slices for i in range(1, slices)]
     cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(score, fractions, 10_000).alias("_cuts")
+        F.percentile_approx(score, fractions, 10_000).alias("_cuts"),
+        *[F.sum(v).alias(f"total_{v}") for v in values],
     )
     # A cut list is about 2 KB, so a quarter of the usual row bound keeps this side small.
     cuts = broadcast_if(cuts, None if key_bound is None else key_bound * 4)
@@ -165,6 +167,7 @@ def running_counts(
         .join(broadcast_if(offsets, None if key_bound is None else key_bound * slices), groups)
         .select(
             *counts.columns,
+            *[F.col(f"total_{v}") for v in values],
             *[(F.col(f"_in_{v}") + F.col(f"_above_{v}")).alias(f"upto_{v}") for v in values],
         )
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.operators.ranking import two_level_rank
+from quillmill.session import materialize
 
 # Log patterns, thresholds, verdict order, metric names and display rules.
 OOM_PATTERN = r"cuda out of memory|out of memory|\boom\b|cudaerroroutofmemory"
@@ -57,28 +58,35 @@ def log_signals(msg: Column) -> list[Column]:
     ]
 
 
-def extract_log_events(logs: DataFrame, run: str = "run_id", seq: str = "seq", msg: str = "msg") -> DataFrame:
-    """Per run: OOM and NaN flags, their first messages, and the number of losses."""
-    signals = logs.select(run, seq, msg, *log_signals(F.col(msg))).withColumn(
-        # Few lines carry a signal; the others bring no text into the aggregation.
-        "head", F.when(F.col("oom") | F.col("nan"), F.left(msg, F.lit(120)))
+def line_signals(logs: DataFrame, run: str = "run_id", seq: str = "seq", msg: str = "msg") -> DataFrame:
+    """``(run, seq, oom, nan, loss, head)`` per line; ``head`` is kept only where it is reported."""
+    return logs.select(run, F.col(seq).alias("seq"), msg, *log_signals(F.col(msg))).select(
+        run,
+        "seq",
+        "oom",
+        "nan",
+        "loss",
+        F.when(F.col("oom") | F.col("nan"), F.left(msg, F.lit(120))).alias("head"),
     )
+
+
+def _events(signals: DataFrame, run: str) -> DataFrame:
+    def first(flag: str, prefix: str) -> Column:
+        hit = F.col(flag)
+        head = F.min_by(F.when(hit, F.col("head")), F.when(hit, F.col("seq")))
+        return F.concat(F.lit(prefix), head)
+
     return signals.groupBy(run).agg(
         F.bool_or("oom").alias("oom_detected"),
         F.bool_or("nan").alias("nan_loss_detected"),
-        F.concat(F.lit("OOM: "), F.min_by(F.when(F.col("oom"), F.col("head")), F.when(F.col("oom"), F.col(seq)))).alias("oom_event"),
-        F.concat(F.lit("NaN: "), F.min_by(F.when(F.col("nan"), F.col("head")), F.when(F.col("nan"), F.col(seq)))).alias("nan_event"),
+        first("oom", "OOM: ").alias("oom_event"),
+        first("nan", "NaN: ").alias("nan_event"),
         F.count("loss").alias("losses"),
     )
 
 
-def loss_trend(logs: DataFrame, run: str = "run_id", seq: str = "seq", msg: str = "msg", width: int = 4096) -> DataFrame:
-    """Per run with losses: means of the earlier and later half, and the trend.
-
-    Ranks are taken inside slices of ``seq``, so one run may hold any share of the log.
-    """
-    losses = logs.select(run, seq, log_signals(F.col(msg))[2]).where(F.col("loss").isNotNull())
-    ranked = two_level_rank(losses, [run], seq, width)
+def _trends(losses: DataFrame, run: str, width: int) -> DataFrame:
+    ranked = two_level_rank(losses, [run], "seq", width)
     early = F.col("rank") <= F.floor(F.col("total") / 2)
     halves = ranked.groupBy(run).agg(
         F.count(F.lit(1)).alias("losses"),
@@ -95,14 +103,38 @@ def loss_trend(logs: DataFrame, run: str = "run_id", seq: str = "seq", msg: str
     )
 
 
-def training_health(logs: DataFrame, metrics: DataFrame, run: str = "run_id", width: int = 4096) -> DataFrame:
-    """One row per run of ``metrics(run, eval_loss, train_loss)`` with flags, events and trend."""
-    events = extract_log_events(logs, run)
-    trends = loss_trend(logs, run, width=width).select(run, "trend")
+def extract_log_events(logs: DataFrame, run: str = "run_id", seq: str = "seq", msg: str = "msg") -> DataFrame:
+    """Per run: OOM and NaN flags, their first messages, and the number of losses."""
+    return _events(line_signals(logs, run, seq, msg), run)
+
+
+def loss_trend(
+    logs: DataFrame, run: str = "run_id", seq: str = "seq", msg: str = "msg", width: int = 4096
+) -> DataFrame:
+    """Per run with losses: means of the earlier and later half, and the trend.
+
+    The losses are read off the log once and written, a few bytes each; ranks are then taken
+    inside slices of ``seq``, so one run may hold any share of the log.
+    """
+    losses = line_signals(logs, run, seq, msg).where(F.col("loss").isNotNull())
+    return _trends(materialize(losses.select(run, "seq", "loss"), "losses"), run, width)
+
+
+def training_health(
+    logs: DataFrame, metrics: DataFrame, run: str = "run_id", width: int = 4096
+) -> DataFrame:
+    """One row per run of ``metrics(run, eval_loss, train_loss)`` with flags, events and trend.
+
+    One pass over the log writes the lines that carry a signal; everything else reads those.
+    """
+    telling = F.col("oom") | F.col("nan") | F.col("loss").isNotNull()
+    signals = materialize(line_signals(logs, run).where(telling), "signals")
+    events = _events(signals, run)
+    trends = _trends(signals.where(F.col("loss").isNotNull()).select(run, "seq", "loss"), run, width)
     final = F.coalesce(F.nullif(F.col("eval_loss"), F.lit(0.0)), F.col("train_loss"))
     return (
         metrics.join(events, run, "left")
-        .join(trends, run, "left")
+        .join(trends.select(run, "trend"), run, "left")
         .select(
             run,
             F.lit("success").alias("status"),

@@ -83,7 +83,7 @@ def matrix(spark, sf):
     f"WITH {PROBS} SELECT vec_id, y, CAST(unnest(range(10)) AS INT) AS class_id, round(unnest(p), 9) AS score FROM probs",
 )
 def _normalize(spark, sf):
-    return rounded(probabilities(spark, sf).select("vec_id", "y", F.posexplode("scores").alias("class_id", "score")), "score")
+    return rounded(probabilities(spark, sf).select("vec_id", "y", F.posexplode_outer("scores").alias("class_id", "score")), "score")
 
 
 @query("predict_labels", f"WITH {PREDICTED} SELECT vec_id, y, g AS predicted FROM predicted")
@@ -192,8 +192,7 @@ round(fp / (SELECT sum(n) FROM points), 9) AS fpr, round(tp / (SELECT sum(p) FRO
 UNION ALL SELECT 0, NULL, 0.0, 0.0""",
 )
 def _roc_curve(spark, sf):
-    counts = judged_counts(spark, sf)
-    return rounded(M.roc_curve(M.curve_counts(counts, 1), counts, 1), "threshold", "fpr", "tpr")
+    return rounded(M.roc_curve(M.curve_counts(judged_counts(spark, sf), 1)), "threshold", "fpr", "tpr")
 
 
 @query("roc_auc", f"WITH {JUDGED}, {areas('hits')} SELECT label, round(roc_auc, 9) AS roc_auc FROM areas")

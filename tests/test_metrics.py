@@ -63,9 +63,15 @@ def test_running_counts_by_slice(spark, bits):
     assert got == {(k, s): sum(v2 for k2, s2, v2 in data if k2 == k and s2 >= s) for k, s, _ in data}
 
 
+def test_scores_are_exploded_once(spark):
+    rows = [(i % 3, [0.1 * i % 1, 0.2, 0.3]) for i in range(30)]
+    plan = M.ovr_auc(multiclass(spark, rows), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "BroadcastNestedLoop" not in plan
+
+
 def test_curve_points(spark):
     counts = binary(spark, [(0.9, 1), (0.8, 0), (0.8, 1), (0.1, 0)])
-    points = {(r.fpr, r.tpr) for r in M.roc_curve(M.curve_counts(counts, 1), counts, 1).collect()}
+    points = {(r.fpr, r.tpr) for r in M.roc_curve(M.curve_counts(counts, 1)).collect()}
     assert points == {(0.0, 0.0), (0.0, 0.5), (0.5, 1.0), (1.0, 1.0)}
 
 
