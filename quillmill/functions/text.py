@@ -41,35 +41,35 @@ def chunk_text(text: Column, min_chars: int = 180, max_chars: int = 1300) -> Col
     next one starts with at most ``max_chars`` characters of the sentence. A text of 40 or
     more characters that yields no chunk gives its first ``max_chars`` characters.
     """
-    state = "struct<done:array<string>,open:string>"
+    # The length of the open chunk travels along, so no step measures a growing text again.
+    state = "struct<done:array<string>,open:string,size:int>"
 
     def closed(acc: Column) -> Column:
         return F.when(
-            F.length(acc["open"]) >= min_chars, F.concat(acc["done"], F.array(acc["open"]))
+            acc["size"] >= min_chars, F.concat(acc["done"], F.array(acc["open"]))
         ).otherwise(acc["done"])
 
+    def pack(done: Column, opened: Column, size: Column) -> Column:
+        return F.struct(done.alias("done"), opened.alias("open"), size.alias("size")).cast(state)
+
     def step(acc: Column, sentence: Column) -> Column:
-        fits = F.length(acc["open"]) + F.length(sentence) + 1 <= max_chars
-        return F.when(
-            fits,
-            F.struct(
-                acc["done"].alias("done"),
-                F.trim(F.concat(acc["open"], F.lit(" "), sentence)).alias("open"),
-            ).cast(state),
-        ).otherwise(
-            F.struct(
-                closed(acc).alias("done"), F.left(sentence, F.lit(max_chars)).alias("open")
-            ).cast(state)
+        text, size = sentence["text"], sentence["size"]
+        joined = F.trim(F.concat(acc["open"], F.lit(" "), text))
+        # Only a cut chunk can end in a space, and nothing fits behind one of full length.
+        kept = F.when(acc["size"] == 0, size).otherwise(acc["size"] + 1 + size)
+        return F.when(acc["size"] + size + 1 <= max_chars, pack(acc["done"], joined, kept)).otherwise(
+            pack(closed(acc), F.left(text, F.lit(max_chars)), F.least(size, F.lit(max_chars)))
         )
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit("").alias("open")
-    ).cast(state)
+    start = pack(F.array().cast("array<string>"), F.lit(""), F.lit(0))
 
     def packed(clean: Column) -> Column:
         sentences = F.filter(F.split(clean, r"(?<=[.!?])\s+", -1), lambda s: s != "")
+        sized = F.transform(
+            sentences, lambda s: F.struct(s.alias("text"), F.length(s).alias("size"))
+        )
         return let(
-            F.aggregate(sentences, start, step, closed),
+            F.aggregate(sized, start, step, closed),
             lambda chunks: F.when(
                 (F.size(chunks) == 0) & (F.length(clean) >= 40),
                 F.array(F.left(clean, F.lit(max_chars))),

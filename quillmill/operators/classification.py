@@ -118,7 +118,7 @@ def confusion_matrix(df: DataFrame, num_classes: int, y: str = "y", predicted: s
     Zero cells come from a generated grid added before the count; nothing is joined.
     """
     spark = df.sparkSession
-    cells = spark.range(num_classes * num_classes).select(
+    cells = spark.range(0, num_classes * num_classes, 1, 1).select(
         F.floor(F.col("id") / num_classes).cast("int").alias("actual"),
         (F.col("id") % num_classes).cast("int").alias("predicted"),
         F.lit(0).cast("long").alias("n"),

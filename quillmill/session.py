@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         # Small tables otherwise end up in one task after a shuffle, whatever work follows.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        # Recording the call site of every column expression slows plan building by half.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
