@@ -130,8 +130,18 @@ def rouge_scores(df: DataFrame, prediction: str = "prediction", reference: str =
 
 def bleu_tokens(text: Column) -> Column:
     """Words after the usual language-independent punctuation split of BLEU scorers."""
-    # Split rules of the standard 13a tokenisation.
-    spaced = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
+    # Replacements and split rules of the standard 13a tokenisation.
+    plain = F.coalesce(text, F.lit(""))
+    for mark, put in (
+        ("<skipped>", ""),
+        ("-\n", ""),
+        ("&quot;", '"'),
+        ("&amp;", "&"),
+        ("&lt;", "<"),
+        ("&gt;", ">"),
+    ):
+        plain = F.replace(plain, F.lit(mark), F.lit(put))
+    spaced = F.concat(F.lit(" "), plain, F.lit(" "))
     for pattern, put in (
         (r"\s+", " "),
         (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),

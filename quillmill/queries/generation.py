@@ -151,7 +151,10 @@ def _rouge_l(spark, sf):
 
 
 def bleu_words(x: str) -> str:
-    value = f"' ' || {x} || ' '"
+    plain = f"replace(replace({x}, '<skipped>', ''), '-' || chr(10), '')"
+    for name, mark in (("quot", '"'), ("amp", "&"), ("lt", "<"), ("gt", ">")):
+        plain = f"replace({plain}, '&{name};', '{mark}')"
+    value = f"' ' || {plain} || ' '"
     for pattern, put in (
         (r"\s+", " "),
         (r"([\{-\~\[-\x60 -\&\(-\+\:-\@\/])", r" \1 "),

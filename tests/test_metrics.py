@@ -222,3 +222,5 @@ def test_bleu(spark):
     want = 100 * math.exp((math.log(4 / 5) + math.log(2 / 4) + math.log(0.5 / 3) + math.log(0.25 / 2)) / 4)
     assert G.corpus_bleu(mixed).first().bleu == pytest.approx(want)
     assert G.corpus_bleu(pairs_of(spark, [("x", "y")])).first().bleu == 0.0
+    df = spark.createDataFrame([("He said &quot;3.5%&quot; -\nno, x-y.",)], "t string")
+    assert df.select(G.bleu_tokens(F.col("t"))).first()[0] == ["He", "said", '"', "3.5", "%", '"', "no", ",", "x-y", "."]
