@@ -212,7 +212,8 @@ SUFFIX = "CASE page_id % 7 WHEN 0 THEN 'txt' WHEN 1 THEN 'PNG' WHEN 2 THEN 'md'
 FILES = f"""
 files AS (SELECT page_id, page_id % 6 AS dataset, octet_length(encode(html)) AS length,
   CASE page_id % 6 WHEN 0 THEN 'wrap/' WHEN 1 THEN 'a/b/' ELSE '' END || regexp_extract(url, 'example\\.([a-z]+)', 1)
-    || CASE page_id % 5 WHEN 0 THEN '/more' ELSE '' END || '/p' || page_id || '.' || {SUFFIX} AS path FROM pages),
+    || CASE page_id % 5 WHEN 0 THEN '/more' ELSE '' END || '/p' || page_id || '.' || {SUFFIX} AS path,
+  contains(url, '#') OR contains(url, '/en/') AS moved FROM pages),
 images AS (SELECT * FROM files WHERE lower(regexp_extract(path, '\\.([^.]+)$', 1)) IN ('jpg', 'jpeg', 'png', 'bmp', 'gif', 'webp'))
 """.replace("\\\\", "\\")
 
@@ -224,8 +225,9 @@ def files(spark, sf) -> DataFrame:
     host = F.regexp_extract("url", r"example\.([a-z]+)", 1)
     path = F.concat(lead, host, deep, F.lit("/p"), page.cast("string"), F.lit("."), F.expr(SUFFIX))
     return table(spark, sf, "pages").select(
-        "page_id", (page % 6).alias("dataset"), F.octet_length("html").cast("long").alias("length"), path.alias("path")
-    )
+        "page_id", (page % 6).alias("dataset"), F.octet_length("html").cast("long").alias("length"), path.alias("path"),
+        (F.col("url").contains("#") | F.col("url").contains("/en/")).alias("moved"),
+    )
 
 
 @query(
@@ -274,17 +276,19 @@ def _root(spark, sf):
 
 @query(
     "image_manifest",
-    f"""WITH {FILES}, listed AS (SELECT page_id, '/data/' || path AS path,
-  CASE WHEN page_id % 11 = 0 THEN '' ELSE 'Class ' || (page_id % 3) || '!' END AS label FROM files WHERE page_id % 4 <> 1)
+    f"""WITH {FILES}, listed AS (SELECT CASE WHEN moved THEN '/old/' ELSE '/data/' END || path AS path,
+  CASE WHEN page_id % 11 = 0 THEN '' ELSE 'Class ' || (page_id % 3) || '!' END AS label FROM files)
 SELECT path, coalesce(nullif(regexp_replace(trim(label), '[^A-Za-z0-9_.-]+', '_', 'g'), ''), 'unknown') AS label FROM listed
-WHERE path IN (SELECT '/data/' || path FROM images WHERE page_id % 9 <> 2)""",
+WHERE path IN (SELECT '/data/' || path FROM images)""",
 )
 def _manifest(spark, sf):
+    """Every page is listed, some at an address that no file has."""
     listing = files(spark, sf)
     page = F.col("page_id")
     label = F.when(page % 11 == 0, "").otherwise(F.concat(F.lit("Class "), (page % 3).cast("string"), F.lit("!")))
-    sheet = listing.where(page % 4 != 1).select(F.col("path").alias("Image_Path"), label.alias("class"))
-    there = listing.where(page % 9 != 2).select(F.concat(F.lit("/data/"), "path").alias("path"))
+    listed = F.when(F.col("moved"), F.concat(F.lit("/old/"), "path")).otherwise(F.col("path"))
+    sheet = listing.select(listed.alias("Image_Path"), label.alias("class"))
+    there = listing.select(F.concat(F.lit("/data/"), "path").alias("path"))
     return images.image_manifest(sheet, there, "/data")
 
 

@@ -60,10 +60,11 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 # ---- tables -------------------------------------------------------------------------------
 
 
-def _profile_lines(spark: SparkSession, path: str, suffix: str | None) -> list[tuple[bool, list[str]]]:
-    """Files grouped by header line and by whether they are valid UTF-8: one pass over the lines.
+def _profile_lines(spark: SparkSession, path: str, suffix: str | None) -> list[tuple[bool, bool, list[str]]]:
+    """Files grouped by header line, by valid UTF-8, and by whether a cell may span lines.
 
-    Only file names reach the driver.
+    One pass over the lines; only file names reach the driver. A line with an odd number of
+    quotes is the sign of a cell that goes on in the next line.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if suffix:
@@ -74,12 +75,18 @@ def _profile_lines(spark: SparkSession, path: str, suffix: str | None) -> list[t
         F.monotonically_increasing_id().alias("line"),
         "value",
     )
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    opens_file = F.col("at") == 0
     files = lines.groupBy("file").agg(
-        F.min_by(F.when(F.col("at") == 0, F.col("value")), F.when(F.col("at") == 0, F.col("line"))).alias("header"),
+        F.min_by(F.when(opens_file, F.col("value")), F.when(opens_file, F.col("line"))).alias("header"),
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_or(quotes % 2 == 1).alias("spans"),
     )
-    groups = files.groupBy("header", "utf8").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return [(row["utf8"], [unquote(f) for f in row["files"]]) for row in groups.orderBy("files").collect()]
+    groups = files.groupBy("header", "utf8", "spans").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [
+        (row["utf8"], row["spans"], [unquote(f) for f in row["files"]])
+        for row in groups.orderBy("files").collect()
+    ]
 
 
 def read_delimited(
@@ -88,17 +95,19 @@ def read_delimited(
     suffix: str | None = None,
     encoding: str = "auto",
     schema: T.StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV (or, by suffix, tab-separated) files with a header; every column is read as text.
 
-    ``auto`` reads files that are not valid UTF-8 as Latin-1, and files with different headers
-    are matched by column name; both need one pass over the lines. Give ``encoding`` and
-    ``schema`` to skip it. Missing-value marks become null.
+    ``auto`` looks at the lines once: files that are not valid UTF-8 are read as Latin-1, files
+    with different headers are matched by column name, and only files with cells that span lines
+    are read whole by one task, all others in splits. Give ``encoding`` and ``schema`` (and
+    ``multi_line=False`` where no cell spans lines) to skip that pass. Missing-value marks become
+    null.
     """
     kind = suffix or path.rsplit(".", 1)[-1].lower()
     reader = (
         spark.read.option("header", "true")
-        .option("multiLine", "true")
         .option("escape", '"')
         .option("recursiveFileLookup", "true")
         .option("sep", DELIMITERS.get(kind, ","))
@@ -106,12 +115,14 @@ def read_delimited(
     if schema is not None and encoding != "auto":
         if suffix:
             reader = reader.option("pathGlobFilter", _glob(suffix))
-        frames = [reader.schema(schema).option("encoding", encoding).csv(path)]
+        one = reader.option("multiLine", str(multi_line).lower()).option("encoding", encoding)
+        frames = [one.schema(schema).csv(path)]
     else:
         frames = []
-        for is_utf8, files in _profile_lines(spark, path, suffix):
+        for is_utf8, spans, files in _profile_lines(spark, path, suffix):
             fallback = "UTF-8" if is_utf8 or kind != "csv" else "ISO-8859-1"
             one = reader.option("encoding", fallback if encoding == "auto" else encoding)
+            one = one.option("multiLine", str(spans).lower())
             frames.append((one.schema(schema) if schema is not None else one).csv(files))
     table = union_all(frames)
     return table.select(

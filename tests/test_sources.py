@@ -34,6 +34,15 @@ def test_latin_1_and_unlike_headers(spark, tmp_path):
     assert got == {("1", "été", None), ("2", "été", None), (None, "x", "y")}
 
 
+def test_only_cells_that_span_lines_stop_splitting(spark, tmp_path):
+    put(tmp_path / "a.csv", 'id,text\n1,"x, ""y"""\n')
+    put(tmp_path / "b.csv", 'id,text\n2,"x\ny"\n')
+    groups = readers._profile_lines(spark, str(tmp_path), "csv")
+    assert [(spans, len(files)) for _, spans, files in groups] == [(False, 1), (True, 1)]
+    got = {(r.id, r.text) for r in readers.read_delimited(spark, str(tmp_path), "csv").collect()}
+    assert got == {("1", 'x, "y"'), ("2", "x\ny")}
+
+
 def test_known_schema_reads_once(spark, tmp_path):
     path = put(tmp_path / "a.csv", "id,text\n1,x\n")
     assert readers.read_delimited(spark, path, encoding="UTF-8", schema="id long, text string").first().id == 1
