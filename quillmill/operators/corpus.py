@@ -206,7 +206,7 @@ def to_instruction_output(
     used; and whether questions were generated. The only job run here looks for one chat record
     that parses, and stops at the first.
     """
-    if df.limit(1).count() == 0:
+    if df.select(id_col).limit(1).count() == 0:
         raise ValueError("text dataset is empty")
     lower = {c.lower(): c for c in df.columns}
     source = (
