@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from quillmill.session import materialize
 
@@ -25,22 +27,23 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def per_value(fn: Callable, result: str) -> Callable[[Column], Column]:
-    """A column function from a Python function of one value, evaluated in Arrow batches.
+def per_value(fn: Callable, result: str) -> Callable[..., Column]:
+    """A column function from a Python function of one row's values, evaluated in Arrow batches.
 
     The result counts as non-deterministic, so that Catalyst never evaluates it a second time in
     a filter that it pushes down.
     """
+    kind = _parse_datatype_string(result)
+    arrow_type = to_arrow_type(kind)
 
-    def batch(values: pa.Array) -> pa.Array:
+    def one(values: pa.Array) -> pa.Array:
         return pa.array([fn(v) for v in values.to_pylist()], type=arrow_type)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
+    def two(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array(list(map(fn, left.to_pylist(), right.to_pylist())), type=arrow_type)
 
-    batch.__annotations__ = {"values": pa.Array, "return": pa.Array}
-    kind = _parse_datatype_string(result)
-    arrow_type = to_arrow_type(kind)
+    batch = two if fn.__code__.co_argcount == 2 else one
+    batch.__annotations__ = dict.fromkeys(batch.__annotations__, pa.Array)
     return F.arrow_udf(batch, kind).asNondeterministic()
 
 
@@ -100,8 +103,6 @@ def global_rank(df: DataFrame, order: Iterable[Column], rank: str, name: str) ->
         shift += size
     if not shifts:
         return ranged.withColumn(rank, F.lit(0).cast("long")).drop("_range")
-    from pyspark.sql import Window
-
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     before = F.get(F.map_values(F.map_filter(F.create_map(*shifts), lambda k, v: k == F.col("_range"))), F.lit(0))
     return ranged.withColumn(rank, inside + before).drop("_range")
