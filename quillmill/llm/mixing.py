@@ -167,7 +167,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         plan.select(
             F.col("id").alias("doc_id"), "size", "source_size", "target", "taken",
-            F.when(F.col("taken") > 0, reading_position(0)).alias("position"),
+            F.when(F.col("taken") > 0, F.round(F.abs(reading_position(0)), 9)).alias("position"),
         )
         .repartitionByRange(common.partitions(spark), F.asc_nulls_last("position"), "doc_id")
         .sortWithinPartitions(F.asc_nulls_last("position"), "doc_id")

@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+from quillmill.llm import oracles
 from quillmill.llm.bpe import op7_byte_bpe
 from quillmill.llm.fingerprints import op1_document_fingerprints
+from quillmill.llm.line_dedup import op10_line_dedup
 from quillmill.llm.line_quality import op3_line_quality
 from quillmill.llm.mixing import op5_mixing
+from quillmill.llm.pii import op2_personal_data
+from quillmill.llm.quality import op6_quality_classifier
+from quillmill.llm.simhash import op9_simhash_dedup
 from quillmill.llm.token_counts import op8_token_counts
+from quillmill.llm.warc import op4_warc_index
 
 QUERIES = {
     run.__name__: run
     for run in (
         op1_document_fingerprints,
+        op2_personal_data,
         op3_line_quality,
+        op4_warc_index,
         op5_mixing,
+        op6_quality_classifier,
         op7_byte_bpe,
         op8_token_counts,
+        op9_simhash_dedup,
+        op10_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_line_quality": oracles.OP3,
+    "op4_warc_index": oracles.OP4,
+    "op5_mixing": oracles.OP5,
+    "op10_line_dedup": oracles.OP10,
+}

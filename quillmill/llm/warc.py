@@ -286,10 +286,24 @@ def merge_index(captures: DataFrame) -> DataFrame:
     )
 
 
+def global_places(merged: DataFrame) -> DataFrame:
+    """Add ``index_place``, a capture's place (from 0) in the whole index, in place of its place in
+    a range. Stages the index; a row per range comes to the driver."""
+    held = common.staged(merged, "capture-index")
+    before, shift = [], 0
+    for range_no, rows in sorted(tuple(r) for r in held.groupBy("range_no").count().collect()):
+        before += [(range_no, shift)]
+        shift += rows
+    shifts = held.sparkSession.createDataFrame(before, "s_range int, shift long")
+    return held.join(F.broadcast(shifts), F.col("range_no") == F.col("s_range")).withColumn(
+        "index_place", F.col("range_place") + F.col("shift")
+    ).drop("range_no", "s_range", "range_place", "shift")
+
+
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     captures = common.staged(read_archives(spark, path), "captures")
+    index = global_places(merge_index(captures))
     null_id = F.lit(common.NULL_ID)
-    merged = merge_index(captures)
-    return merged.withColumns({c: F.nullif(F.col(c), null_id) for c in ("page_id", "refers_to")}).drop("archive")
+    return index.withColumns({c: F.nullif(F.col(c), null_id) for c in ("page_id", "refers_to")}).drop("archive")
