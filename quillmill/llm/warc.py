@@ -29,7 +29,7 @@ from quillmill.session import scratch_path
 LEAST_BYTES = 100
 #: Captures of an archive file, at most.
 FILE_ROWS = 4_000
-#: Index keys that the ranges are cut by, at most.
+#: Index keys that the ranges are cut by, about.
 SAMPLE = 8_192
 #: Captures of a range, about; the number of ranges follows the number of captures.
 RANGE_ROWS = 50_000
@@ -275,7 +275,7 @@ def merge_index(captures: DataFrame) -> DataFrame:
     """
     keys = captures.select("url_key", "captured", "page_id")
     rows = captures.count()
-    sample = sorted(tuple(r) for r in keys.orderBy(F.xxhash64("page_id", "url_key")).limit(SAMPLE).collect())
+    sample = sorted(tuple(r) for r in keys.sample(min(1.0, SAMPLE / max(1, rows)), seed=7).collect())
     ranges = max(common.partitions(captures.sparkSession), rows // RANGE_ROWS)
     cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
     fields = ", ".join(f"{c} {t}" for c, t in captures.dtypes)
