@@ -32,7 +32,7 @@ from quillmill.llm.components import star_components
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Fingerprints that the top of the tree is fitted on, at most; it has a leaf per SHARD_ROWS of all.
+#: Fingerprints that the top of the tree is fitted on, about; it has a leaf per SHARD_ROWS of all.
 SAMPLE = 16_384
 SHARD_ROWS = 2_048
 #: Fingerprints of a local leaf, which are compared with its queries one by one.
@@ -205,10 +205,10 @@ def near_links(distinct: DataFrame) -> DataFrame:
     """Edges ``a, b`` that connect the distinct fingerprints ``f`` within the radius.
 
     Runs two small jobs: a count, and the sample that the top of the tree is fitted on, which has
-    at most SAMPLE rows.
+    about SAMPLE rows.
     """
     rows = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("f"), "f").limit(SAMPLE).select("f").toPandas()["f"].to_numpy()
+    sample = distinct.select("f").sample(min(1.0, SAMPLE / max(1, rows)), seed=7).toPandas()["f"].to_numpy()
     tree = Tree(sample.astype(np.int64).view(np.uint64), max(1, min(rows // SHARD_ROWS, len(sample) // 8)))
     placed = distinct.select("f").mapInArrow(_placed(tree), "shard int, f long, own boolean")
     return placed.groupBy("shard").applyInArrow(_searched, "a long, b long")
