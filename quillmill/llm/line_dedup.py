@@ -158,6 +158,8 @@ def dropped_keys(
         .where(F.col("documents") >= min_documents)
         .select(F.col("key").alias("c_key"), "keeper")
     )
+    # As a table, this side brings no partitioning that would tie a hot key to one task.
+    confirmed = common.staged(confirmed, "line-confirmed")
     return (
         found.join(confirmed, (F.col("key") == F.col("c_key")) & (F.col("k") != F.col("keeper")))
         .groupBy("k")
