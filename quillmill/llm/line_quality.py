@@ -134,6 +134,8 @@ def judge(
         .where(F.col("documents") > line_limit)
         .select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
     )
+    # As a table, this side brings no partitioning that would tie a hot line to one task.
+    frequent = common.staged(frequent, "frequent-lines")
     removed = (
         lines.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
         .groupBy("row")

@@ -65,6 +65,8 @@ def decide(pages: DataFrame) -> DataFrame:
         .where("low < high")
         .select(F.col("digest").alias("f_digest"), "low")
     )
+    # As a table, this side brings no partitioning that would tie a hot payload to one task.
+    firsts = common.staged(firsts, "first-payloads")
     joined = sized.join(firsts, F.col("digest") == F.col("f_digest"), "left")
     return joined.withColumn("first", F.when(F.col("low") < F.col("k"), F.col("low"))).drop("f_digest", "low")
 
