@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 #: Pieces, halves and windows a worker remembers, each.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Above every token.
 NEVER = 2**62
 

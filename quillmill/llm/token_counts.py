@@ -36,8 +36,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 CHUNK_CHARS = 65_536
 #: States, and pieces, that a worker remembers.
-MOST_STATES = 1_000_000
-MOST_PIECES = 500_000
+MOST_STATES = 600_000
+MOST_PIECES = 300_000
 
 _SURE_CUT = re.compile(r"(?<=\S)[ \n]")
 
