@@ -254,9 +254,10 @@ def _ranged(cuts: list[tuple]) -> Callable:
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the runs of each range that was dealt to this partition."""
-    table = pa.Table.from_batches(list(batches)) if batches else None
-    if table is None or not table.num_rows:
+    held = list(batches)
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     runs: dict[int, dict[str, list[tuple]]] = {}
     columns = [table.column(c).to_pylist() for c in ("range_no", "archive", "url_key", "captured", "page_id")]
     for row, (range_no, archive, *key) in enumerate(zip(*columns)):
