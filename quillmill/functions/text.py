@@ -13,10 +13,10 @@ NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
 # Keyword token pattern and the words that never count as keywords.
 KEYWORD_PATTERN = r"[A-Za-zÀ-ÿ0-9][A-Za-zÀ-ÿ0-9_-]{2,}"
-STOP_WORDS = (
-    "the and for with from that this are was were you your "
-    "les des pour avec dans une est que qui sur par aux"
-).split()
+STOP_WORDS = [
+    "the", "and", "for", "with", "from", "that", "this", "are", "was", "were", "you", "your",
+    "les", "des", "pour", "avec", "dans", "une", "est", "que", "qui", "sur", "par", "aux",
+]
 NO_KEYWORDS = "this document"
 
 # Openers dropped from the front of an answer.

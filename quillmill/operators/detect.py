@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Column names by role, file classes, and the words that decide a task.
-PROMPT_NAMES = "instruction question query prompt input text context document".split()
-RESPONSE_NAMES = "output answer response target completion label".split()
-TEXT_NAMES = "text context document content body".split()
-IMAGE_NAMES = "image image_path path file filename".split()
-CLASS_NAMES = "label class category target".split()
-TEXT_SUFFIXES = "txt md rst".split()
-IMAGE_SUFFIXES = "jpg jpeg png bmp gif webp".split()
+PROMPT_NAMES = ["instruction", "question", "query", "prompt", "input", "text", "context", "document"]
+RESPONSE_NAMES = ["output", "answer", "response", "target", "completion", "label"]
+TEXT_NAMES = ["text", "context", "document", "content", "body"]
+IMAGE_NAMES = ["image", "image_path", "path", "file", "filename"]
+CLASS_NAMES = ["label", "class", "category", "target"]
+TEXT_SUFFIXES = ["txt", "md", "rst"]
+IMAGE_SUFFIXES = ["jpg", "jpeg", "png", "bmp", "gif", "webp"]
 IMAGE_GOAL = "image|photo|picture|classify|classification|defect"
 SUBTYPE_WORDS = [
     ("translation", "translat|tradui|traduire"),
