@@ -16,9 +16,9 @@ from quillmill.session import materialize
 
 # The scalar metrics kept for each task.
 SCALAR_METRICS = {
-    "image": (
-        "accuracy top_5_accuracy precision recall f1 macro_f1 weighted_f1 roc_auc pr_auc".split()
-    ),
+    "image": [
+        "accuracy", "top_5_accuracy", "precision", "recall", "f1", "macro_f1", "weighted_f1", "roc_auc", "pr_auc",
+    ],
     "text": ["token_accuracy"],
 }
 
@@ -112,10 +112,14 @@ def metric_status(df: DataFrame, y: str = "y", scores: str = "scores", by: str |
 # ---- single-label reports -----------------------------------------------------------------
 
 
-def confusion_matrix(df: DataFrame, num_classes: int, y: str = "y", predicted: str = "predicted") -> DataFrame:
+def confusion_matrix(
+    df: DataFrame, num_classes: int, y: str = "y", predicted: str = "predicted", outside: bool = False
+) -> DataFrame:
     """The full ``num_classes`` by ``num_classes`` matrix as ``(actual, predicted, n)``.
 
-    Zero cells come from a generated grid added before the count; nothing is joined.
+    Zero cells come from a generated grid added before the count; nothing is joined. Rows with a
+    label outside 0..num_classes-1 are left out, or with ``outside`` counted under label -1, which
+    the reports need: such a row is still a prediction, or an example, of its other label.
     """
     spark = df.sparkSession
     cells = spark.range(0, num_classes * num_classes, 1, 1).select(
@@ -127,7 +131,12 @@ def confusion_matrix(df: DataFrame, num_classes: int, y: str = "y", predicted: s
         F.col(y).cast("int").alias("actual"),
         F.col(predicted).cast("int").alias("predicted"),
         F.lit(1).cast("long").alias("n"),
-    ).where(F.col("actual").between(0, num_classes - 1) & F.col("predicted").between(0, num_classes - 1))
+    )
+    inside = {c: F.col(c).between(0, num_classes - 1) for c in ("actual", "predicted")}
+    if outside:
+        seen = seen.withColumns({c: F.when(ok, F.col(c)).otherwise(-1) for c, ok in inside.items()})
+    else:
+        seen = seen.where(inside["actual"] & inside["predicted"])
     return seen.unionByName(cells).groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
 
 
@@ -145,7 +154,10 @@ def _prf(tp: Column, predicted: Column, support: Column) -> list[Column]:
 
 
 def per_class_report(matrix: DataFrame) -> DataFrame:
-    """Precision, recall, F1, support and predicted count per class, from a confusion matrix."""
+    """Precision, recall, F1, support and predicted count per class, from a confusion matrix.
+
+    Pass a matrix made with ``outside`` where labels may lie outside the classes.
+    """
     sides = F.array(
         F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("guessed")),
         F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("guessed")),
@@ -156,7 +168,8 @@ def per_class_report(matrix: DataFrame) -> DataFrame:
         .groupBy("label")
         .agg(F.sum(hit).alias("tp"), F.sum("support").alias("support"), F.sum("guessed").alias("predicted"))
     )
-    return sums.select("label", *_prf(F.col("tp"), F.col("predicted"), F.col("support")), "support", "predicted")
+    report = sums.select("label", *_prf(F.col("tp"), F.col("predicted"), F.col("support")), "support", "predicted")
+    return report.where("label >= 0")
 
 
 def accuracy(df: DataFrame, y: str = "y", predicted: str = "predicted") -> DataFrame:

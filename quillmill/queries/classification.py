@@ -12,10 +12,10 @@ from quillmill.queries.registry import query, rounded, table
 CLASSES = 10
 NAMES = [f"class_{i}" for i in range(CLASSES)]
 
-# Score of class k: the sum of the k-th run of six embedding values.
+# Score of class k: the sum of all embedding values at places whose number ends in k.
 LOGITS = """
 logits AS (SELECT vec_id, label AS y,
-  list_transform(range(10), lambda k: list_sum(list_transform(embedding[k * 6 + 1 : k * 6 + 6], lambda v: v::DOUBLE))) AS z
+  list_transform(range(10), lambda k: list_sum(list_transform(list_filter(range(1, len(embedding) + 1), lambda i: (i - 1) % 10 = k), lambda i: embedding[i]::DOUBLE))) AS z
   FROM embeddings)
 """
 PROBS = f"""
@@ -62,7 +62,10 @@ areas AS (SELECT label, sum(n * (tp - p / 2)) / (sum(p) * sum(n)) AS roc_auc,
 
 def logits(spark, sf):
     """``(vec_id, y, scores)`` with ten raw scores per row."""
-    sums = [sum_of(F.slice("embedding", k * 6 + 1, 6)) for k in range(CLASSES)]
+    def of_class(k: int):
+        return sum_of(F.filter("embedding", lambda v, i: i % CLASSES == k))
+
+    sums = [of_class(k) for k in range(CLASSES)]
     return table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("y"), F.array(*sums).alias("scores"))
 
 
@@ -78,6 +81,11 @@ def matrix(spark, sf):
     return M.confusion_matrix(predictions(spark, sf), CLASSES)
 
 
+def full_matrix(spark, sf):
+    """With the rows whose label or prediction lies outside the classes."""
+    return M.confusion_matrix(predictions(spark, sf), CLASSES, outside=True)
+
+
 @query(
     "normalize_scores",
     f"WITH {PROBS} SELECT vec_id, y, CAST(unnest(range(10)) AS INT) AS class_id, round(unnest(p), 9) AS score FROM probs",
@@ -102,7 +110,7 @@ def _matrix(spark, sf):
 round(f1, 9) AS f1, CAST(support AS BIGINT) AS support, CAST(guessed AS BIGINT) AS predicted FROM per_class""",
 )
 def _per_class(spark, sf):
-    return rounded(M.per_class_report(matrix(spark, sf)), "precision", "recall", "f1")
+    return rounded(M.per_class_report(full_matrix(spark, sf)), "precision", "recall", "f1")
 
 
 @query("accuracy", f"WITH {PREDICTED} SELECT round(avg(CASE WHEN y = g THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy FROM predicted")
@@ -117,7 +125,7 @@ round(avg(recall) FILTER (WHERE support + guessed > 0), 9) AS recall, round(avg(
 round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1 FROM per_class""",
 )
 def _averaged(spark, sf):
-    summary = M.averaged_prf(M.per_class_report(matrix(spark, sf)), CLASSES)
+    summary = M.averaged_prf(M.per_class_report(full_matrix(spark, sf)), CLASSES)
     return rounded(summary, *summary.columns)
 
 
