@@ -190,6 +190,7 @@ def corpus_bleu(df: DataFrame, prediction: str = "prediction", reference: str =
     return sums.select(*([by] if by else []), "sys", "ref", *[f"m{n}" for n in orders], bleu.alias("bleu"))
 
 
-def generation_sample(df: DataFrame, order_by: str, limit: int = 16) -> DataFrame:
-    """The first ``limit`` pairs: a top-k, so each task sends at most ``limit`` rows."""
-    return df.orderBy(order_by).limit(limit)
+def generation_sample(df: DataFrame, order_by: str, limit: int | None = None) -> DataFrame:
+    """The first ``limit`` pairs, a top-k to which each task sends at most ``limit`` rows; all
+    pairs without a limit."""
+    return df if limit is None else df.orderBy(order_by).limit(limit)

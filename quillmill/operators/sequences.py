@@ -83,20 +83,21 @@ def pack_sequences(
     order_by: str,
     max_length: int = 512,
     shards: int | None = None,
+    shard_rows: int = 100_000,
     shard_key: Sequence[str] = (),
 ) -> DataFrame:
     """Concatenate token records into blocks of at most ``max_length`` tokens, next-fit.
 
     A block closes when the next record would overflow it; longer records are cut exactly at
     ``max_length``. Packing is sequential by nature, so the table is cut into ``shards`` by a hash
-    of the unique row key (as many as shuffle partitions, unless given) and each shard is packed
+    of the unique row key (one per ``shard_rows`` rows, counted here, unless given) and each shard is packed
     on its own: one shard equals one global fold, more shards give other neighbours but the same
     tokens. Rows stream through a shard in Arrow
     batches; only the open block is held, so a shard may have any size.
     """
     keys = list(shard_key) or [order_by]
     if shards is None:
-        shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shards = max(1, df.count() // shard_rows)
     shard = (F.conv(F.left(F.md5(F.concat_ws("\x01", *[F.col(c).cast("string") for c in keys])), F.lit(7)), 16, 10).cast("long") % shards).cast("int")
     ordered = (
         df.select(shard.alias("shard"), F.col(order_by).alias("_order"), *TOKEN_COLUMNS)

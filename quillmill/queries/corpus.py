@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import chunk_text, clean_text, keywords
+from quillmill.functions.text import STOP_WORDS, chunk_text, clean_text, keywords
 from quillmill.operators import corpus as C
 from quillmill.operators.ranking import slices_with_carry
 from quillmill.operators.sequences import label_index, stratified_split
@@ -16,13 +16,7 @@ from quillmill.session import materialize
 GOAL = "support"
 
 CLEAN = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
-STOPS = ", ".join(
-    f"'{w}'"
-    for w in (
-        "the and for with from that this are was were you your "
-        "les des pour avec dans une est que qui sur par aux"
-    ).split()
-)
+STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 CHUNKS = rf"""
 docs AS (SELECT doc_id, {CLEAN.format('source')} AS origin, {CLEAN.format('text')} AS t FROM documents),
@@ -335,16 +329,15 @@ def _turns(spark, sf):
 
 
 def chat_records(spark, sf):
-    """JSON chat records, as chat datasets come, of at most 64 turns each."""
+    """JSON chat records, as chat datasets come, one per conversation."""
     listed = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     messages = F.transform(listed, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    part = F.expr("turn div 64").alias("part")
-    records = table(spark, sf, "conversations").groupBy("conv_id", part).agg(F.to_json(messages).alias("messages"))
-    return records.select((F.col("conv_id") * 1_000_000 + F.col("part")).alias("record"), "messages")
+    records = table(spark, sf, "conversations").groupBy("conv_id").agg(F.to_json(messages).alias("messages"))
+    return records.select(F.col("conv_id").alias("record"), "messages")
 
 
 RECORD_PAIRS = f"""{SAID.replace('conv_id', 'record').replace('FROM conversations',
-    'FROM (SELECT conv_id * 1000000 + turn // 64 AS record, turn, role, text FROM conversations)')},
+    'FROM (SELECT conv_id AS record, turn, role, text FROM conversations)')},
 record_pairs AS (SELECT * FROM turn_pairs WHERE instruction IS NOT NULL AND output IS NOT NULL)"""
 
 

@@ -134,13 +134,14 @@ def _tokenize(spark, sf):
     return coded(spark, sf).select("conv_id", *[_joined(c) for c in S.TOKEN_COLUMNS])
 
 
-SHARDS = 4
+# A shard for this many conversations, so that their number follows the table.
+SHARD_ROWS = 64
 
 
 @query(
     "pack_sequences",
     f"""WITH {CODED},
-lens AS (SELECT conv_id, CAST(('0x' || left(md5(conv_id::VARCHAR), 7))::BIGINT % {SHARDS} AS INT) AS shard, len(ids) AS n, ids, labels FROM coded),
+lens AS (SELECT conv_id, CAST(('0x' || left(md5(conv_id::VARCHAR), 7))::BIGINT % (SELECT greatest(1, count(*) // {SHARD_ROWS}) FROM coded) AS INT) AS shard, len(ids) AS n, ids, labels FROM coded),
 folded AS (SELECT shard, list_reduce(list(DISTINCT {{'at': conv_id, 'n': n, 'block': 0, 'used': 0, 'out': []::BIGINT[]}} ORDER BY {{'at': conv_id, 'n': n, 'block': 0, 'used': 0, 'out': []::BIGINT[]}}),
   lambda a, x: CASE WHEN a.used > 0 AND a.used + x.n > 384
      THEN {{'at': x.at, 'n': x.n, 'block': CASE WHEN x.n = 384 THEN a.block + 2 ELSE a.block + 1 END, 'used': CASE WHEN x.n = 384 THEN 0 ELSE x.n END, 'out': list_append(a.out, a.block + 1)}}
@@ -152,7 +153,8 @@ SELECT shard, CAST(block AS INT) AS block, string_agg(array_to_string(ids, ','),
   string_agg(array_to_string(labels, ','), ',' ORDER BY conv_id) AS labels FROM assigned JOIN lens USING (shard, conv_id) GROUP BY ALL""",
 )
 def _pack(spark, sf):
-    packed = S.pack_sequences(coded(spark, sf), "conv_id", 384, shards=SHARDS)
+    rows = coded(spark, sf)
+    packed = S.pack_sequences(rows, "conv_id", 384, shard_rows=SHARD_ROWS)
     return packed.select("shard", "block", _joined("input_ids"), _joined("labels"))
 
 
@@ -194,5 +196,5 @@ def _train(spark, sf):
     split = S.stratified_split(rows, "y", ["vec_id"])
     model = D.train_head(split.where(F.col("split") == "train"), label="y")
     scored = M.predict_labels(D.apply_head(model, split.where(F.col("split") == "test")))
-    matrix = M.confusion_matrix(scored, model.numClasses)
+    matrix = M.confusion_matrix(scored, model.numClasses, outside=True)
     return rounded(M.averaged_prf(M.per_class_report(matrix), model.numClasses), "f1", "macro_f1", "weighted_f1", places=6)

@@ -15,7 +15,7 @@ from quillmill.queries.registry import query, rounded, table
 ANSWERS = """
 answers AS (SELECT conv_id, turn, text AS prediction, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference
             FROM conversations WHERE role = 'assistant'),
-gens AS (SELECT conv_id * 1000 + turn AS id, prediction, reference FROM answers WHERE reference IS NOT NULL)
+gens AS (SELECT conv_id || '-' || turn AS id, prediction, reference FROM answers WHERE reference IS NOT NULL)
 """
 
 
@@ -24,7 +24,7 @@ def generations(spark, sf):
     w = Window.partitionBy("conv_id", "_slice").orderBy("turn")
     paired = slices_with_carry(answers, "conv_id", "turn", 1).withColumn("reference", F.lag("text").over(w))
     return paired.where(F.col("reference").isNotNull() & ~F.col("_carried")).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("prediction"), "reference"
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("prediction"), "reference"
     )
 
 

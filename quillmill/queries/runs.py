@@ -212,7 +212,7 @@ def _key(spark, sf):
   CASE WHEN metric IN ('accuracy', 'f1', 'token_accuracy') THEN 'Quality' WHEN metric = 'perplexity' THEN 'Loss & Perplexity' ELSE 'Other' END AS metric_group,
   CASE WHEN metric IN ('accuracy', 'f1', 'token_accuracy') THEN 'percent' WHEN metric = 'perplexity' THEN 'float' ELSE 'raw' END AS kind,
   round(value, 6) AS value, CASE WHEN value IS NULL THEN '—' WHEN metric IN ('accuracy', 'f1', 'token_accuracy') THEN printf('%.2f%%', value * 100)
-    ELSE printf('%.4f', value) END AS display FROM long""",
+    WHEN metric = 'train_rows' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE printf('%.4f', value) END AS display FROM long""",
 )
 def _unpivot(spark, sf):
     return rounded(R.unpivot_metrics(run_table(spark, sf), ["run_id"], LONG), "value", places=6)
