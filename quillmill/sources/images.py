@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators.detect import CLASS_NAMES, IMAGE_NAMES, IMAGE_SUFFIXES, find_column, suffix_of
 
 
+def _bare(path: Column, spark: SparkSession) -> Column:
+    """A path without the scheme of local files or of the session's own store, in which a listing
+    spells it out and a caller usually does not."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.FileSystem.get(spark._jsc.hadoopConfiguration()).getUri().toString().rstrip("/")
+    local = F.regexp_replace(path, "^file:/+", "/")
+    own = store + "/"
+    return F.when(local.startswith(own), F.substring(local, F.lit(len(store) + 1), F.length(local))).otherwise(local)
+
+
 def image_inventory(files: DataFrame, root: str, path: str = "path") -> DataFrame:
     """The images below ``root`` with ``label``, the folder directly under it; images outside any
     class folder are left out. ``files`` is a listing such as ``list_files`` gives."""
-    base = root.rstrip("/") + "/"
-    below = F.when(F.col(path).startswith(base), F.substring(F.col(path), F.lit(len(base) + 1), F.length(path)))
+    full = _bare(F.col(path), files.sparkSession)
+    base = _bare(F.lit(root.rstrip("/") + "/"), files.sparkSession)
+    below = F.when(full.startswith(base), F.substring(full, F.length(base) + 1, F.length(full)))
     label = F.regexp_extract(below, r"^([^/]+)/.+", 1)
     return files.withColumn("label", label).where(
         suffix_of(F.col(path)).isin(IMAGE_SUFFIXES) & (F.col("label") != "")
@@ -78,4 +89,7 @@ def image_manifest(table: DataFrame, files: DataFrame, base: str) -> DataFrame:
     listed = table.select(
         full.alias("path"), F.coalesce(F.nullif(tidy, F.lit("")), F.lit("unknown")).alias("label")
     ).where(suffix_of(F.col("path")).isin(IMAGE_SUFFIXES))
-    return listed.join(files.select("path").distinct(), "path", "left_semi")
+    spark = table.sparkSession
+    there = files.select("path", _bare(F.col("path"), spark).alias("_bare")).dropDuplicates(["_bare"])
+    wanted = listed.select(_bare(F.col("path"), spark).alias("_bare"), "label")
+    return wanted.join(there, "_bare").select("path", "label")

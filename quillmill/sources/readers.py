@@ -146,20 +146,13 @@ def read_json_documents(spark: SparkSession, path: str, suffix: str | None = Non
     lists = [
         c for c in ("data", "records") if c in raw.columns and isinstance(raw.schema[c].dataType, T.ArrayType)
     ]
-    frames, rest = [], F.lit(True)
-    for name in lists:
-        items = raw.where(rest & F.col(name).isNotNull()).select(F.explode(name).alias("item"))
-        element = raw.schema[name].dataType.elementType
-        frames.append(items.select("item.*") if isinstance(element, T.StructType) else items)
-        rest = rest & F.col(name).isNull()
-    own = [c for c in raw.columns if c not in lists]
-    if not lists:
+    if not lists and not {"data", "records"} & set(raw.columns):
         return raw
-    if own:
-        plain = raw.where(rest).select(*[F.col(f"`{c}`") for c in own])
-        if plain.limit(1).count():
-            frames.append(plain)
-    return union_all(frames)
+    # Rows of a list may own such a column themselves; only the document tells, so it is parsed whole.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if suffix:
+        files = files.option("pathGlobFilter", _glob(suffix))
+    return _json_members(files.load(path).select(decode_bytes(F.col("content")).alias("text")), False)
 
 
 def read_jsonl(spark: SparkSession, path: str, suffix: str | None = None, strict: bool = True) -> DataFrame:
@@ -275,13 +268,21 @@ def _delimited_members(members: DataFrame, sep: str) -> DataFrame:
 
 
 def _json_members(members: DataFrame, by_line: bool) -> DataFrame:
-    """Rows of JSON files held as text: lists, wrapped lists and single objects."""
+    """Rows of JSON files held as text: lists, objects that wrap a list, and single objects.
+
+    A line of a JSON-lines file is a row as it is, and so is an item of a list.
+    """
     text = F.explode(F.split("text", r"\r?\n")) if by_line else F.col("text")
     docs = members.select(text.alias("text")).where(F.col("text").rlike(NOT_BLANK))
     parsed = docs.select(F.parse_json("text").alias("v"))
     is_list = F.schema_of_variant("v").startswith("ARRAY")
 
+    if by_line:
+        is_list = F.lit(False)
+
     def inner(name: str) -> Column:
+        if by_line:
+            return F.lit(None).cast("array<variant>")
         item = F.try_variant_get("v", f"$.{name}", "variant")
         return F.when(F.schema_of_variant(item).startswith("ARRAY"), item).cast("array<variant>")
 

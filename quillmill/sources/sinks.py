@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,18 +44,21 @@ def write_csv_report(df: DataFrame, path: str) -> None:
 
 
 def json_ready(df: DataFrame) -> DataFrame:
-    """Replace NaN and infinities by null in double columns and arrays of doubles."""
-
-    def safe(field: T.StructField):
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            return finite(column).alias(field.name)
-        is_list = isinstance(field.dataType, T.ArrayType)
-        if is_list and isinstance(field.dataType.elementType, (T.DoubleType, T.FloatType)):
-            return F.transform(column, finite).alias(field.name)
+    """Replace NaN and infinities by null at every depth."""
+
+    def safe(column: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return finite(column)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(column, lambda v: safe(v, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(column, lambda k, v: safe(v, kind.valueType))
+        if isinstance(kind, T.StructType):
+            fields = [safe(column.getField(f.name), f.dataType).alias(f.name) for f in kind]
+            return F.when(column.isNotNull(), F.struct(*fields))
         return column
 
-    return df.select(*[safe(f) for f in df.schema])
+    return df.select(*[safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
 
 
 def write_metrics_json(df: DataFrame, path: str) -> None:
