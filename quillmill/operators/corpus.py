@@ -146,9 +146,12 @@ def pair_columns(columns: Sequence[str]) -> tuple[str, str] | None:
     return (prompt, response) if prompt and response and prompt != response else None
 
 
-def columns_to_pair(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Pairs from a prompt and a response column; an extra ``input`` column joins the prompt."""
-    found = pair_columns(df.columns)
+def columns_to_pair(df: DataFrame, keep: Sequence[str] = (), ids: Sequence[str] = ()) -> DataFrame:
+    """Pairs from a prompt and a response column; an extra ``input`` column joins the prompt.
+
+    Columns named in ``ids`` are never taken for a prompt or response.
+    """
+    found = pair_columns([c for c in df.columns if c not in ids])
     if found is None:
         raise ValueError("no prompt and response columns")
     prompt, response = found
@@ -224,10 +227,10 @@ def to_instruction_output(
         if pairs.limit(1).count():
             out = pairs.select(id_col, "chunk", "pair.instruction", "pair.output", "source")
             return out, {"prompt": "messages", "response": "messages"}, False
-    found = pair_columns(df.columns)
+    found = pair_columns([c for c in df.columns if c != id_col])
     if found is not None:
         keep = [id_col, *([lower["source"]] if "source" in lower else [])]
-        tagged = columns_to_pair(df, keep=keep)
+        tagged = columns_to_pair(df, keep=keep, ids=[id_col])
         origin = F.col(f"`{lower['source']}`") if "source" in lower else F.lit(None).cast("string")
         out = tagged.select(
             id_col, F.lit(0).alias("chunk"), "instruction", "output", origin.alias("source")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmill.operators.ranking import two_level_rank
 from quillmill.session import materialize
@@ -288,14 +291,25 @@ def unpivot_metrics(runs: DataFrame, ids: Sequence[str], metrics: Sequence[str])
     def spec(name: str) -> tuple[str, str, str]:
         return specs.get(name, (name.replace("_", " ").title(), "Other", "raw"))
 
-    def display(value: Column, kind: str) -> Column:
-        if kind == "percent":
+    def number(name: str) -> Column:
+        if isinstance(runs.schema[name].dataType, T.NumericType):
+            return F.col(name).cast("double")
+        return F.lit(None).cast("double")
+
+    def display(name: str, kind: str) -> Column:
+        """Whole numbers and texts show as they are, unless the kind asks for more."""
+        own, value, dtype = F.col(name), number(name), runs.schema[name].dataType
+        if isinstance(dtype, T.BooleanType):
+            text = F.initcap(own.cast("string"))
+        elif not isinstance(dtype, T.NumericType):
+            text = own.cast("string")
+        elif kind == "percent":
             text = F.format_string("%.2f%%", F.bround(value * 100, 2))
-        elif kind == "int":
-            text = value.cast("long").cast("string")
+        elif kind == "int" or (kind == "raw" and isinstance(dtype, T.IntegralType)):
+            text = own.cast("long").cast("string")
         else:
             text = F.format_string("%.4f", F.bround(value, 4))
-        return F.when(value.isNull(), "—").otherwise(text)
+        return F.when(own.isNull(), "—").otherwise(text)
 
     rows = F.array(
         *[
@@ -304,8 +318,8 @@ def unpivot_metrics(runs: DataFrame, ids: Sequence[str], metrics: Sequence[str])
                 F.lit(spec(name)[0]).alias("label"),
                 F.lit(spec(name)[1]).alias("metric_group"),
                 F.lit(spec(name)[2]).alias("kind"),
-                F.col(name).cast("double").alias("value"),
-                display(F.col(name).cast("double"), spec(name)[2]).alias("display"),
+                number(name).alias("value"),
+                display(name, spec(name)[2]).alias("display"),
             )
             for name in metrics
         ]
@@ -332,21 +346,33 @@ def run_diagnostics(
 
 # ---- capacity matching --------------------------------------------------------------------
 
-MAX_CATALOG = 1_000
-
-
 def catalog_items(catalog: DataFrame) -> DataFrame:
-    """``id, need, size, position, cpu_ok`` of catalog rows in their given ``position`` order."""
-    params = F.coalesce("params_b", F.lit(1.0))
+    """``id, need, size, position, cpu_ok`` of catalog rows in their given ``position`` order; an
+    unknown size stays null."""
+    cpu = (F.coalesce("params_b", F.lit(1.0)) <= 0.6) | F.coalesce(F.array_contains("recommended_for", "cpu"), F.lit(False))
     return catalog.select(
         "id",
         F.coalesce("vram_qlora_gb", "vram_min_gb", F.lit(999.0)).cast("double").alias("need"),
-        params.cast("double").alias("size"),
+        F.col("params_b").cast("double").alias("size"),
         "position",
-        ((params <= 0.6) | F.coalesce(F.array_contains("recommended_for", "cpu"), F.lit(False))).alias("cpu_ok"),
+        cpu.alias("cpu_ok"),
     )
 
 
+def _level_answers(items: pd.DataFrame) -> pd.DataFrame:
+    """Per requirement level: the largest, smallest and middle item at or below it."""
+    by_size: list[tuple] = []
+    largest, smallest, rows = None, None, []
+    for need, level in items.sort_values(["need", "position"]).groupby("need", sort=True):
+        for size, position, name in zip(level["size"], level["position"], level["id"]):
+            known = size == size  # not NaN
+            insort(by_size, (size if known else 0.0, position, name))
+            largest = max(filter(None, (largest, (size if known else 0.0, -position, name))))
+            smallest = min(filter(None, (smallest, (size if known else 999.0, position, name))))
+        rows.append((items["on"].iloc[0], need, largest[2], smallest[2], by_size[len(by_size) // 2][2]))
+    return pd.DataFrame(rows, columns=["on", "need", "largest", "smallest", "middle"])
+
+
 def best_fit_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """Choose a catalog item for every request; adds ``choice``.
 
@@ -354,43 +380,35 @@ def best_fit_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     ``catalog``: id, need, size, position, cpu_ok. CPU requests may take the ``cpu_ok`` items,
     others those with ``need <= capacity``; with none the first item is taken. Performance takes
     the largest on mid and high tiers, memory the smallest, others the middle one by size; ties
-    go to the earlier position. An override wins.
+    go to the earlier position. An unknown size counts as 0, or as 999 among the smallest. An
+    override wins.
 
     The choice depends on the capacity only through the highest requirement level it reaches. The
-    answers per level are worked out once and reach the requests as one literal list: no pair of
-    request and item is ever formed, and the requests are neither joined nor shuffled. The list
-    is allowed because the catalog's size is checked first.
+    catalog is a dimension table: one pass over it in order of need, n log n in one task, works out
+    the answers per level, and they reach the requests as one list, in which a request finds its
+    level by bisection. No pair of request and item is formed, and requests are not shuffled.
     """
-    if catalog.limit(MAX_CATALOG + 1).count() > MAX_CATALOG:
-        raise ValueError(f"the catalog is a dimension of at most {MAX_CATALOG} items")
-    item = F.struct("size", "position", "id")
-
-    def answers(fit: Column) -> Column:
-        """Largest, smallest and middle id of items sorted by size and position."""
-        top = F.element_at(fit, -1)["size"]
-        return F.struct(
-            F.get(F.filter(fit, lambda e: e["size"] == top), F.lit(0))["id"].alias("largest"),
-            F.get(fit, F.lit(0))["id"].alias("smallest"),
-            F.get(fit, F.floor(F.size(fit) / 2).cast("int"))["id"].alias("middle"),
-        )
-
-    # The catalog was just checked, so one task may order it.
-    up_to_level = Window.orderBy("need").rangeBetween(Window.unboundedPreceding, 0)
-    levels = (
-        catalog.select("need", F.sort_array(F.collect_list(item).over(up_to_level)).alias("fit"))
-        .dropDuplicates(["need"])
-        .select(F.struct("need", answers(F.col("fit")).alias("answer")).alias("level"))
-        .agg(F.sort_array(F.collect_list("level")).alias("levels"))
+    offers = catalog.select("id", "need", "size", "position", F.lit("gpu").alias("on")).unionByName(
+        catalog.where("cpu_ok").select("id", F.lit(0.0).alias("need"), "size", "position", F.lit("cpu").alias("on"))
     )
-    on_cpu = catalog.where("cpu_ok").agg(F.sort_array(F.collect_list(item)).alias("fit"))
-    cpu_answer = on_cpu.where(F.size("fit") > 0).select(answers(F.col("fit")).alias("answer"))
+    fields = "on string, need double, largest string, smallest string, middle string"
+    answers = offers.withColumns({"id": F.col("id").cast("string"), "need": F.col("need").cast("double")})
+    answers = answers.groupBy("on").applyInPandas(_level_answers, fields)
+    level = F.struct("need", F.struct("largest", "smallest", "middle").alias("answer"))
+    lists = answers.agg(
+        F.sort_array(F.collect_list(F.when(F.col("on") == "gpu", level))).alias("levels"),
+        F.first(F.when(F.col("on") == "cpu", level["answer"]), ignorenulls=True).alias("cpu"),
+    ).select(F.struct("levels", "cpu").alias("all"))
     first = catalog.agg(F.min_by("id", "position").alias("id"))
-    reached = F.size(F.filter("_levels", lambda e: e["need"] <= F.col("capacity")))
-    fitted = requests.withColumn("_levels", levels.scalar()).withColumn(
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(24))])
+    reached = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.get(F.col("_all.levels"), at + step - 1)["need"] <= F.col("capacity"), at + step).otherwise(at),
+    )
+    fitted = requests.withColumn("_all", lists.scalar()).withColumn(
         "_fit",
-        F.when(F.col("tier") == "cpu", cpu_answer.scalar()).otherwise(
-            F.get("_levels", F.greatest(reached, F.lit(0)) - 1)["answer"]
-        ),
+        F.when(F.col("tier") == "cpu", F.col("_all.cpu")).otherwise(F.get(F.col("_all.levels"), reached - 1)["answer"]),
     )
     big = (F.col("objective") == "performance") & F.col("tier").isin("mid_gpu", "high_gpu")
     picked = (
@@ -399,4 +417,4 @@ def best_fit_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         .otherwise(F.col("_fit.middle"))
     )
     choice = F.coalesce(F.nullif(F.col("override"), F.lit("")), picked, first.scalar())
-    return fitted.withColumn("choice", choice).drop("_fit", "_levels")
+    return fitted.withColumn("choice", choice).drop("_fit", "_all")

@@ -127,10 +127,12 @@ def test_matching(spark, seed):
     assert got == {n: choose(items, *rest) for n, *rest in asks}
 
 
-def test_matching_checks_the_catalog_size(spark):
-    big = spark.range(R.MAX_CATALOG + 1).selectExpr("cast(id as string) id", "1.0D need", "1.0D size", "id position", "true cpu_ok")
-    with pytest.raises(ValueError):
-        R.best_fit_match(spark.createDataFrame([], "request_id int, tier string, capacity double, objective string, override string"), big)
+def test_matching_takes_a_large_catalog(spark):
+    big = spark.range(5000).selectExpr("cast(id as string) id", "id * 1.0D need", "if(id = 7, null, id * 1.0D) size", "id position", "id < 9 cpu_ok")
+    asks = [(1, "high_gpu", 4000.5, "performance", None), (2, "high_gpu", 4000.5, "memory", None), (3, "low_gpu", 10.0, "other", None), (4, "cpu", 0.0, "memory", None)]
+    requests = spark.createDataFrame(asks, "request_id int, tier string, capacity double, objective string, override string")
+    got = {r.request_id: r.choice for r in R.best_fit_match(requests, big).collect()}
+    assert got == {1: "4000", 2: "0", 3: "4", 4: "0"}
 
 
 def test_catalog_rows(spark):
