@@ -357,12 +357,18 @@ def quality_report(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Row count, quality score, mean lengths, duplicates and short share, overall or per group.
 
     Counts per distinct pair, then per distinct instruction, then per group: each level partially
-    aggregates before its shuffle, so neither a hot group nor a hot text lands in one task.
+    aggregates before its shuffle, so neither a hot group nor a hot text lands in one task. Texts are
+    told apart by their SHA-256; only digests and lengths are shuffled.
     """
-    base = df.select(*by, "instruction", "output")
-    pairs = base.groupBy(*by, "instruction", "output").agg(F.count(F.lit(1)).alias("n"))
-    output_len = F.length(F.coalesce("output", F.lit("")))
-    prompt_len = F.length(F.coalesce("instruction", F.lit("")))
+    base = df.select(
+        *by,
+        *[F.unhex(F.sha2(c, 256)).alias(c) for c in ("instruction", "output")],
+        *[F.length(F.coalesce(c, F.lit(""))).alias(f"{c}_len") for c in ("instruction", "output")],
+    )
+    pairs = base.groupBy(*by, "instruction", "output").agg(
+        F.count(F.lit(1)).alias("n"), *[F.max(f"{c}_len").alias(f"{c}_len") for c in ("instruction", "output")]
+    )
+    output_len, prompt_len = F.col("output_len"), F.col("instruction_len")
     n = F.col("n")
     asked = pairs.groupBy(*by, "instruction").agg(
         F.sum("n").alias("rows"),
