@@ -33,22 +33,27 @@ def recent_turns(
     max_turns: int = MAX_TURNS,
     max_context: int = MAX_CONTEXT,
     max_turn: int = MAX_TURN,
-    width: int = 4096,
+    width: int = 100_000,
 ) -> DataFrame:
     """The context of every user turn: ``history``, an array of (role, content) before it.
 
     Only non-empty user and assistant turns count; each is clipped, the last ``max_turns`` are
     taken, and the oldest are dropped until the rest fits ``max_context``. Conversations are cut
-    into slices of ``width`` turn numbers that carry over the few turns they look back on, so a
-    conversation of any length is spread over many tasks.
+    into slices of ``width`` turns that carry over the few turns they look back on, so a
+    conversation of any length is spread over many tasks. Answers are clipped before they are
+    shuffled.
     """
     said = turns.where(F.col(role).isin("user", "assistant") & (F.col(text) != "")).select(
-        conv, F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("said")
+        conv,
+        F.col(turn).alias("turn"),
+        F.col(role).alias("role"),
+        F.when(F.col(role) == "user", F.col(text)).alias("said"),
+        clip_text(F.col(text), max_turn).alias("clipped"),
     )
     everything = slices_with_carry(said, conv, "turn", max_turns, width)
     frame = Window.partitionBy(conv, "_slice").orderBy("turn").rowsBetween(-max_turns, -1)
     earlier = F.collect_list(
-        F.struct(F.col("role"), clip_text(F.col("said"), max_turn).alias("content"))
+        F.struct(F.col("role"), F.col("clipped").alias("content"))
     ).over(frame)
     state = "struct<kept:int,used:int,full:boolean>"
 

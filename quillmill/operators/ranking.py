@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.session import materialize
+
 # A side is broadcast only if the caller can prove it has at most this many rows.
 BROADCAST_ROWS = 10_000
 
@@ -81,30 +83,53 @@ def at_or_below_cut(cut: DataFrame, ids: Sequence[str], seed: int = 42) -> Colum
     return F.coalesce(own <= cut.scalar(), F.lit(False))
 
 
+def has_long_key(df: DataFrame, keys: Sequence[str], width: int) -> bool:
+    """Whether a key has more than ``width`` rows. Runs a job that reads the key columns only."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] > width
+
+
 def two_level_rank(
-    df: DataFrame, keys: Sequence[str], position: str, width: int = 4096
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    width: int = 100_000,
+    rank: str = "rank",
+    total: str = "total",
 ) -> DataFrame:
     """Add ``rank`` (from 1, by ``position`` within ``keys``) and ``total``.
 
-    Rows are numbered inside ``position div width`` slices, and each slice is shifted by the
-    count of the slices before it, so one hot key is spread over many tasks.
+    Where a key has more than ``width`` rows, the table is range-partitioned by key and position
+    and written; rows are numbered inside each range and shifted by the counts of the key's ranges
+    before it. Ranges are even whatever the keys and positions are: sparse, dense or tied. Runs
+    the jobs that measure the keys and write the ranges.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(position) / width))
-    groups = [*keys, "_slice"]
-    sizes = sliced.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    by_key = Window.partitionBy(*keys)
-    before = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    if not has_long_key(df, keys, width):
+        number = F.row_number().over(whole.orderBy(position)).cast("long")
+        return df.withColumns({rank: number, total: F.count(F.lit(1)).over(whole)})
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(
+        df.repartitionByRange(parts, *keys, position).withColumn("_range", F.spark_partition_id()), "ranges"
+    )
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    # At most one row per key and range.
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *groups,
+        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
+        F.col("_range").alias("_key_range"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(by_key).alias("total"),
+        F.sum("_n").over(whole).alias(total),
     )
-    inside = Window.partitionBy(*groups).orderBy(position)
+    same = F.col("_range") == F.col("_key_range")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(position))
     return (
-        sliced.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, groups)
-        .withColumn("rank", F.col("_inside") + F.col("_before"))
-        .drop("_slice", "_inside", "_before")
+        ranged.withColumn("_inside", inside)
+        .join(offsets, same)
+        .withColumn(rank, F.col("_inside") + F.col("_before"))
+        .select(*df.columns, rank, total)
     )
 
 
@@ -174,35 +199,23 @@ def running_counts(
 
 
 def slices_with_carry(
-    df: DataFrame, key: str, position: str, carry: int, width: int = 4096
+    df: DataFrame, key: str, position: str, carry: int, width: int = 100_000
 ) -> DataFrame:
-    """Cut each key into slices of ``width`` positions for windows that look back ``carry`` rows.
+    """Cut each key into slices of ``width`` rows for windows that look back ``carry`` rows.
 
     Adds ``_slice`` and ``_carried``. Every slice after a key's first also receives, marked as
     carried, the ``carry`` rows before it, so a window over (key, _slice) sees what a window over
-    the key would, and a key of any length is spread over many tasks. Only keys with more than
-    one slice cost anything: whether there are any, and whether their list may be broadcast, is
-    measured first from the key and position columns.
+    the key would, and a key of any length is spread over many tasks. Slices go by rank, so a row
+    knows by itself whether the next slice needs it. Runs the jobs of :func:`two_level_rank`.
     """
-    slice_of = F.floor(F.col(position) / width)
-    sliced = df.withColumns({"_slice": slice_of, "_carried": F.lit(False)})
-    long_keys = df.where(slice_of != 0).select(key)
-    known = distinct_bound(long_keys, key)
-    if known == 0:
-        return sliced
-    newest = Window.partitionBy(key, "_slice").orderBy(F.desc(position))
-    tails = (
-        sliced.join(broadcast_if(long_keys.distinct(), known), key, "left_semi")
-        .withColumn("_back", F.row_number().over(newest))
-        .where(F.col("_back") <= carry)
-    )
-    # At most ``carry`` rows per slice are left here.
-    in_order = Window.partitionBy(key).orderBy(position)
-    before = F.collect_list(F.struct(*df.columns)).over(in_order.rowsBetween(-carry, -1))
-    carried = (
-        tails.withColumns({"_before": before, "_last": F.lag("_slice").over(in_order)})
-        .where(F.col("_last") != F.col("_slice"))
-        .select("_slice", F.inline("_before"))
-        .withColumn("_carried", F.lit(True))
+    width = max(width, carry, 1)
+    if not has_long_key(df, [key], width):
+        return df.withColumns({"_slice": F.lit(0).cast("long"), "_carried": F.lit(False)})
+    ranked = two_level_rank(df, [key], position, width, "_rank", "_total")
+    own = F.floor((F.col("_rank") - 1) / width)
+    last = (own + 1) * width
+    needed = (F.col("_rank") > last - carry) & (F.col("_total") > last)
+    copies = F.when(needed, F.array(own, own + 1)).otherwise(F.array(own))
+    return ranked.select(*df.columns, F.posexplode(copies).alias("_copy", "_slice")).select(
+        *df.columns, "_slice", (F.col("_copy") == 1).alias("_carried")
     )
-    return sliced.unionByName(carried)

@@ -79,13 +79,18 @@ def _events(signals: DataFrame, run: str) -> DataFrame:
         head = F.min_by(F.when(hit, F.col("head")), F.when(hit, F.col("seq")))
         return F.concat(F.lit(prefix), head)
 
-    return signals.groupBy(run).agg(
+    # Flags have fixed widths and aggregate by hash; texts are only compared on the lines reported.
+    flags = signals.groupBy(run).agg(
         F.bool_or("oom").alias("oom_detected"),
         F.bool_or("nan").alias("nan_loss_detected"),
-        first("oom", "OOM: ").alias("oom_event"),
-        first("nan", "NaN: ").alias("nan_event"),
         F.count("loss").alias("losses"),
     )
+    heads = signals.where(F.col("oom") | F.col("nan")).groupBy(F.col(run).alias("_run")).agg(
+        first("oom", "OOM: ").alias("oom_event"), first("nan", "NaN: ").alias("nan_event")
+    )
+    return flags.join(heads, F.col(run).eqNullSafe(F.col("_run")), "left").select(
+        run, "oom_detected", "nan_loss_detected", "oom_event", "nan_event", "losses"
+    )
 
 
 def _trends(losses: DataFrame, run: str, width: int) -> DataFrame:
@@ -107,24 +112,27 @@ def _trends(losses: DataFrame, run: str, width: int) -> DataFrame:
 
 
 def extract_log_events(logs: DataFrame, run: str = "run_id", seq: str = "seq", msg: str = "msg") -> DataFrame:
-    """Per run: OOM and NaN flags, their first messages, and the number of losses."""
-    return _events(line_signals(logs, run, seq, msg), run)
+    """Per run: OOM and NaN flags, their first messages, and the number of losses.
+
+    One pass over the log writes the signals of its lines, a few bytes each.
+    """
+    return _events(materialize(line_signals(logs, run, seq, msg), "signals"), run)
 
 
 def loss_trend(
-    logs: DataFrame, run: str = "run_id", seq: str = "seq", msg: str = "msg", width: int = 4096
+    logs: DataFrame, run: str = "run_id", seq: str = "seq", msg: str = "msg", width: int = 100_000
 ) -> DataFrame:
     """Per run with losses: means of the earlier and later half, and the trend.
 
-    The losses are read off the log once and written, a few bytes each; ranks are then taken
-    inside slices of ``seq``, so one run may hold any share of the log.
+    The losses are read off the log once and written, a few bytes each; runs of more than ``width``
+    losses are ranked in even ranges of ``seq``, so one run may hold any share of the log.
     """
     losses = line_signals(logs, run, seq, msg).where(F.col("loss").isNotNull())
     return _trends(materialize(losses.select(run, "seq", "loss"), "losses"), run, width)
 
 
 def training_health(
-    logs: DataFrame, metrics: DataFrame, run: str = "run_id", width: int = 4096
+    logs: DataFrame, metrics: DataFrame, run: str = "run_id", width: int = 100_000
 ) -> DataFrame:
     """One row per run of ``metrics(run, eval_loss, train_loss)`` with flags, events and trend.
 

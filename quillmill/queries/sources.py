@@ -7,11 +7,11 @@ fresh folder and reads it back; the SQL is the table itself.
 from __future__ import annotations
 
 import io
-import os
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,19 +106,18 @@ def _any(spark, sf):
 
 
 def zipped_pages(spark, sf) -> str:
-    """One archive per 64 pages, written by the tasks that hold them."""
+    """One archive per 64 pages, written to the shared folder by the tasks that hold them."""
     path = scratch_path(spark, "zips")
-    target = path.removeprefix("file:")
-    os.makedirs(target, exist_ok=True)
-
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, folder = FileSystem.from_uri(path)
+        files.create_dir(folder)
         for batch in batches:
             for part, members in zip(batch["part"], batch["members"]):
                 held = io.BytesIO()
                 with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
                     for member in members:
                         archive.writestr(f"pages/{member['page_id']}.md", member["html"])
-                with open(f"{target}/part-{part}.zip", "wb") as out:
+                with files.open_output_stream(f"{folder}/part-{part}.zip") as out:
                     out.write(held.getvalue())
                 yield pd.DataFrame({"part": [part]})
 
