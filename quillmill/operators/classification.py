@@ -347,6 +347,11 @@ def multilabel_auc(df: DataFrame, num_labels: int, y: str = "y", scores: str = "
     return curve_areas(curve_counts(counts, num_labels))
 
 
+def multilabel_auc_summary(areas: DataFrame) -> DataFrame:
+    """Macro ROC AUC and macro PR AUC: plain means over the labels of :func:`multilabel_auc`."""
+    return areas.agg(F.avg("roc_auc").alias("macro_roc_auc"), F.avg("pr_auc").alias("macro_pr_auc"))
+
+
 def scalar_metrics(metrics: DataFrame, task: str = "image", metric: str = "metric", value: str = "value") -> DataFrame:
     """The finite numbers among the named metrics of a long metric table."""
     return metrics.withColumn(value, finite(F.col(value))).where(

@@ -162,6 +162,23 @@ def label_index(df: DataFrame, label: str = "label") -> DataFrame:
     return names.withColumn("label_id", F.row_number().over(Window.orderBy("label")) - 1)
 
 
+def label_quotas(sizes: DataFrame, ratio: float) -> DataFrame:
+    """``(_label, quota, total, least, want)`` from ``(_label, rows)``: largest remainders of
+    ``ceil(ratio * total)`` rows. One row per label; products of counts are decimals."""
+    whole = lambda name: F.col(name).cast("decimal(19,0)")
+    all_labels = Window.partitionBy()
+    by_rest = Window.orderBy(F.desc("rest"), "_label")
+    return (
+        sizes.withColumns({"total": F.sum("rows").over(all_labels), "least": F.min("rows").over(all_labels)})
+        .withColumn("want", F.ceil(F.lit(ratio) * F.col("total")))
+        .withColumns({"share": whole("want") * whole("rows"), "all": whole("total")})
+        .withColumns({"base": F.expr("share div all"), "rest": F.col("share") % F.col("all")})
+        .withColumn("spare", F.col("want") - F.sum("base").over(all_labels))
+        .withColumn("quota", F.col("base") + (F.row_number().over(by_rest) <= F.col("spare")).cast("long"))
+        .select("_label", "quota", "total", "least", "want")
+    )
+
+
 def _quota_cuts(
     df: DataFrame,
     label: str,
@@ -179,24 +196,7 @@ def _quota_cuts(
     key = df.select(F.col(label).alias("_label"), hash_key(ids, seed).alias("h"), *ids)
     prefix = F.substring("h", 1, digits)
     counts = key.groupBy("_label", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("_label").agg(F.sum("n").alias("rows"))
-    # From here on one row per label.
-    all_labels = Window.partitionBy()
-    by_rest = Window.orderBy(F.desc("rest"), "_label")
-    quotas = (
-        sizes.withColumns({"total": F.sum("rows").over(all_labels), "least": F.min("rows").over(all_labels)})
-        .withColumn("want", F.ceil(F.lit(ratio) * F.col("total")))
-        .withColumn("share", F.col("want") * F.col("rows"))
-        .withColumns(
-            {
-                "base": F.expr("share div total"),
-                "rest": F.col("share") % F.col("total"),
-            }
-        )
-        .withColumn("spare", F.col("want") - F.sum("base").over(all_labels))
-        .withColumn("quota", F.col("base") + (F.row_number().over(by_rest) <= F.col("spare")).cast("long"))
-        .select("_label", "quota", "total", "least", "want")
-    )
+    quotas = label_quotas(counts.groupBy("_label").agg(F.sum("n").alias("rows")), ratio)
     upto = Window.partitionBy("_label").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
     edges = (
         counts.withColumn("upto", F.sum("n").over(upto))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators.corpus import (
@@ -18,6 +18,7 @@ from quillmill.operators.corpus import (
     to_instruction_output,
 )
 from quillmill.session import materialize
+from quillmill.sources.readers import read_any
 
 
 @dataclass(frozen=True)
@@ -31,9 +32,34 @@ class TextBundle:
     report: DataFrame
 
 
+ROW_DIGEST = "_row_digest"
+
+
+def with_row_digest(raw: DataFrame) -> DataFrame:
+    """Add a digest of the whole row, an id for tables that have none.
+
+    Equal rows share it; the pairs they give are equal too and collapse when pairs are deduplicated.
+    """
+    if not raw.columns:
+        raise ValueError("a table without columns has no pairs")
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns]), {"ignoreNullFields": "false"})
+    return raw.withColumn(ROW_DIGEST, F.sha2(row, 256))
+
+
+def prepare_text_path(spark: SparkSession, path: str, **options) -> TextBundle:
+    """:func:`prepare_text_dataset` from a file, folder or archive; the options are its own.
+
+    Raises ``ValueError`` if no pair is found.
+    """
+    bundle = prepare_text_dataset(read_any(spark, path), **options)
+    if bundle.all_rows.isEmpty():
+        raise ValueError(f"no instruction/output pairs found in {path}")
+    return bundle
+
+
 def prepare_text_dataset(
     raw: DataFrame,
-    id_col: str,
+    id_col: str | None = None,
     goal: str = "",
     eval_ratio: float = 0.1,
     max_samples: int | None = None,
@@ -43,7 +69,10 @@ def prepare_text_dataset(
 
     The deduplicated corpus is written once; sampling, splitting and reporting then read only
     the columns they need from it. ``duplicates`` counts the rows that deduplication removed.
+    Without ``id_col``, a unique column, rows are told apart by their digest.
     """
+    if id_col is None:
+        raw, id_col = with_row_digest(raw), ROW_DIGEST
     pairs, mapping, generated = to_instruction_output(raw, id_col, goal)
     unique = dedupe_pairs(filter_pairs(pairs), [id_col, "chunk"], copies="copies")
     corpus = materialize(unique, "corpus")

@@ -270,6 +270,16 @@ def _multilabel_auc(spark, sf):
     return rounded(M.multilabel_auc(two_labels(spark, sf), 2), "roc_auc", "pr_auc")
 
 
+@query(
+    "multilabel_auc_summary",
+    f"""WITH {TWO_LABELS}, {areas('cells')}
+SELECT round(avg(roc_auc), 9) AS macro_roc_auc, round(avg(pr_auc), 9) AS macro_pr_auc FROM areas""",
+)
+def _multilabel_auc_summary(spark, sf):
+    summary = M.multilabel_auc_summary(M.multilabel_auc(two_labels(spark, sf), 2))
+    return rounded(summary, *summary.columns)
+
+
 # ---- status and scalar metrics per source -------------------------------------------------
 
 

@@ -278,6 +278,12 @@ def _bundle_report(spark, sf):
     return rounded(bundle.report, "avg_prompt_chars", "avg_response_chars", places=6)
 
 
+@query("prepare_without_id", f"WITH {AUGMENTED}, {REPORT} SELECT * FROM report")
+def _prepare_without_id(spark, sf):
+    bundle = prepare_text_dataset(documents(spark, sf).drop("doc_id"))
+    return rounded(bundle.report, "avg_prompt_chars", "avg_response_chars", places=6)
+
+
 @query(
     "text_data_warnings",
     f"""WITH {PAIRS}, tagged AS (SELECT doc_id AS d, * FROM pairs), q AS ({quality('tagged', 'd')})

@@ -1,14 +1,18 @@
 """Corpus operators: pairs, exact choices, splits, reports."""
 
 import math
+from collections import Counter
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmill.operators import corpus as C
 from quillmill.operators import detect, sequences
-from quillmill.operators.ranking import two_level_rank
-from quillmill.plans.prepare import prepare_text_dataset
+from quillmill.operators.ranking import slices_with_carry, two_level_rank
+from quillmill.operators.sequences import label_quotas
+from quillmill.plans.prepare import prepare_text_dataset, prepare_text_path
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -179,3 +183,52 @@ def test_subtype_and_task(spark):
     table = spark.createDataFrame(listing, "dataset string, container string, path string, user_task string, goal string")
     got = {r.dataset: r.task for r in detect.detect_task(table).collect()}
     assert got == {"a": "image_classification", "b": "text_qa", "c": "image_classification", "d": "text_qa"}
+
+
+@pytest.mark.parametrize("width", [2, 4, 1000])
+@pytest.mark.parametrize("step", [1, 10_000_000_000])
+def test_slices_carry_what_a_window_looks_back_on(spark, width, step):
+    """One key holds most rows; positions are dense or sparse, and some keys are null."""
+    rows = [("hot", p * step) for p in range(41)] + [("b", 5), ("b", 2), ("c", 7), (None, 1), (None, 3)]
+    df = spark.createDataFrame(rows, "k string, p long")
+    sliced = slices_with_carry(df, "k", "p", 2, width)
+    w = Window.partitionBy("k", "_slice").orderBy("p").rowsBetween(-2, -1)
+    got = sliced.withColumn("seen", F.collect_list("p").over(w)).where("not _carried").collect()
+    expected = {}
+    for key in {k for k, _ in rows}:
+        own = sorted(p for k, p in rows if k == key)
+        expected |= {(key, p): own[max(0, i - 2) : i] for i, p in enumerate(own)}
+    assert len(got) == len(rows) and {(r.k, r.p): r.seen for r in got} == expected
+    sizes = Counter((r.k, r["_slice"]) for r in got)
+    assert max(sizes.values()) <= max(width, 2)
+
+
+def test_rank_of_tied_positions(spark):
+    df = spark.createDataFrame([("k", 1)] * 9 + [("k", 2)] * 9 + [(None, 4)], "k string, p long")
+    got = two_level_rank(df, ["k"], "p", 3).collect()
+    assert sorted(r["rank"] for r in got if r.k) == list(range(1, 19))
+    assert all((r["rank"] <= 9) == (r.p == 1) and r.total == 18 for r in got if r.k)
+    assert [(r["rank"], r.total) for r in got if r.k is None] == [(1, 1)]
+
+
+def test_quotas_of_very_many_rows(spark):
+    sizes = {"a": 70_000_000_001, "b": 29_999_999_999, "c": 3}
+    got = {r["_label"]: r for r in label_quotas(spark.createDataFrame(list(sizes.items()), "_label string, rows long"), 0.15).collect()}
+    total = sum(sizes.values())
+    want = math.ceil(0.15 * total)
+    assert sum(r.quota for r in got.values()) == want
+    assert all(abs(got[k].quota - Fraction(want * n, total)) < 1 for k, n in sizes.items())
+    assert {r.total for r in got.values()} == {total}
+
+
+def test_prepare_without_an_id(spark, tmp_path):
+    answer = "A sufficiently long answer about topic number"
+    lines = [f'{{"instruction": "What about topic {i % 30}?", "output": "{answer} {i % 30}."}}' for i in range(60)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    bundle = prepare_text_path(spark, str(tmp_path / "a.jsonl"))
+    report = bundle.report.first()
+    assert bundle.all_rows.count() == 30 and report.raw_rows == 60 and report.duplicates == 30
+    assert report.train_rows + report.eval_rows >= 30
+    (tmp_path / "b.jsonl").write_text('{"instruction": "a", "output": ""}\n')
+    with pytest.raises(ValueError, match="no instruction"):
+        prepare_text_path(spark, str(tmp_path / "b.jsonl"))
