@@ -12,8 +12,9 @@ The top of the tree is fitted on a bounded sample of the fingerprints; all finge
 and searched, so the sample affects balance only, not results.
 
 Null texts are empty; a text without words has fingerprint zero and links like any other. Rows
-with the same id are one document, a null id is the lowest id. Other columns are not read by the
-report and all kept by ``keep_one``; an empty table gives an empty result.
+with the same id are one document. A null id names no document: its rows link by their fingerprints
+alone, and it counts as the lowest id of a component, whose id is then null. Other columns are not
+read by the report and all kept by ``keep_one``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -215,27 +216,36 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The staged table ``k`` (the id, null as the lowest), ``f``."""
+    """The staged table ``k`` (the id, null as the lowest), ``t`` (a hash of the text), ``f``."""
     run = common.per_value(fingerprint, "long")
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID)).alias("k")
-    return common.staged(df.select(k, run(common.text_of(text_col)).alias("f")), "simhash")
+    text = common.text_of(text_col)
+    return common.staged(df.select(k, F.xxhash64(text).alias("t"), run(text).alias("f")), "simhash")
 
 
-def components(prints: DataFrame) -> DataFrame:
-    """``f, component``: the smallest ``k`` reachable from each fingerprint."""
+def labelled(prints: DataFrame) -> DataFrame:
+    """The staged table ``f, k, t, label``: per fingerprint its first document, by ``k`` and ``t``, and
+    the label of its component."""
+    first = F.min(F.struct("k", "t")).alias("first")
+    distinct = common.staged(prints.groupBy("f").agg(first).select("f", "first.*"), "simhash-distinct")
     # Documents with one id are one document: their fingerprints link to each other.
-    distinct = common.staged(prints.groupBy("f").agg(F.min("k").alias("low")), "simhash-distinct")
-    twins = prints.groupBy("k").agg(F.min("f").alias("a"), F.max("f").alias("b")).where("a <> b")
-    twins = prints.join(twins.select(F.col("k").alias("t_k"), "a"), F.col("k") == F.col("t_k")).select("a", F.col("f").alias("b"))
+    named = prints.where(F.col("k") != common.NULL_ID)
+    twins = named.groupBy("k").agg(F.min("f").alias("a"), F.max("f").alias("b")).where("a <> b")
+    twins = named.join(twins.select(F.col("k").alias("t_k"), "a"), F.col("k") == F.col("t_k")).select("a", F.col("f").alias("b"))
     found = star_components(near_links(distinct).unionByName(twins), "simhash-links")
-    labelled = common.staged(
+    return common.staged(
         distinct.join(found, F.col("f") == F.col("node"), "left").select(
-            "f", "low", F.coalesce("component", "f").alias("label")
+            "f", "k", "t", F.coalesce("component", "f").alias("label")
         ),
         "simhash-labels",
     )
-    lows = labelled.groupBy("label").agg(F.min("low").alias("component"))
-    return labelled.select("f", F.col("label").alias("f_label")).join(
+
+
+def components(prints: DataFrame) -> DataFrame:
+    """``f, component``: the smallest ``k`` reachable from each fingerprint."""
+    found = labelled(prints)
+    lows = found.groupBy("label").agg(F.min("k").alias("component"))
+    return found.select("f", F.col("label").alias("f_label")).join(
         lows, F.col("f_label") == F.col("label")
     ).select("f", "component")
 
@@ -253,13 +263,20 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the document of the smallest id of each component, and one row of it."""
-    prints = fingerprints(df, id_col, text_col)
-    kept = components(prints).select(F.col("component").alias("_kept_k")).distinct()
+    """``df`` with the document of the smallest id of each component, and one row of it.
+
+    A component holds any number of rows without an id, so documents are told apart by the hash
+    of their text as well.
+    """
+    found = labelled(fingerprints(df, id_col, text_col))
+    kept = found.groupBy("label").agg(F.min(F.struct("k", "t")).alias("first"))
+    kept = kept.select(F.col("first.k").alias("_kept_k"), F.col("first.t").alias("_kept_t"))
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID))
-    first = Window.partitionBy("_kept_k").orderBy(F.xxhash64(common.text_of(text_col)))
+    t = F.xxhash64(common.text_of(text_col))
+    # Spark prunes to the first row of each window in every map task.
+    first = Window.partitionBy("_kept_k", "_kept_t").orderBy("_kept_t")
     return (
-        df.join(kept, k == F.col("_kept_k"))
+        df.join(kept, (k == F.col("_kept_k")) & (t == F.col("_kept_t")))
         .withColumn("_kept_no", F.row_number().over(first))
         .where("_kept_no = 1")
         .select(*df.columns)

@@ -271,7 +271,7 @@ def test_vantage_point_shards(spark, monkeypatch):
         values.add(pick.choice(sorted(values)) ^ (1 << pick.randrange(64)) ^ (1 << pick.randrange(64)))
     prints = dict(enumerate(sorted(values)))
     signed = [(i, v - 2**64 if v >= 2**63 else v) for i, v in prints.items()]
-    found = simhash.components(spark.createDataFrame(signed, "k long, f long"))
+    found = simhash.components(spark.createDataFrame([(i, 0, f) for i, f in signed], "k long, t long, f long"))
     got = {r["f"]: r["component"] for r in found.collect()}
     assert {i: got[f] for i, f in signed} == plain_components(prints)
 
@@ -288,6 +288,17 @@ def test_keep_one_of_a_group(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs_of(spark, rows)).collect()) == [0, 7]
 
 
+def test_keep_one_without_ids(spark):
+    """Rows without an id are no single document: each group of like texts keeps one of them."""
+    copied = " ".join(f"w{i}" for i in range(90))
+    others = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(None, copied, "en", "a", 1)] * 3 + [(None, t, "en", "a", 1) for t in others] + [(4, others[0], "en", "a", 1), (5, None, "en", "a", 0)]
+    kept = simhash.keep_one(docs_of(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(0, copied), *((0, t) for t in others), (5, "")])
+    found = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.report(docs_of(spark, rows)).collect()}
+    assert len(found) == 6 and all((c == 5) == (i == 5) for (i, _), c in found.items())
+
+
 def test_line_dedup_with_saturated_filters(spark, monkeypatch):
     """Filters too small for their lines send more to be confirmed, and change no result."""
     monkeypatch.setattr(line_dedup, "MOST_BITS", 2**16)
