@@ -7,8 +7,8 @@ that no cut can change and encodes a window around the cut again, which grows un
   second one after its end, so all pieces of the left half but its last two are final; from there
   on, matching runs again until it starts a settled piece where the right half starts one too.
 - Inside a piece: a token row is the BPE encoding of its bytes exactly if every two neighbours are
-  the encoding of their joined bytes. The window grows by a token on each side until the pairs at
-  both of its ends hold.
+  the encoding of their joined bytes. The window grows on the side whose pair does not hold, by one
+  token, then two, then four, until the pairs at both of its ends hold.
 
 Decoding concatenates bytes up the same tree. Nulls count as the empty text, which has no tokens.
 Whole texts are encoded whatever their length; other columns are kept by ``encode_documents``,
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import common
-from quillmill.llm.merges import REMEMBERED, Merges
+from quillmill.llm.merges import LONGEST_REMEMBERED, REMEMBERED, Merges
 from quillmill.llm.pieces import splitter
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -59,14 +59,17 @@ class Codec(Merges):
         """The encoding of the joined bytes of two encodings."""
         if not left or not right:
             return left or right
-        take, give = len(left) - 1, 1
+        take, give, grow = len(left) - 1, 1, 1
         window = self.window(left[take], right[0])
         while True:
             starts = take == 0 or self.fits(left[take - 1], window[0])
             ends = give == len(right) or self.fits(window[-1], right[give])
             if starts and ends:
                 return [*left[:take], *window, *right[give:]]
-            take, give = max(0, take - 1), min(len(right), give + 1)
+            # A side that does not fit grows by twice as many tokens each time.
+            take = take if starts else max(0, take - grow)
+            give = give if ends else min(len(right), give + grow)
+            grow *= 2
             window = self.merge(self.decode([*left[take:], *right[:give]]))
 
     def tokens(self, data: bytes) -> list[int]:
@@ -82,6 +85,8 @@ class Codec(Merges):
 
     def piece(self, piece: str) -> list[int]:
         ids = self.tokens(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) > LONGEST_REMEMBERED:
+            return ids
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         self.known[piece] = ids
@@ -133,9 +138,11 @@ class Codec(Merges):
     def spell(self, piece: str) -> tuple[str, bytes]:
         """Decimal ids of a piece, and what they decode to."""
         ids = self.known.get(piece) or self.piece(piece)
-        if len(self.spelled) >= REMEMBERED:
-            self.spelled.clear()
-        found = self.spelled[piece] = ",".join(map(str, ids)), self.decode(ids)
+        found = ",".join(map(str, ids)), self.decode(ids)
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self.spelled) >= REMEMBERED:
+                self.spelled.clear()
+            self.spelled[piece] = found
         return found
 
     def round_trip(self, text: str) -> tuple[int, str, str]:

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
 
 #: Pieces, halves and windows a worker remembers, each.
 REMEMBERED = 300_000
+#: Longer pieces (characters) are not remembered, which bounds what is in bytes.
+LONGEST_REMEMBERED = 256
+#: More bytes than this are merged by way of a heap.
+SCANNED_BYTES = 96
 #: Above every token.
 NEVER = 2**62
 
@@ -25,6 +30,8 @@ class Merges:
 
     def merge(self, data: bytes) -> list[int]:
         """Plain BPE: join the neighbours of lowest rank, leftmost first, until none is left."""
+        if len(data) > SCANNED_BYTES:
+            return self._merge_long(data)
         rank_of = self.merged.get
         ids = [self.byte[b] for b in data]
         ranked = [rank_of(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:])]
@@ -38,6 +45,31 @@ class Merges:
                 ranked[i] = rank_of(best << 20 | ids[i + 1], NEVER)
         return ids
 
+    def _merge_long(self, data: bytes) -> list[int]:
+        """The same in n log n: neighbours wait in a heap, and those that have changed are skipped."""
+        rank_of, size = self.merged.get, len(data)
+        ids = [self.byte[b] for b in data]
+        before, after = [*range(-1, size - 1)], [*range(1, size + 1)]
+        ranks = [*(rank_of(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:])), NEVER]
+        waiting = [(rank, i) for i, rank in enumerate(ranks) if rank != NEVER]
+        heapify(waiting)
+        while waiting:
+            rank, i = heappop(waiting)
+            if ranks[i] != rank:
+                continue
+            gone = after[i]
+            ids[i], after[i] = rank, after[gone]
+            ids[gone], ranks[gone] = -1, NEVER
+            if after[i] < size:
+                before[after[i]] = i
+            for left in (before[i], i):
+                right = after[left] if left >= 0 else size
+                if left >= 0:
+                    ranks[left] = rank_of(ids[left] << 20 | ids[right], NEVER) if right < size else NEVER
+                    if ranks[left] != NEVER:
+                        heappush(waiting, (ranks[left], left))
+        return [token for token in ids if token >= 0]
+
     def window(self, left: int, right: int) -> list[int]:
         """The encoding of the bytes of two tokens; the two themselves if they may be neighbours."""
         key = left << 20 | right

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +34,10 @@ SUPPORT = 3
 TRUST = 0.8
 
 # The base patterns.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_EMAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# A match that starts inside a run of digits would also start where the run does.
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -53,11 +56,23 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+`` and a host, from each ``@`` outwards: a search from the left
+    would try every character of a long word."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _EMAIL_LOCAL:
+            start -= 1
+        if start < at and (host := _EMAIL_HOST.match(text, at)):
+            yield start, host.end()
+            free = host.end()
+        at = text.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind number, end)`` of the base patterns, in order."""
-    found = []
-    if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)]
+    found = [(start, 0, end) for start, end in _emails(text)]
     if "." in text:
         for m in _IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m.group().split(".")):

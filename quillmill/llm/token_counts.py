@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import common
-from quillmill.llm.merges import Merges
+from quillmill.llm.merges import LONGEST_REMEMBERED, Merges
 from quillmill.llm.pieces import splitter
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -106,26 +106,28 @@ class Transducer(Merges):
                     break
         change = 1 - counts[size - start - 1]
         reached = suffix, (token, *lasts[:size]), (0, *[n + change for n in counts[:size]])
-        number = self.numbers.get(reached)
-        if number is None:
-            number = self.numbers[reached] = len(self.states)
+        steps = self.steps[state]
+        if reached not in self.numbers and len(self.states) >= MOST_STATES:
+            self._restart()
+        number = self.numbers.setdefault(reached, len(self.states))
+        if number == len(self.states):
             self.states.append(reached)
             self.steps.append({})
-        step = self.steps[state][byte] = number, change
+        step = number, change
+        steps[byte] = step
         return step
 
     def count_piece(self, piece: str) -> int:
         """Run the transducer over a piece and sum what its transitions are annotated with."""
-        if len(self.states) >= MOST_STATES:
-            self._restart()
         state = count = 0
         for byte in piece.encode("utf-8", "surrogatepass"):
             step = self.steps[state].get(byte) or self._compile(state, byte)
             state = step[0]
             count += step[1]
-        if len(self.pieces) >= MOST_PIECES:
-            self.pieces.clear()
-        self.pieces[piece] = count
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self.pieces) >= MOST_PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = count
         return count
 
     def count_plain(self, text: str) -> int:

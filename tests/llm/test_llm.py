@@ -230,6 +230,49 @@ def test_token_counts(monkeypatch, texts, chunk):
         assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
+def long_words(size):
+    pick = random.Random(5)
+    runs = ["a", "1", "!?", "é", "漢", " ", "\n"]
+    return [run * (size // len(run)) for run in runs] + ["".join(pick.choices("abAB01", k=size))]
+
+
+def test_long_words_as_the_libraries(monkeypatch):
+    """One word without end: quick, and the tokens of the libraries, also when states are forgotten."""
+    own, counts = bpe.codec(bpe.VOCABULARY), token_counts.Transducer(public_tokenizers.path(token_counts.VOCABULARY))
+    ranks = {own.bytes_of[i]: i for i in own.bytes_of}
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    library = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    monkeypatch.setattr(token_counts, "MOST_STATES", 50)
+    for text in long_words(20_000):
+        assert own.encode(text) == reference.encode(text, disallowed_special=())
+        assert counts.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+        assert len(counts.states) <= 50
+        pii.scan(text + " @ 1.2")
+
+
+def test_merging_by_heap(monkeypatch):
+    own, pick = bpe.codec(bpe.VOCABULARY), random.Random(6)
+    for _ in range(300):
+        data = "".join(pick.choices("aab the1!", k=pick.randrange(200))).encode()
+        monkeypatch.setattr("quillmill.llm.merges.SCANNED_BYTES", 10_000)
+        plain = own.merge(data)
+        monkeypatch.setattr("quillmill.llm.merges.SCANNED_BYTES", 0)
+        assert own.merge(data) == plain == own.tokens(data)
+
+
+def test_base_spans_of_crowded_texts():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    pick = random.Random(7)
+    for _ in range(3_000):
+        text = "".join(pick.choices("ab1.@_-", (2, 1, 4, 6, 3, 1, 1), k=40))
+        wanted = [(m.start(), 0, m.end()) for m in email.finditer(text)]
+        wanted += [
+            (m.start(), 1, m.end()) for m in ip.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))
+        ]
+        assert [s for s in pii.base_spans(text) if s[1] < 2] == sorted(wanted)
+
+
 def plain_fingerprint(text):
     words = WORD.findall(text.translate({c: c + 32 for c in range(65, 91)}))
     grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)] * bool(words)
