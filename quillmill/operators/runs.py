@@ -336,16 +336,22 @@ def unpivot_metrics(runs: DataFrame, ids: Sequence[str], metrics: Sequence[str])
 
 
 def run_diagnostics(
-    data: DataFrame, training: DataFrame, evaluation: DataFrame, plans: DataFrame | None = None, run: str = "run_id"
+    data: DataFrame,
+    training: DataFrame,
+    evaluation: DataFrame,
+    plans: DataFrame | None = None,
+    optimization: DataFrame | None = None,
+    run: str = "run_id",
 ) -> DataFrame:
-    """One JSON record per run with its data, training, evaluation and (if given) model parts."""
+    """One JSON record per run with its data, training, evaluation and (if given) model and
+    optimization parts. Every table has at most a row per run."""
 
     def part(df: DataFrame, name: str) -> DataFrame:
         return df.select(run, F.struct(*[c for c in df.columns if c != run]).alias(name))
 
     joined = part(data, "data")
     parts = ["data"]
-    for df, name in ((plans, "model"), (training, "training"), (evaluation, "evaluation")):
+    for df, name in ((plans, "model"), (optimization, "optimization"), (training, "training"), (evaluation, "evaluation")):
         if df is not None:
             joined = joined.join(part(df, name), run, "left")
             parts.append(name)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from quillmill.functions.arrays import sum_of
 from quillmill.operators import classification as M
 from quillmill.operators.dialog import top_k_labels
-from quillmill.queries.registry import query, rounded, table
+from quillmill.plans.evaluate import evaluate_classification
+from quillmill.queries.registry import ORACLES, query, rounded, table
 
 CLASSES = 10
 NAMES = [f"class_{i}" for i in range(CLASSES)]
@@ -213,6 +214,22 @@ def _pr_auc(spark, sf):
     return rounded(M.curve_areas(M.curve_counts(judged_counts(spark, sf), 1)).select("label", "pr_auc"), "pr_auc")
 
 
+@query(
+    "evaluate_classification",
+    f"""WITH a AS ({ORACLES['accuracy']}), b AS ({ORACLES['averaged_prf']}), c AS ({ORACLES['top_k_accuracy']}), d AS ({ORACLES['micro_auc']}),
+e AS (SELECT roc_auc FROM ({ORACLES['ovr_auc']}) WHERE label = 'macro'), found AS (
+SELECT 'num_samples' AS metric, count(*)::DOUBLE AS value FROM embeddings
+UNION ALL FROM (UNPIVOT a ON COLUMNS(*) INTO NAME metric VALUE value)
+UNION ALL FROM (UNPIVOT b ON COLUMNS(*) INTO NAME metric VALUE value)
+UNION ALL FROM (UNPIVOT c ON COLUMNS(*) INTO NAME metric VALUE value)
+UNION ALL FROM (UNPIVOT d ON COLUMNS(*) INTO NAME metric VALUE value)
+UNION ALL FROM (UNPIVOT e ON COLUMNS(*) INTO NAME metric VALUE value))
+SELECT metric, round(value, 6) AS value FROM found""",
+)
+def _evaluate(spark, sf):
+    return rounded(evaluate_classification(logits(spark, sf)).metrics, "value", places=6)
+
+
 # ---- multilabel: quality and toxicity of a document ---------------------------------------
 
 TWO_LABELS = """

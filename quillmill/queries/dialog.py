@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import clip_text, strip_preamble
@@ -13,6 +12,7 @@ from quillmill.operators.corpus import turns_to_pair
 from quillmill.queries.corpus import SAID
 from quillmill.queries.generation import IDS
 from quillmill.queries.registry import query, rounded, table
+from quillmill.session import materialize
 
 SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
@@ -161,40 +161,43 @@ def _pack(spark, sf):
 # ---- models -------------------------------------------------------------------------------
 
 
+def vectors(spark, sf):
+    features = F.col("embedding").cast("array<double>").alias("features")
+    return table(spark, sf, "embeddings").select("vec_id", features, F.col("label").alias("y"))
+
+
 @query(
     "score_table",
-    r"""SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS answer, round(least(length(text) / 1000, 1.0), 9) AS score
-FROM conversations WHERE role = 'assistant'""",
+    """WITH cells AS (SELECT vec_id, label AS y, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings),
+centres AS (SELECT y AS label, i, avg(v) AS c FROM cells GROUP BY ALL),
+far AS (SELECT vec_id, label, sqrt(sum((v - c) * (v - c))) AS d FROM cells JOIN centres USING (i) GROUP BY ALL)
+SELECT vec_id, arg_min(label, d) AS predicted, round(min(d), 6) AS distance FROM far GROUP BY vec_id""",
 )
 def _score(spark, sf):
-    def load_predictor():
-        """A stand-in model that answers with its input and scores it by length."""
-
-        def predict(batch: pd.DataFrame) -> pd.DataFrame:
-            length = batch["text"].str.len()
-            return pd.DataFrame(
-                {
-                    "conv_id": batch["conv_id"],
-                    "turn": batch["turn"],
-                    "answer": "Sure, " + batch["text"],
-                    "score": (length / 1000.0).clip(upper=1.0),
-                }
-            )
-
-        return predict
-
-    answers = table(spark, sf, "conversations").where(F.col("role") == "assistant").select("conv_id", "turn", "text")
-    scored = D.score_table(answers, load_predictor, "conv_id long, turn long, answer string, score double")
-    return rounded(scored.withColumn("answer", strip_preamble(F.col("answer"))), "score")
+    rows = vectors(spark, sf)
+    scored = D.score_table(rows, D.centroid_head(rows, label="y"), "vec_id long, predicted int, distance double")
+    return rounded(scored, "distance", places=6)
 
 
-@query("train_head")
+@query(
+    "train_head",
+    """WITH sizes AS (SELECT label, count(*) AS rows FROM embeddings GROUP BY label),
+want AS (SELECT CAST(ceil(0.15::DOUBLE * sum(rows)) AS BIGINT) AS want, CAST(sum(rows) AS BIGINT) AS total FROM sizes),
+shares AS (SELECT label, rows, (want * rows) // total AS base, (want * rows) % total AS rest, want FROM sizes, want),
+quotas AS (SELECT label, rows, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= want - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM shares)
+SELECT label, CAST(rows - quota AS BIGINT) AS train_rows, CAST(quota AS BIGINT) AS test_rows,
+  CAST(sum(quota) OVER () AS BIGINT) AS predictions FROM quotas""",
+)
 def _train(spark, sf):
-    rows = table(spark, sf, "embeddings").select(
-        "vec_id", F.col("embedding").cast("array<double>").alias("features"), F.col("label").alias("y")
-    )
-    split = S.stratified_split(rows, "y", ["vec_id"])
+    """Exact facts of a fit: rows per class on both sides, and predictions in the matrix. The labels
+    of this table do not depend on its vectors, so there is no accuracy to compare; tests do."""
+    split = materialize(S.stratified_split(vectors(spark, sf), "y", ["vec_id"]), "head-split")
     model = D.train_head(split.where(F.col("split") == "train"), label="y")
     scored = M.predict_labels(D.apply_head(model, split.where(F.col("split") == "test")))
-    matrix = M.confusion_matrix(scored, model.numClasses, outside=True)
-    return rounded(M.averaged_prf(M.per_class_report(matrix), model.numClasses), "f1", "macro_f1", "weighted_f1", places=6)
+    matrix = materialize(M.confusion_matrix(scored, model.numClasses, outside=True), "head-matrix")
+    support = matrix.groupBy("actual").agg(F.sum("n").alias("test_rows"))
+    total = matrix.agg(F.sum("n")).first()[0]
+    learned = split.groupBy("y").agg(F.count_if(F.col("split") == "train").alias("train_rows"))
+    return learned.join(support, F.col("y") == F.col("actual")).select(
+        F.col("y").alias("label"), "train_rows", "test_rows", F.lit(total).cast("long").alias("predictions")
+    )

@@ -9,7 +9,8 @@ from quillmill.functions.text import normalize_answer
 from quillmill.operators import generation as G
 from quillmill.operators.ranking import slices_with_carry
 from quillmill.operators.sequences import word_ids
-from quillmill.queries.registry import query, rounded, table
+from quillmill.plans.evaluate import evaluate_generation
+from quillmill.queries.registry import ORACLES, query, rounded, table
 
 # An answer and the earlier answer of the same conversation.
 ANSWERS = """
@@ -182,6 +183,27 @@ def _bleu(spark, sf):
     return rounded(G.corpus_bleu(generations(spark, sf)).select("bleu"), "bleu", places=6)
 
 
+TRANSLATED = """
+SELECT 'generation_sample_size' AS metric, count(*)::DOUBLE AS value, NULL::VARCHAR AS skipped FROM normal
+UNION ALL SELECT 'exact_match', round(avg(CASE WHEN p = r THEN 1.0::DOUBLE ELSE 0 END), 9), NULL FROM normal
+UNION ALL SELECT 'token_f1', round(avg(f), 9), NULL FROM f1
+UNION ALL SELECT 'bleu', round(bleu, 2), NULL FROM bleu
+UNION ALL SELECT unnest(['rouge1', 'rouge2', 'rougeL']), NULL, 'not_for_translation'
+"""
+
+
+@query(
+    "evaluate_generation",
+    f"""WITH {NORMAL}, lists AS (SELECT id, list_filter(string_split(p, ' '), lambda w: w <> '') AS a,
+  list_filter(string_split(r, ' '), lambda w: w <> '') AS b FROM normal), {overlap('lists')},
+f1 AS (SELECT CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE WHEN o IS NULL THEN 0 ELSE 2 * o / (len(a) + len(b)) END AS f
+  FROM lists LEFT JOIN common USING (id)),
+bleu AS ({ORACLES['corpus_bleu']}) {TRANSLATED}""",
+)
+def _evaluate(spark, sf):
+    return rounded(evaluate_generation(generations(spark, sf), goal="Translate the answers"), "value")
+
+
 @query("generation_sample", f"WITH {ANSWERS} SELECT * FROM gens ORDER BY id LIMIT 16")
 def _sample(spark, sf):
     return G.generation_sample(generations(spark, sf), "id", 16)

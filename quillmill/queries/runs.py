@@ -243,26 +243,43 @@ def _best(spark, sf):
 
 @query(
     "run_diagnostics",
-    f"""WITH {TEXT_VERDICT}, {HEALTH.strip().lstrip(',')},
-data AS (SELECT run_id, train_rows, generated_qa FROM runs)
-SELECT d.run_id, d.train_rows, h.loss_trend, h.oom_detected, v.verdict, v.score
-FROM data d LEFT JOIN health h USING (run_id) LEFT JOIN verdicts v USING (run_id)""",
+    f"""WITH {TEXT_VERDICT}, {HEALTH.strip().lstrip(',')}
+SELECT r.run_id, r.train_rows, r.generated_qa, CASE WHEN r.generated_qa THEN 'small' ELSE 'base' END AS chosen,
+  CASE WHEN r.train_rows < 100 THEN 'few_training_rows' ELSE '' END AS plan_warnings,
+  CASE WHEN r.train_rows < 100 THEN 'epochs,' ELSE '' END || 'max_length' AS overrides_applied,
+  h.status, h.oom_detected, h.nan_loss_detected, h.final_loss, h.loss_trend, h.events,
+  v.verdict, v.score, v.issues, v.retrain_suggested, v.recommendations
+FROM runs r LEFT JOIN health h USING (run_id) LEFT JOIN verdicts v USING (run_id)""",
 )
 def _diagnostics(spark, sf):
-    """The JSON record is read back so that its fields can be compared."""
-    runs = run_table(spark, sf)
+    """The JSON record is read back so that all of its fields can be compared."""
+    runs, few = run_table(spark, sf), F.col("train_rows") < 100
     records = R.run_diagnostics(
-        runs.select("run_id", "train_rows", "generated_qa"), health(spark, sf), R.text_verdict(runs)
+        runs.select("run_id", "train_rows", "generated_qa"),
+        health(spark, sf),
+        R.text_verdict(runs),
+        plans=runs.select("run_id", F.when(F.col("generated_qa"), "small").otherwise("base").alias("chosen")),
+        optimization=runs.select(
+            "run_id",
+            F.when(few, F.array(F.lit("few_training_rows"))).otherwise(F.array()).alias("plan_warnings"),
+            F.when(few, F.array(F.lit("epochs"), F.lit("max_length")))
+            .otherwise(F.array(F.lit("max_length")))
+            .alias("overrides_applied"),
+        ),
     )
     parsed = F.from_json(
         "diagnostics",
-        "data struct<train_rows:bigint>, training struct<loss_trend:string,oom_detected:boolean>, "
-        "evaluation struct<verdict:string,score:double>",
+        "data struct<train_rows:bigint,generated_qa:boolean>, model struct<chosen:string>, "
+        "optimization struct<plan_warnings:array<string>,overrides_applied:array<string>>, "
+        "training struct<status:string,oom_detected:boolean,nan_loss_detected:boolean,final_loss:double,"
+        "loss_trend:string,events:array<string>>, "
+        "evaluation struct<verdict:string,score:double,issues:array<string>,retrain_suggested:boolean,"
+        "recommendations:array<string>>",
     )
-    return records.select("run_id", parsed.alias("d")).select(
-        "run_id", "d.data.train_rows", "d.training.loss_trend", "d.training.oom_detected",
-        "d.evaluation.verdict", "d.evaluation.score",
-    )
+    fields = records.select("run_id", parsed.alias("d")).select("run_id", "d.*")
+    found = fields.select("run_id", "data.*", "model.*", "optimization.*", "training.*", "evaluation.*")
+    found = found.withColumn("events", F.array_join("events", "; "))
+    return joined(found, "plan_warnings", "overrides_applied", "issues", "recommendations")
 
 
 # One catalog item per brand and type of part: its number does not grow with the table.

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators.corpus import image_data_warnings
 from quillmill.operators.detect import detect_task
+from quillmill.plans.images import prepare_image_dataset
 from quillmill.plans.prepare import prepare_text_dataset
 from quillmill.queries.corpus import AUGMENTED, CLEAN, PAIRS, documents
 from quillmill.queries.registry import query, rounded, table
@@ -105,8 +106,10 @@ def _any(spark, sf):
     return found.select(F.regexp_extract("source", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "text")
 
 
-def zipped_pages(spark, sf) -> str:
-    """One archive per 64 pages, written to the shared folder by the tasks that hold them."""
+def zipped_pages(spark, sf, name: str = "pages/{0}.md") -> str:
+    """One archive per 64 pages, written to the shared folder by the tasks that hold them.
+
+    A member is named after its page's id and the id's remainder by 7."""
     path = scratch_path(spark, "zips")
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, folder = FileSystem.from_uri(path)
@@ -116,7 +119,8 @@ def zipped_pages(spark, sf) -> str:
                 held = io.BytesIO()
                 with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
                     for member in members:
-                        archive.writestr(f"pages/{member['page_id']}.md", member["html"])
+                        page = member["page_id"]
+                        archive.writestr(name.format(page, page % 7), member["html"])
                 with files.open_output_stream(f"{folder}/part-{part}.zip") as out:
                     out.write(held.getvalue())
                 yield pd.DataFrame({"part": [part]})
@@ -146,6 +150,22 @@ def _zip_texts(spark, sf):
     return found.select(F.regexp_extract("source", r"(\d+)\.md$", 1).cast("long").alias("page_id"), "text")
 
 
+@query(
+    "prepare_image_dataset",
+    """SELECT page_id, page_id // 64 AS part, 'kind_' || (page_id % 7) AS label, count(*) OVER w AS num_images,
+  (SELECT count(DISTINCT p.page_id % 7) FROM pages p WHERE p.page_id // 64 = pages.page_id // 64) AS num_classes
+FROM pages WINDOW w AS (PARTITION BY page_id // 64)""",
+)
+def _image_dataset(spark, sf):
+    bundle = prepare_image_dataset(spark, zipped_pages(spark, sf, "set/images/kind_{1}/p{0}.png"), "zip")
+    report = bundle.report.withColumnRenamed("dataset", "r_dataset")
+    return bundle.images.join(report, F.col("dataset") == F.col("r_dataset")).select(
+        F.regexp_extract("path", r"p(\d+)\.png$", 1).cast("long").alias("page_id"),
+        F.regexp_extract("dataset", r"part-(\d+)\.zip$", 1).cast("long").alias("part"),
+        "label", "num_images", "num_classes",
+    )
+
+
 @query("union_sources", f"SELECT 0 AS source_id, conv_id::VARCHAR AS conv_id, text FROM conversations UNION ALL SELECT 1, NULL, {BENCH_TEXT} FROM benchmark")
 def _union(spark, sf):
     csv = scratch_path(spark, "csv")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.operators.detect import CLASS_NAMES, IMAGE_NAMES, IMAGE_SUFFIXES, find_column, suffix_of
 
 
-def _bare(path: Column, spark: SparkSession) -> Column:
+def bare_path(path: Column, spark: SparkSession) -> Column:
     """A path without the scheme of local files or of the session's own store, in which a listing
     spells it out and a caller usually does not."""
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -21,8 +21,8 @@ def _bare(path: Column, spark: SparkSession) -> Column:
 def image_inventory(files: DataFrame, root: str, path: str = "path") -> DataFrame:
     """The images below ``root`` with ``label``, the folder directly under it; images outside any
     class folder are left out. ``files`` is a listing such as ``list_files`` gives."""
-    full = _bare(F.col(path), files.sparkSession)
-    base = _bare(F.lit(root.rstrip("/") + "/"), files.sparkSession)
+    full = bare_path(F.col(path), files.sparkSession)
+    base = bare_path(F.lit(root.rstrip("/") + "/"), files.sparkSession)
     below = F.when(full.startswith(base), F.substring(full, F.length(base) + 1, F.length(full)))
     label = F.regexp_extract(below, r"^([^/]+)/.+", 1)
     return files.withColumn("label", label).where(
@@ -90,6 +90,6 @@ def image_manifest(table: DataFrame, files: DataFrame, base: str) -> DataFrame:
         full.alias("path"), F.coalesce(F.nullif(tidy, F.lit("")), F.lit("unknown")).alias("label")
     ).where(suffix_of(F.col("path")).isin(IMAGE_SUFFIXES))
     spark = table.sparkSession
-    there = files.select("path", _bare(F.col("path"), spark).alias("_bare")).dropDuplicates(["_bare"])
-    wanted = listed.select(_bare(F.col("path"), spark).alias("_bare"), "label")
+    there = files.select("path", bare_path(F.col("path"), spark).alias("_bare")).dropDuplicates(["_bare"])
+    wanted = listed.select(bare_path(F.col("path"), spark).alias("_bare"), "label")
     return wanted.join(there, "_bare").select("path", "label")
