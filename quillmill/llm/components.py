@@ -1,13 +1,35 @@
-"""Connected components of an edge table, as joins and aggregations."""
+"""Connected components: of an edge table, as joins and aggregations, and of links in one task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm import common
 
 
+class Forest:
+    """Union-find over positions, for whole arrays of links at a time."""
+
+    def __init__(self, size: int) -> None:
+        self.parent = np.arange(size)
+
+    def link(self, left: np.ndarray, right: np.ndarray) -> None:
+        parent = self.parent
+        while len(left):
+            a, b = parent[left], parent[right]
+            apart = a != b
+            left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+            if len(left):
+                np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+                while True:
+                    above = parent[parent]
+                    if np.array_equal(above, parent):
+                        break
+                    parent[:] = above
+
+
 def _oriented(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 

@@ -23,15 +23,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm import common
-from quillmill.llm.components import star_components
+from quillmill.llm import common, near_copies, shingles
+from quillmill.llm.components import Forest, star_components
 
 SHINGLE = 3
-SEED = 42
 RADIUS = 2
 #: Fingerprints that the top of the tree is fitted on, about; it has a leaf per SHARD_ROWS of all.
 SAMPLE = 16_384
@@ -44,20 +42,9 @@ BLOCK = 2_000_000
 
 def fingerprint(text: str) -> int:
     """64 bits as a signed number."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    hashes = shingles.hashes(text, SHINGLE)
+    if not hashes:
         return 0
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        hashes = [digest(joined, SEED)]
-    else:
-        starts, at = [0] * len(words), 0
-        for i, word in enumerate(words):
-            starts[i] = at
-            at += len(word) + 1
-        starts += [at]
-        hashes = [digest(joined[s : e - 1], SEED) for s, e in zip(starts, starts[SHINGLE:])]
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65_536):
         some = np.array(hashes[i : i + 65_536], np.uint64).view(np.uint8).reshape(-1, 8)
@@ -126,27 +113,6 @@ class Tree:
         return out
 
 
-class Forest:
-    """Union-find over positions, for whole arrays of links at a time."""
-
-    def __init__(self, size: int) -> None:
-        self.parent = np.arange(size)
-
-    def link(self, left: np.ndarray, right: np.ndarray) -> None:
-        parent = self.parent
-        while len(left):
-            a, b = parent[left], parent[right]
-            apart = a != b
-            left, right, a, b = left[apart], right[apart], a[apart], b[apart]
-            if len(left):
-                np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-                while True:
-                    above = parent[parent]
-                    if np.array_equal(above, parent):
-                        break
-                    parent[:] = above
-
-
 def shard_forest(own: np.ndarray, guests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of all pairs within the radius, of a shard's points with each
     other and with its guests, by a local vantage-point tree."""
@@ -263,12 +229,12 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the document of the smallest id of each component, and one row of it.
+    """``df`` with the document of the smallest id of each group of near copies, and one row of it.
 
-    A component holds any number of rows without an id, so documents are told apart by the hash
+    Groups are those of ``near_copies``, five-word shingles at 0.8, not the components of the report. A group holds any number of rows without an id, so documents are told apart by the hash
     of their text as well.
     """
-    found = labelled(fingerprints(df, id_col, text_col))
+    found = near_copies.labelled(df, id_col, text_col)
     kept = found.groupBy("label").agg(F.min(F.struct("k", "t")).alias("first"))
     kept = kept.select(F.col("first.k").alias("_kept_k"), F.col("first.t").alias("_kept_t"))
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID))
