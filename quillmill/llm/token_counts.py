@@ -9,8 +9,10 @@ change of the token count. States are compiled when first reached and shared by
 
 A text is counted in chunks. A chunk maps the state in which it is entered to the one in which it
 is left; since a space after another character always ends a piece, whatever state it is entered
-in, the map is its text before the first such place, a count, and its text after the last one.
-Maps compose associatively, and a prefix scan over them gives the count of the whole text.
+in, the map needs no table of states: it is the places of the first and last such space, and the
+count between them. What lies outside is counted, from the state in which a piece begins, once the
+neighbours close it. Maps compose associatively and hold places only, never text; they are composed
+from the left, and only the last prefix, which is the count of the whole text, is kept.
 
 Nulls count as the empty text (no bytes, no tokens). Whole texts are counted whatever their
 length. Special strings inside a text count as one token each, as the library counts them. Other
@@ -22,7 +24,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm import common
 from quillmill.llm.merges import LONGEST_REMEMBERED, Merges
-from quillmill.llm.pieces import splitter
+from quillmill.llm.pieces import spans, splitter
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -41,9 +43,9 @@ MOST_PIECES = 300_000
 
 _SURE_CUT = re.compile(r"(?<=\S)[ \n]")
 
-#: A chunk's map: text before its first sure cut, tokens up to its last one, text after that. A
-#: count of None says that it has no sure cut and all of its text is in the first part.
-ChunkMap = tuple[str, int | None, str]
+#: A chunk's map: where it starts, its first sure cut, tokens from there to its last one, where that
+#: is, and where the chunk ends. Cuts are None where it has none.
+ChunkMap = tuple[int, int | None, int, int | None, int]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -74,7 +76,7 @@ class Transducer(Merges):
         super().__init__(dict(enumerate(tokens)), merged)
         # A token that its own bytes are not merged into never comes up.
         self.beginnings = {t[:n] for t in number for n in range(1, len(t) + 1)}
-        self.split = splitter()
+        self.split, self.spans = splitter(), spans()
         self.alone: dict[int, bool] = {}
         self.pieces: dict[str, int] = {}
         self._restart()
@@ -119,53 +121,60 @@ class Transducer(Merges):
 
     def count_piece(self, piece: str) -> int:
         """Run the transducer over a piece and sum what its transitions are annotated with."""
-        state = count = 0
-        for byte in piece.encode("utf-8", "surrogatepass"):
-            step = self.steps[state].get(byte) or self._compile(state, byte)
-            state = step[0]
-            count += step[1]
+        count = self._run(piece, 0, len(piece))
         if len(piece) <= LONGEST_REMEMBERED:
             if len(self.pieces) >= MOST_PIECES:
                 self.pieces.clear()
             self.pieces[piece] = count
         return count
 
+    def _run(self, text: str, start: int, end: int) -> int:
+        state = count = 0
+        for at in range(start, end, CHUNK_CHARS):
+            for byte in text[at : min(end, at + CHUNK_CHARS)].encode("utf-8", "surrogatepass"):
+                step = self.steps[state].get(byte) or self._compile(state, byte)
+                state = step[0]
+                count += step[1]
+        return count
+
     def count_plain(self, text: str) -> int:
         known, run = self.pieces, self.count_piece
         return sum([known.get(piece) or run(piece) for piece in self.split(text)])
 
+    def count_between(self, text: str, start: int, end: int) -> int:
+        """The same of a part of a text; of a long part, no more than a piece or a chunk is copied."""
+        if end - start <= CHUNK_CHARS:
+            return self.count_plain(text[start:end])
+        total, known = 0, self.pieces
+        for a, b in self.spans(text, start, end):
+            if b - a > LONGEST_REMEMBERED:
+                total += self._run(text, a, b)
+            else:
+                piece = text[a:b]
+                total += known.get(piece) or self.count_piece(piece)
+        return total
+
     # Chunks.
 
-    def chunk_map(self, text: str) -> ChunkMap:
-        first = _SURE_CUT.search(text)
-        if first is None:
-            return text, None, ""
-        last = len(text)
+    def chunk_map(self, text: str, start: int, end: int) -> ChunkMap:
+        found = _SURE_CUT.search(text, start, end)
+        if found is None:
+            return start, None, 0, None, end
+        first, last = found.start(), end
         while True:
-            last = max(text.rfind(" ", 0, last), text.rfind("\n", 0, last))
+            last = max(text.rfind(" ", first, last), text.rfind("\n", first, last))
             if _SURE_CUT.match(text, last):
                 break
-        return text[: first.start()], self.count_plain(text[first.start() : last]), text[last:]
+        return start, first, self.count_between(text, first, last), last, end
 
-    def compose(self, left: ChunkMap, right: ChunkMap) -> ChunkMap:
-        if left[1] is None and right[1] is None:
-            return left[0] + right[0], None, ""
-        if left[1] is None:
-            return left[0] + right[0], right[1], right[2]
+    def compose(self, text: str, left: ChunkMap, right: ChunkMap) -> ChunkMap:
+        """The map of two neighbours in ``text``."""
         if right[1] is None:
-            return left[0], left[1], left[2] + right[0]
-        return left[0], left[1] + self.count_plain(left[2] + right[0]) + right[1], right[2]
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """Inclusive prefixes: neighbours are composed, their prefixes scanned, the rest filled in."""
-        if len(maps) < 2:
-            return maps
-        pairs = [self.compose(maps[i], maps[i + 1]) for i in range(0, len(maps) - 1, 2)]
-        scanned = self.scan(pairs)
-        return [
-            scanned[i // 2] if i % 2 else (self.compose(scanned[i // 2 - 1], maps[i]) if i else maps[0])
-            for i in range(len(maps))
-        ]
+            return *left[:4], right[4]
+        if left[1] is None:
+            return left[0], *right[1:]
+        between = self.count_between(text, left[3], right[1])
+        return left[0], left[1], left[2] + between + right[2], right[3], right[4]
 
     def count(self, text: str) -> int:
         total, parts = 0, [text]
@@ -176,9 +185,13 @@ class Transducer(Merges):
             if len(part) <= CHUNK_CHARS:
                 total += self.count_plain(part)
             else:
-                chunks = [part[i : i + CHUNK_CHARS] for i in range(0, len(part), CHUNK_CHARS)]
-                head, middle, tail = self.scan([self.chunk_map(c) for c in chunks])[-1]
-                total += self.count_plain(head) + (middle or 0) + self.count_plain(tail)
+                size = len(part)
+                maps = (self.chunk_map(part, i, min(size, i + CHUNK_CHARS)) for i in range(0, size, CHUNK_CHARS))
+                _, first, middle, last, _ = reduce(lambda left, right: self.compose(part, left, right), maps)
+                if first is None:
+                    total += self.count_between(part, 0, size)
+                else:
+                    total += self.count_between(part, 0, first) + middle + self.count_between(part, last, size)
         return total
 
 

@@ -5,6 +5,8 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -398,3 +400,26 @@ def test_keep_one_of_near_copies(spark, monkeypatch, block_shingles):
     assert sorted(r["doc_id"] for r in kept) == plain_keep_one(texts)
     prints = {i: plain_fingerprint(t) for i, t in texts.items()}
     assert len(kept) < len(set(plain_components(prints).values())) - 30
+
+
+_ENDLESS = """
+import resource, sys
+import public_tokenizers
+from quillmill.llm import token_counts
+
+own = token_counts.Transducer(public_tokenizers.path(token_counts.VOCABULARY))
+block, text = "Qx7abc12", "Qx7abc12" * 2_500_000
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+each, before = own.count(block), peak()
+assert own.count(text) == 2_500_000 * each
+word = "ab" * 10_000_000
+assert own.count(word) == own.count_piece(word)
+print((peak() - before) // 1024)
+"""
+
+
+def test_token_counts_of_a_text_without_spaces():
+    """20 million characters without a sure cut: memory stays near that of the text."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    ran = subprocess.run([sys.executable, "-c", _ENDLESS], cwd=top, capture_output=True, text=True, check=True)
+    assert int(ran.stdout) < 150
