@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillmill.llm import oracles
 from quillmill.llm.bpe import op7_byte_bpe
+from quillmill.llm.decontaminate import op11_decontamination
 from quillmill.llm.fingerprints import op1_document_fingerprints
 from quillmill.llm.line_dedup import op10_line_dedup
 from quillmill.llm.line_quality import op3_line_quality
@@ -27,6 +28,7 @@ QUERIES = {
         op8_token_counts,
         op9_simhash_dedup,
         op10_line_dedup,
+        op11_decontamination,
     )
 }
 ORACLES = {
@@ -34,4 +36,5 @@ ORACLES = {
     "op4_warc_index": oracles.OP4,
     "op5_mixing": oracles.OP5,
     "op10_line_dedup": oracles.OP10,
+    "op11_decontamination": oracles.OP11,
 }
