@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import decontaminate, line_dedup, line_quality, mixing, warc
+from quillmill.llm import decontaminate, line_dedup, line_quality, mixing, resample, warc
 
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -149,3 +149,52 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
 """
+
+#: The CRC-32 of a feature's bytes, over the distinct features only.
+OP12 = rf"""
+WITH steps AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)
+              ORDER BY b) AS steps FROM range(256) AS r(b)
+), texts AS (
+  SELECT true AS ours, row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents
+  UNION ALL
+  SELECT false, row_number() OVER (), NULL, regexp_extract_all({_LOWER}, '{_ALNUM}') FROM benchmark
+), features AS (
+  SELECT ours, r, unnest(w) AS f FROM texts
+  UNION ALL
+  SELECT ours, r, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM texts)
+  UNION ALL
+  SELECT ours, r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM texts)
+), bytes AS (
+  SELECT f, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT)) AS b
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features))
+), bucketed AS (
+  SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)
+            % {resample.BUCKETS} AS bucket
+  FROM bytes, steps
+), counts AS (
+  SELECT bucket, count(*) FILTER (ours) AS s, count(*) FILTER (NOT ours) AS t
+  FROM features JOIN bucketed USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(
+    (CAST(t AS DOUBLE) + 1) * ((SELECT sum(s) FROM counts) + {resample.BUCKETS})
+    / ((CAST(s AS DOUBLE) + 1) * ((SELECT sum(t) FROM counts) + {resample.BUCKETS})))) AS BIGINT) AS gain
+  FROM counts
+), weights AS (
+  SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight
+  FROM features JOIN bucketed USING (f) JOIN gains USING (bucket) WHERE ours GROUP BY r
+), scored AS (
+  SELECT doc_id, r, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(
+           CAST('0x' || substr(sha256('{resample.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
+           AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights USING (r) WHERE ours
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= {resample.LEAST_WORDS} ORDER BY score DESC, doc_id NULLS LAST, r) AS place,
+         {resample.SHARE[0]} * count(*) FILTER (n_words >= {resample.LEAST_WORDS}) OVER () // {resample.SHARE[1]} AS drawn
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= {resample.LEAST_WORDS} AND place <= drawn THEN place END AS rank
+FROM placed
+"""

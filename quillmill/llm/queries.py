@@ -11,6 +11,7 @@ from quillmill.llm.line_quality import op3_line_quality
 from quillmill.llm.mixing import op5_mixing
 from quillmill.llm.pii import op2_personal_data
 from quillmill.llm.quality import op6_quality_classifier
+from quillmill.llm.resample import op12_importance_resampling
 from quillmill.llm.simhash import op9_simhash_dedup
 from quillmill.llm.token_counts import op8_token_counts
 from quillmill.llm.warc import op4_warc_index
@@ -29,6 +30,7 @@ QUERIES = {
         op9_simhash_dedup,
         op10_line_dedup,
         op11_decontamination,
+        op12_importance_resampling,
     )
 }
 ORACLES = {
@@ -37,4 +39,5 @@ ORACLES = {
     "op5_mixing": oracles.OP5,
     "op10_line_dedup": oracles.OP10,
     "op11_decontamination": oracles.OP11,
+    "op12_importance_resampling": oracles.OP12,
 }
