@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillmill.llm import oracles
+from quillmill.llm.alignment import op13_tokenizer_alignment
 from quillmill.llm.bpe import op7_byte_bpe
 from quillmill.llm.decontaminate import op11_decontamination
 from quillmill.llm.fingerprints import op1_document_fingerprints
@@ -31,6 +32,7 @@ QUERIES = {
         op10_line_dedup,
         op11_decontamination,
         op12_importance_resampling,
+        op13_tokenizer_alignment,
     )
 }
 ORACLES = {

@@ -48,7 +48,7 @@ _SURE_CUT = re.compile(r"(?<=\S)[ \n]")
 ChunkMap = tuple[int, int | None, int, int | None, int]
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the vocabulary file: printable bytes for themselves,
     the others in their order from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -62,7 +62,7 @@ class Transducer(Merges):
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        letters = _byte_letters()
+        letters = byte_letters()
         in_bytes = lambda token: bytes(letters[c] for c in token)
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         tokens = [bytes([b]) for b in range(256)]
