@@ -17,6 +17,9 @@ or have none are documents of their own. Texts of more than PART_CHARS character
 parts that end before a space behind another character, where neither vocabulary joins anything; a
 longer run without one is encoded at once. Only the columns that are named are read; an empty table
 gives an empty result.
+
+The byte-level vocabulary is applied by rank, which gives the tokens of its list of merges as long as
+every token is what its own bytes merge into; the tests go through all of them.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -53,6 +57,7 @@ PART_CHARS = 200_000
 #: Characters that are handed to the tokenizers at a time.
 BATCH_CHARS = 500_000
 _CUT = re.compile(r"(?<=\S) ")
+_LONG_SPACE = re.compile(r"\s{1000}")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 HEAD = "row long, id long, n_a long, n_b long, n_groups long, groups_sha256 string"
@@ -71,28 +76,46 @@ class Tokens:
 
 
 def _byte_level(path: str) -> Tokens:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     with open(path, encoding="utf-8") as file:
-        special = {t["content"] for t in json.load(file)["added_tokens"]}
+        spec = json.load(file)
     letters = byte_letters()
-    in_bytes = lambda token: token.encode() if token in special else bytes(letters[c] for c in token)
-    spelled = [in_bytes(library.id_to_token(i)) for i in range(library.get_vocab_size())]
-    encode = lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-    return Tokens(encode, spelled, "|")
+    special = {t["content"] for t in spec["added_tokens"]}
+    spelled = [b""] * (1 + max(spec["model"]["vocab"].values()))
+    for token, i in spec["model"]["vocab"].items():
+        spelled[i] = token.encode() if token in special else bytes(letters[c] for c in token)
+    ranks = {s: i for i, s in enumerate(spelled) if s and s.decode("utf-8", "replace") not in special}
+    library = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @lru_cache(maxsize=1)
+    def by_merges() -> Tokenizer:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        found = Tokenizer.from_file(path)
+        found.encode_special_tokens = True
+        return found
+
+    def encode(part: str) -> list[int]:
+        # The pattern of the first library gives up on very long runs of white space.
+        if _LONG_SPACE.search(part):
+            return by_merges().encode(part, add_special_tokens=False).ids
+        return library.encode_ordinary(part)
+
+    return Tokens(lambda parts: [encode(part) for part in parts], spelled, "|")
 
 
 def _pieces(path: str) -> Tokens:
     library = sentencepiece.SentencePieceProcessor(model_file=path)
+    space = library.piece_to_id("▁")
 
     def in_bytes(piece: str) -> bytes:
         one = _BYTE_PIECE.fullmatch(piece)
         return bytes([int(one[1], 16)]) if one else piece.replace("▁", " ").encode()
 
-    spelled = [in_bytes(library.id_to_piece(i)) for i in range(library.get_piece_size())]
-    # The library adds the space that every part begins with.
-    return Tokens(lambda parts: library.encode([p[1:] for p in parts], num_threads=1), spelled, ";")
+    def encode(parts: list[str]) -> list[list[int]]:
+        # The library adds the space that every part begins with, but not to an empty text.
+        found = library.encode([part[1:] for part in parts], num_threads=1)
+        return [ids if len(part) > 1 else [space] for part, ids in zip(parts, found)]
+
+    return Tokens(encode, [in_bytes(library.id_to_piece(i)) for i in range(library.get_piece_size())], ";")
 
 
 def parts_of(text: str) -> list[str]:
@@ -122,8 +145,9 @@ class Aligner:
         ids_a, ids_b = self.a.encode(flat), self.b.encode(flat)
         at = 0
         for text, own in zip(texts, parts):
-            a = np.array([i for ids in ids_a[at : at + len(own)] for i in ids], np.int64)
-            b = np.array([i for ids in ids_b[at : at + len(own)] for i in ids], np.int64)
+            a, b = (
+                np.concatenate([np.array(ids, np.int64) for ids in side[at : at + len(own)] or [[]]]) for side in (ids_a, ids_b)
+            )
             at += len(own)
             data = f" {text}".encode("utf-8", "surrogatepass")
             alike = all(b"".join(side.spelled[ids].tolist()) == data for side, ids in ((self.a, a), (self.b, b)))
@@ -132,8 +156,9 @@ class Aligner:
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The positions of the tokens of either side that end where one of the other ends."""
         ends_a, ends_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
-        _, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        return last_a, last_b
+        ending = np.zeros((2, 1 + int(ends_a[-1])) if len(a) else (2, 0), bool)
+        ending[0, ends_a], ending[1, ends_b] = True, True
+        return np.flatnonzero(ending[1, ends_a]), np.flatnonzero(ending[0, ends_b])
 
     def groups_text(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
         """The groups as ``a1,a2|b1;a3|b2,b3``."""

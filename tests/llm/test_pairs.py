@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmill.llm import alignment, decontaminate, resample
+from quillmill.llm import alignment, decontaminate, resample, token_counts
 
 CLASH = "row pos head size words item window_no gram_no key first past rank score segment eligible a b chunk plane bits weight run place id".split()
 
@@ -114,14 +114,31 @@ def test_alignment(spark):
 
 
 def test_alignment_of_parts_and_small_chunks(spark, monkeypatch):
-    text = "One two, three.  Four\n five " * 30 + "y" * 100
     whole = alignment.aligner(alignment.VOCABULARY_A, alignment.VOCABULARY_B)
-    want = [ids.tolist() for ids in next(whole.encode([text]))]
+    pick = random.Random(8)
+    texts = ["One two, three.  Four\n five " * 30 + "y" * 100]
+    for letters in ("ab \n", "aé'1.  \t", "the, cat\x1c\u3000\x85 ", "x日 \r\n"):
+        texts += ["".join(pick.choice(letters) for _ in range(pick.choice([1, 5, 80]))) for _ in range(60)]
+    want = [[ids.tolist() for ids in found] for found in whole.encode(texts)]
+    assert sum(bool(found[0]) for found in want) > 200
     for size in (1, 10, 100):
         monkeypatch.setattr(alignment, "PART_CHARS", size)
-        assert "".join(alignment.parts_of(text)) == " " + text
-        assert [ids.tolist() for ids in next(whole.encode([text]))] == want
-    assert len(alignment.parts_of(text)) > 5
+        assert all("".join(alignment.parts_of(text)) == " " + text for text in texts)
+        assert [[ids.tolist() for ids in found] for found in whole.encode(texts)] == want
+    assert len(alignment.parts_of(texts[0])) > 5
+
+
+def test_ranks_give_the_tokens_of_the_list_of_merges():
+    own = token_counts.transducer(alignment.VOCABULARY_A)
+    tokens = alignment.aligner(alignment.VOCABULARY_A, alignment.VOCABULARY_B).a
+    plain = [s for i, s in enumerate(tokens.spelled.tolist()) if s != b"<|endoftext|>"]
+    assert len(plain) == 50_256 and {len(own.merge(s)) for s in plain} == {1}
+    library = Tokenizer.from_file(public_tokenizers.path(alignment.VOCABULARY_A))
+    library.encode_special_tokens = True
+    pick = random.Random(3)
+    texts = SAID[:-2] + ["".join(pick.choice("sreaveldmt 'ABé1.,\n日\x00") for _ in range(400)) for _ in range(200)]
+    texts += [space * 100_000 + "x" for space in " \n\t"] + [" " * 999 + "a", "x" * 100_000]
+    assert tokens.encode(texts) == [library.encode(text, add_special_tokens=False).ids for text in texts]
 
 
 def test_pair_documents(spark):
