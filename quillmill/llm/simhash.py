@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm import common, near_copies, shingles
+from quillmill.llm import common, shingles
 from quillmill.llm.components import Forest, star_components
 
 SHINGLE = 3
@@ -229,12 +229,12 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the document of the smallest id of each group of near copies, and one row of it.
+    """``df`` with the document of the smallest id of each component, and one row of it.
 
-    Groups are those of ``near_copies``, five-word shingles at 0.8, not the components of the report. A group holds any number of rows without an id, so documents are told apart by the hash
-    of their text as well.
+    A component holds any number of rows without an id, so documents are told apart by the hash of
+    their text as well.
     """
-    found = near_copies.labelled(df, id_col, text_col)
+    found = labelled(fingerprints(df, id_col, text_col))
     kept = found.groupBy("label").agg(F.min(F.struct("k", "t")).alias("first"))
     kept = kept.select(F.col("first.k").alias("_kept_k"), F.col("first.t").alias("_kept_t"))
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID))
