@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from quillmill.operators.detect import IMAGE_SUFFIXES, suffix_of
 from quillmill.session import materialize
 from quillmill.sources import images
-from quillmill.sources.readers import list_files, read_delimited, read_zip_members
+from quillmill.sources.archives import zip_index
+from quillmill.sources.readers import read_delimited
+from quillmill.sources.storage import list_files
 
 
 @dataclass(frozen=True)
@@ -31,7 +33,7 @@ def prepare_image_dataset(
     ``csv`` (a table of image paths and labels, paths relative to its folder), and is read from the
     suffix if it is not given. A dataset's classes are the folders below its image root. With
     ``class_from_archive`` every archive is one class, named by its stem, and they make up one
-    dataset. Writes the list of image paths once; the bytes of folders and tables are not read.
+    dataset. Writes the list of image paths once; the bytes of images are not read.
     """
     kind = kind or {"zip": "zip", "csv": "csv"}.get(path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower(), "dir")
     if kind == "csv":
@@ -39,7 +41,7 @@ def prepare_image_dataset(
         listed = images.image_manifest(read_delimited(spark, path), list_files(spark, base), base)
         found = listed.select(F.lit("csv").alias("dataset"), "path", "label")
     elif kind == "zip":
-        members = read_zip_members(spark, path).select("archive", "member")
+        members = zip_index(spark, path).select("archive", "member")
         members = materialize(members.where(suffix_of(F.col("member")).isin(IMAGE_SUFFIXES)), "image-members")
         place = F.concat_ws("!/", "archive", "member").alias("path")
         if class_from_archive:

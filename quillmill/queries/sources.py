@@ -23,7 +23,8 @@ from quillmill.queries.corpus import AUGMENTED, CLEAN, PAIRS, documents
 from quillmill.queries.registry import query, rounded, table
 from quillmill.queries.runs import SIGNALS, log_lines
 from quillmill.session import scratch_path
-from quillmill.sources import images, readers, sinks
+from quillmill.sources import archives, images, readers, sinks
+from quillmill.sources.storage import list_files, qualified
 from quillmill.streaming.jobs import incremental_prepare, log_health_stream, run_available
 
 TURNS = "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text FROM conversations"
@@ -74,6 +75,33 @@ def _json(spark, sf):
     return readers.read_json_documents(spark, path).select("conv_id", "turn", "role", "text")
 
 
+@query("read_delimited_blocks", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
+def _csv_blocks(spark, sf):
+    """Texts with line breaks in their cells, read in blocks far smaller than the files."""
+    path = scratch_path(spark, "csv")
+    sinks.write_csv_report(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
+    return readers.read_delimited(spark, path, "csv", block_bytes=1 << 18)
+
+
+def json_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a partition as one document, ``{"data": [row, ...]}``, a line per row."""
+    lead = '{"made": {"by": ["a", {"data": []}]}, "data": ['
+    for batch in batches:
+        rows = batch["row"].tolist()
+        yield pd.DataFrame({"value": [lead + rows[0], *["," + row for row in rows[1:]]]})
+        lead = ","
+    yield pd.DataFrame({"value": ["]}" if lead == "," else lead + "]}"]})
+
+
+@query("read_json_blocks", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def _json_blocks(spark, sf):
+    """One list per part file of the table, cut into its items by many tasks."""
+    path = scratch_path(spark, "json")
+    rows = table(spark, sf, "documents").select(F.to_json(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("row"))
+    rows.mapInPandas(json_document, "value string").write.text(path)
+    return readers.read_json_documents(spark, path, block_bytes=1 << 18).select("doc_id", "text", "lang", "source", "n_chars")
+
+
 BENCH_TEXT = CLEAN.format("text")
 
 
@@ -144,6 +172,41 @@ def _zip(spark, sf):
     )
 
 
+def page_of(path: str) -> tuple:
+    return (
+        F.regexp_extract(path, r"(\d+)\.md$", 1).cast("long").alias("page_id"),
+        F.regexp_extract(path, r"part-(\d+)", 1).cast("long").alias("part"),
+    )
+
+
+@query(
+    "read_zip_pieces",
+    "SELECT page_id, page_id // 64 AS part, greatest(1, CAST(ceil(strlen(html) / 1000) AS BIGINT)) AS pieces, strlen(html) AS bytes FROM pages",
+)
+def _zip_pieces(spark, sf):
+    pieces = archives.read_zip_pieces(archives.zip_index(spark, zipped_pages(spark, sf)), 1_000)
+    sized = pieces.groupBy("archive", "member", "offset").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length("content")).alias("bytes")
+    )
+    return sized.select(page_of("member")[0], page_of("archive")[1], "pieces", "bytes")
+
+
+@query("extract_zip", "SELECT page_id, page_id // 64 AS part, strlen(html) AS bytes FROM pages")
+def _extract(spark, sf):
+    folder = qualified(spark, scratch_path(spark, "unzipped"))
+    done = archives.extract_zip(archives.zip_index(spark, zipped_pages(spark, sf)), folder)
+    return done.select(*page_of("path"), F.col("length").alias("bytes"))
+
+
+@query("list_files", "SELECT page_id, page_id // 64 AS part, page_id % 7 AS kind, strlen(html) AS length FROM pages")
+def _listing(spark, sf):
+    """A tree of folders, as many as there are archives and kinds of pages in them."""
+    folder = qualified(spark, scratch_path(spark, "unzipped"))
+    archives.extract_zip(archives.zip_index(spark, zipped_pages(spark, sf, "kind_{1}/{0}.md")), folder)
+    kind = F.regexp_extract("path", r"kind_(\d+)/", 1).cast("long").alias("kind")
+    return list_files(spark, folder, folders_per_task=8).select(*page_of("path"), kind, "length")
+
+
 @query("zip_texts", f"SELECT page_id, {CLEAN.format('html')} AS text FROM pages")
 def _zip_texts(spark, sf):
     found = readers.zip_texts(readers.read_zip_members(spark, zipped_pages(spark, sf)))

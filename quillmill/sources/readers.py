@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import functools
-import io
-import re
-import zipfile
-from collections.abc import Iterator, Sequence
-from urllib.parse import unquote
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.functions.text import NOT_BLANK, clean_text
 from quillmill.operators.detect import TEXT_SUFFIXES, suffix_of
+from quillmill.session import materialize, scratch_path
+from quillmill.sources import csv_blocks, json_blocks
+from quillmill.sources.archives import extract_zip, read_zip_members, zip_index
+from quillmill.sources.storage import BLOCK_BYTES, files_of, list_files, qualified
 
 # Cells that mean "missing", and which suffix is read in which way.
 MISSING_CELLS = [
@@ -31,12 +30,6 @@ def _glob(suffix: str) -> str:
     return "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, length)`` of every file below ``root``; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return found.select("path", "length")
-
-
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Union by name; a column missing in one frame is null there.
 
@@ -60,33 +53,29 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 # ---- tables -------------------------------------------------------------------------------
 
 
-def _profile_lines(spark: SparkSession, path: str, suffix: str | None) -> list[tuple[bool, bool, list[str]]]:
-    """Files grouped by header line, by valid UTF-8, and by whether a cell may span lines.
-
-    One pass over the lines; only file names reach the driver. A line with an odd number of
-    quotes is the sign of a cell that goes on in the next line.
-    """
+def _profile_lines(spark: SparkSession, path: str, suffix: str | None) -> DataFrame:
+    """A row per file: ``path``, ``length``, its first line as ``header``, whether it is valid UTF-8, and
+    whether a cell may span lines, of which a line with an odd number of quotes is the sign."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if suffix:
         reader = reader.option("pathGlobFilter", _glob(suffix))
     lines = reader.text(path).select(
         F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("at"),
         F.monotonically_increasing_id().alias("line"),
         "value",
     )
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = (F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
     opens_file = F.col("at") == 0
     files = lines.groupBy("file").agg(
+        F.first("size").alias("length"),
         F.min_by(F.when(opens_file, F.col("value")), F.when(opens_file, F.col("line"))).alias("header"),
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(quotes % 2 == 1).alias("spans"),
+        F.bool_or(odd).alias("spans"),
     )
-    groups = files.groupBy("header", "utf8", "spans").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return [
-        (row["utf8"], row["spans"], [unquote(f) for f in row["files"]])
-        for row in groups.orderBy("files").collect()
-    ]
+    plain = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    return files.select(plain.alias("path"), "length", "header", "utf8", "spans")
 
 
 def read_delimited(
@@ -96,35 +85,41 @@ def read_delimited(
     encoding: str = "auto",
     schema: T.StructType | str | None = None,
     multi_line: bool = True,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """CSV (or, by suffix, tab-separated) files with a header; every column is read as text.
 
-    ``auto`` looks at the lines once: files that are not valid UTF-8 are read as Latin-1, files
-    with different headers are matched by column name, and only files with cells that span lines
-    are read whole by one task, all others in splits. Give ``encoding`` and ``schema`` (and
-    ``multi_line=False`` where no cell spans lines) to skip that pass. Missing-value marks become
-    null.
+    ``auto`` looks at the lines once: CSV files that are not valid UTF-8 are read as Latin-1, and
+    files with different headers are matched by column name. Files with one header and no cell that
+    spans lines go to Spark's reader. All others are read in blocks of ``block_bytes``, by as many
+    tasks as there are blocks; only distinct headers come to the driver, never the names of files.
+    Give ``encoding`` and ``schema`` (and ``multi_line=False`` where no cell spans lines) to skip that
+    pass. Missing-value marks become null.
     """
     kind = suffix or path.rsplit(".", 1)[-1].lower()
-    reader = (
-        spark.read.option("header", "true")
-        .option("escape", '"')
-        .option("recursiveFileLookup", "true")
-        .option("sep", DELIMITERS.get(kind, ","))
-    )
+    sep = DELIMITERS.get(kind, ",")
+    reader = spark.read.option("header", "true").option("escape", '"').option("recursiveFileLookup", "true")
+    reader = reader.option("sep", sep)
+    if suffix:
+        reader = reader.option("pathGlobFilter", _glob(suffix))
+    if schema is not None:
+        reader = reader.schema(schema)
     if schema is not None and encoding != "auto":
-        if suffix:
-            reader = reader.option("pathGlobFilter", _glob(suffix))
-        one = reader.option("multiLine", str(multi_line).lower()).option("encoding", encoding)
-        frames = [one.schema(schema).csv(path)]
+        table = reader.option("multiLine", str(multi_line).lower()).option("encoding", encoding).csv(path)
     else:
-        frames = []
-        for is_utf8, spans, files in _profile_lines(spark, path, suffix):
-            fallback = "UTF-8" if is_utf8 or kind != "csv" else "ISO-8859-1"
-            one = reader.option("encoding", fallback if encoding == "auto" else encoding)
-            one = one.option("multiLine", str(spans).lower())
-            frames.append((one.schema(schema) if schema is not None else one).csv(files))
-    table = union_all(frames)
+        files = materialize(_profile_lines(spark, path, suffix), "csv-files")
+        # In text files other than CSV, and where an encoding is given, it is not guessed.
+        latin = F.lit(kind == "csv" and encoding == "auto") & ~F.col("utf8")
+        groups = files.groupBy("header", latin.alias("latin")).agg(F.bool_or("spans").alias("spans")).collect()
+        if not groups:
+            raise ValueError(f"no rows in {path}")
+        named = "ISO-8859-1" if groups[0]["latin"] else "UTF-8"
+        if len(groups) == 1 and not groups[0]["spans"]:
+            table = reader.option("encoding", named if encoding == "auto" else encoding).csv(path)
+        else:
+            if encoding not in ("auto", "UTF-8"):
+                raise ValueError("an encoding can only be given for files with one header and no line breaks in cells")
+            table = _read_blocks(files.withColumn("utf8", ~latin), sep, schema, block_bytes)
     return table.select(
         *[
             F.when(~F.col(f"`{f.name}`").isin(MISSING_CELLS), F.col(f"`{f.name}`")).alias(f.name)
@@ -135,24 +130,41 @@ def read_delimited(
     )
 
 
-def read_json_documents(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
-    """JSON files holding a list, an object with a ``data`` or ``records`` list, or one object."""
-    reader = spark.read.option("multiLine", "true").option("mode", "FAILFAST").option("recursiveFileLookup", "true")
-    if suffix:
-        reader = reader.option("pathGlobFilter", _glob(suffix))
-    raw = reader.json(path)
-    if not raw.columns:
+def _read_blocks(files: DataFrame, sep: str, schema: T.StructType | str | None, block_bytes: int) -> DataFrame:
+    """Files of any headers, with cells that may span lines, as one table."""
+    spanning = files.where("spans")
+    states = None
+    if not spanning.isEmpty():
+        states = materialize(csv_blocks.block_states(spanning, sep, block_bytes), "csv-states")
+        firsts = csv_blocks.first_records(spanning, sep)
+        files = files.join(firsts, F.col("path") == F.col("h_path"), "left").withColumn("header", F.coalesce("first", "header"))
+        files = materialize(files.drop("h_path", "first"), "csv-headers")
+    frames = []
+    for header, spans in files.select("header", "spans").distinct().collect():
+        own = files.where(F.col("header").eqNullSafe(F.lit(header)) & (F.col("spans") == spans))
+        records = csv_blocks.read_records(own, states if spans else None, sep, block_bytes)
+        if isinstance(schema, T.StructType):
+            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        else:
+            names = csv_blocks.column_names((header or "").removeprefix("\ufeff"), sep)
+            ddl = schema or ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        frames.append(csv_blocks.parsed(records, ddl, sep))
+    return union_all(frames)
+
+
+def read_json_documents(
+    spark: SparkSession, path: str, suffix: str | None = None, block_bytes: int = json_blocks.BLOCK_BYTES
+) -> DataFrame:
+    """JSON files holding a list, an object with a ``data`` or ``records`` list, or one object.
+
+    The documents become JSON lines in the shared folder once, a list of any length by as many tasks
+    as its file has blocks; what follows is Spark's reader. Types are those of all rows."""
+    lines = scratch_path(spark, "json-lines")
+    json_blocks.json_lines(files_of(spark, path, suffix), block_bytes).write.text(lines)
+    rows = spark.read.option("mode", "FAILFAST").json(lines)
+    if not rows.columns:
         raise ValueError(f"unsupported JSON payload in {path}")
-    lists = [
-        c for c in ("data", "records") if c in raw.columns and isinstance(raw.schema[c].dataType, T.ArrayType)
-    ]
-    if not lists and not {"data", "records"} & set(raw.columns):
-        return raw
-    # Rows of a list may own such a column themselves; only the document tells, so it is parsed whole.
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if suffix:
-        files = files.option("pathGlobFilter", _glob(suffix))
-    return _json_members(files.load(path).select(decode_bytes(F.col("content")).alias("text")), False)
+    return rows
 
 
 def read_jsonl(spark: SparkSession, path: str, suffix: str | None = None, strict: bool = True) -> DataFrame:
@@ -187,115 +199,21 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     return _texts(files, F.col("path"))
 
 
-def read_zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """``(archive, member, content)`` of every file in the zip archives at ``path``.
-
-    Archives are read in parallel, the members of one archive in turn, each sent on before the
-    next is unpacked. A member name that leads out of its archive fails the read.
-    """
-    archives = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _glob("zip"))
-        .load(path)
-        .select("path", "content")
-    )
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as opened:
-                    for member in opened.infolist():
-                        parts = re.split(r"[/\\]", member.filename)
-                        if ".." in parts or parts[0] == "" or ":" in parts[0]:
-                            raise ValueError(f"unsafe path in zip: {member.filename}")
-                        if not member.is_dir():
-                            yield pd.DataFrame(
-                                {
-                                    "archive": [archive],
-                                    "member": [member.filename],
-                                    "content": [opened.read(member)],
-                                }
-                            )
-
-    return archives.mapInPandas(unpack, "archive string, member string, content binary")
-
-
 def zip_texts(members: DataFrame) -> DataFrame:
     """The text files among archive members, as ``(source, text)``."""
     return _texts(members, F.concat_ws("!/", "archive", "member"))
 
 
-def _zip_rows(members: DataFrame) -> DataFrame:
-    """Archive members as a dataset: unpacked once to the shared folder, then read like one."""
-    from quillmill.session import materialize
-
-    kept = materialize(members, "zip-members")
-    kinds = _suffix_counts(kept.select(F.col("member").alias("path")))
-    tables = [k for k in TABLE_SUFFIXES if kinds.get(k)]
-    if not tables:
-        return zip_texts(kept)
-    lines = kept.withColumn("kind", suffix_of(F.col("member"))).select(
-        "archive", "member", "kind", decode_bytes(F.col("content")).alias("text")
-    )
-    frames = []
-    for kind in tables:
-        if kind in DELIMITERS:
-            frames.append(_delimited_members(lines.where(F.col("kind") == kind), DELIMITERS[kind]))
-        else:
-            frames.append(_json_members(lines.where(F.col("kind") == kind), kind == "jsonl"))
-    return union_all(frames)
-
-
-def _delimited_members(members: DataFrame, sep: str) -> DataFrame:
-    """Rows of delimited files held as text, parsed by pandas inside the tasks."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text in batch["text"]:
-                for table in pd.read_csv(io.StringIO(text), sep=sep, dtype=str, chunksize=5_000):
-                    cells = [
-                        {k: v for k, v in row.items() if isinstance(v, str)}
-                        for row in table.to_dict("records")
-                    ]
-                    # The column names travel with the first row of each piece only.
-                    names = [list(table.columns)] + [[]] * (len(cells) - 1)
-                    yield pd.DataFrame({"names": names[: len(cells)], "cells": cells})
-
-    parsed = members.select("text").mapInPandas(parse, "names array<string>, cells map<string,string>")
-    names = [r[0] for r in parsed.select(F.explode("names")).distinct().orderBy("col").collect()]
-    return parsed.select(*[F.get(F.array(F.element_at("cells", n)), F.lit(0)).alias(n) for n in names])
-
-
-def _json_members(members: DataFrame, by_line: bool) -> DataFrame:
-    """Rows of JSON files held as text: lists, objects that wrap a list, and single objects.
-
-    A line of a JSON-lines file is a row as it is, and so is an item of a list.
-    """
-    text = F.explode(F.split("text", r"\r?\n")) if by_line else F.col("text")
-    docs = members.select(text.alias("text")).where(F.col("text").rlike(NOT_BLANK))
-    parsed = docs.select(F.parse_json("text").alias("v"))
-    is_list = F.schema_of_variant("v").startswith("ARRAY")
-
-    if by_line:
-        is_list = F.lit(False)
-
-    def inner(name: str) -> Column:
-        if by_line:
-            return F.lit(None).cast("array<variant>")
-        item = F.try_variant_get("v", f"$.{name}", "variant")
-        return F.when(F.schema_of_variant(item).startswith("ARRAY"), item).cast("array<variant>")
-
-    rows = parsed.select(
-        F.explode(
-            F.coalesce(
-                F.when(is_list, F.col("v")).cast("array<variant>"), inner("data"), inner("records"), F.array("v")
-            )
-        ).alias("v")
-    )
-    found = rows.agg(F.schema_of_variant_agg("v")).first()[0]
-    shape = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", found).replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
-    return rows.select(F.col("v").cast(shape).alias("row")).select("row.*")
+def read_zip(spark: SparkSession, path: str) -> DataFrame:
+    """Zip archives as a dataset: the tables in them, unpacked to the shared folder and read from there;
+    their text files if there is no table."""
+    index = zip_index(spark, path)
+    kinds = _suffix_counts(index.select(F.col("member").alias("path")))
+    if not any(kinds.get(k) for k in TABLE_SUFFIXES):
+        return zip_texts(read_zip_members(spark, path, TEXT_SUFFIXES))
+    folder = scratch_path(spark, "unzipped")
+    extract_zip(index.where(suffix_of(F.col("member")).isin(TABLE_SUFFIXES)), qualified(spark, folder))
+    return read_dataset_dir(spark, folder)
 
 
 # ---- folders and mixed inputs -------------------------------------------------------------
@@ -340,7 +258,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return read_dataset_dir(spark, path)
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "zip":
-        return _zip_rows(read_zip_members(spark, path))
+        return read_zip(spark, path)
     if kind in DELIMITERS:
         return read_delimited(spark, path)
     if kind == "json":
@@ -353,10 +271,25 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 
 def union_sources(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Several inputs as one table with ``source_id``, the position of the input.
+    """Several inputs as one table, with ``source_id``, the position of the input, ``class``, the stem of
+    an archive (with a number behind it where stems repeat; null for other inputs), and ``member``, the
+    path of a text file inside its input (null for rows of tables).
 
     Nothing is copied, so equal file names need no renaming.
     """
-    return union_all(
-        [read_any(spark, p).withColumn("source_id", F.lit(i)) for i, p in enumerate(paths)]
-    )
+    frames, stems = [], []
+    for i, path in enumerate(paths):
+        frame, stem = read_any(spark, path), None
+        member = F.lit(None).cast("string")
+        if path.lower().endswith(".zip"):
+            stem = path.rsplit("/", 1)[-1][: -len(".zip")]
+            stems.append(stem)
+            stem += f"_{stems.count(stem) - 1}" if stems.count(stem) > 1 else ""
+            if frame.columns == ["source", "text"]:
+                member = F.element_at(F.split("source", "!/", 2), 2)
+        elif frame.columns == ["source", "text"]:
+            base = qualified(spark, path)
+            inside = F.substring("source", len(base) + 2, 2**31 - 1)
+            member = F.when(F.col("source") == base, F.lit(base.rsplit("/", 1)[-1])).otherwise(inside)
+        frames.append(frame.withColumns({"source_id": F.lit(i), "class": F.lit(stem).cast("string"), "member": member}))
+    return union_all(frames)

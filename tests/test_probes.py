@@ -1,6 +1,7 @@
 """Inputs on which an earlier version gave a wrong answer."""
 
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,10 +25,10 @@ def test_wrapped_rows_beside_a_text_of_that_name(spark, tmp_path):
     assert sorted(r["q"] for r in got) == ["a", "b", "c"]
 
 
-def test_json_lines_in_an_archive_are_rows(spark):
-    lines = '{"q": "a", "data": [1, 2]}\n{"q": "b", "data": [3]}\n'
-    members = spark.createDataFrame([(lines,)], "text string")
-    got = readers._json_members(members, True).orderBy("q").collect()
+def test_json_lines_in_an_archive_are_rows(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as out:
+        out.writestr("x.jsonl", '{"q": "a", "data": [1, 2]}\n{"q": "b", "data": [3]}\n')
+    got = readers.read_any(spark, str(tmp_path / "a.zip")).orderBy("q").collect()
     assert [(r["q"], r["data"]) for r in got] == [("a", [1, 2]), ("b", [3])]
 
 

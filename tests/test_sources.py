@@ -37,8 +37,8 @@ def test_latin_1_and_unlike_headers(spark, tmp_path):
 def test_only_cells_that_span_lines_stop_splitting(spark, tmp_path):
     put(tmp_path / "a.csv", 'id,text\n1,"x, ""y"""\n')
     put(tmp_path / "b.csv", 'id,text\n2,"x\ny"\n')
-    groups = readers._profile_lines(spark, str(tmp_path), "csv")
-    assert [(spans, len(files)) for _, spans, files in groups] == [(False, 1), (True, 1)]
+    files = readers._profile_lines(spark, str(tmp_path), "csv").collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.spans) for r in files) == [("a.csv", False), ("b.csv", True)]
     got = {(r.id, r.text) for r in readers.read_delimited(spark, str(tmp_path), "csv").collect()}
     assert got == {("1", 'x, "y"'), ("2", "x\ny")}
 
@@ -128,6 +128,13 @@ def test_union_sources(spark, tmp_path):
     assert rows(got.select("source_id", "id", "t", "u")) == [(0, "1", "x", None), (1, "2", None, "y")]
 
 
+def test_uploads_of_archives_are_classes(spark, tmp_path):
+    (tmp_path / "p").mkdir(), (tmp_path / "q").mkdir()
+    paths = [archive(tmp_path / p / "cats.zip", {f"in/{p}.txt": p}) for p in "pq"] + [put(tmp_path / "own.md", "mine")]
+    got = readers.union_sources(spark, paths).select("source_id", "class", "member", "text")
+    assert rows(got) == [(0, "cats", "in/p.txt", "p"), (1, "cats_1", "in/q.txt", "q"), (2, None, "own.md", "mine")]
+
+
 def test_images(spark, tmp_path):
     for name in ("wrap/cat/1.jpg", "wrap/cat/deep/2.PNG", "wrap/dog/3.webp", "wrap/readme.txt", "wrap/top.jpg"):
         put(tmp_path / name, b"x")
