@@ -6,12 +6,12 @@ per row, or an array with one double per class.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.functions.arrays import finite, sigmoid, softmax, sum_of
-from quillmill.operators.ranking import distinct_bound, running_counts
+from quillmill.operators.ranking import running_counts
 from quillmill.session import materialize
 
 # The scalar metrics kept for each task.
@@ -224,37 +224,55 @@ def score_counts(df: DataFrame, label: str, score: str, positive: Column) -> Dat
     )
 
 
-def curve_counts(counts: DataFrame, labels_bound: int | None = None) -> DataFrame:
+def curve_counts(counts: DataFrame, slice_rows: int = 1_000_000) -> DataFrame:
     """Add true and false positives at each threshold, ``upto_p`` and ``upto_n``.
 
     The counts are written once: prefix sums pass over them three times, and what leads to them
-    (scoring, exploding, the first shuffle) must not run again. ``labels_bound`` is a proven
-    bound on the number of labels; without one it is measured on the written table.
+    (scoring, exploding, the first shuffle) must not run again.
     """
-    written = materialize(counts, "score-counts")
-    if labels_bound is None:
-        labels_bound = distinct_bound(written, "label")
-    return running_counts(written, ["label"], "score", ["p", "n"], labels_bound)
+    return running_counts(materialize(counts, "score-counts"), ["label"], "score", ["p", "n"], slice_rows)
+
+
+def corner_points(cumulated: DataFrame) -> DataFrame:
+    """``cumulated`` without the thresholds at which its curve goes straight on: those between two
+    others that add positives and negatives in the same steps. The first and last stay.
+
+    A point needs its neighbours only, so beside its own slice it sees the border rows of the others,
+    of which there are two per slice and label.
+    """
+    here = Window.partitionBy("label", "_slice").orderBy(F.desc("score"))
+    border = cumulated.withColumns(
+        {"_next": F.lead("score").over(here), "_last": F.lag("score").over(here), "_p": F.lead("p").over(here), "_n": F.lead("n").over(here)}
+    )
+    first = border.where(F.col("_last").isNull()).select("label", "_slice", F.struct("p", "n").alias("step"))
+    after = first.select("label", "_slice", F.lead("step").over(Window.partitionBy("label").orderBy("_slice")).alias("_over"))
+    joined = border.join(after, ["label", "_slice"])
+    inner = F.col("_next").isNotNull()
+    p = F.when(inner, F.col("_p")).otherwise(F.col("_over.p"))
+    n = F.when(inner, F.col("_n")).otherwise(F.col("_over.n"))
+    begins = (F.col("upto_p") == F.col("p")) & (F.col("upto_n") == F.col("n"))
+    straight = F.coalesce((F.col("p") == p) & (F.col("n") == n), F.lit(False))
+    return joined.where(begins | ~straight).select(*cumulated.columns)
 
 
 def roc_curve(cumulated: DataFrame) -> DataFrame:
     """Curve points per label: the origin and one point per distinct score.
 
-    Points on a straight line are kept; the area is the same without them. Labels with one class
-    only are left out.
+    Points on a straight line are kept unless ``cumulated`` comes from :func:`corner_points`; the area
+    is the same without them. Labels with one class only are left out.
     """
     point = F.struct(
         F.col("score").alias("threshold"),
         (F.col("upto_n") / F.col("total_n")).alias("fpr"),
         (F.col("upto_p") / F.col("total_p")).alias("tpr"),
     )
+    two_classes = (F.col("total_p") > 0) & (F.col("total_n") > 0)
+    usable = cumulated.where(two_classes)
     origin = F.struct(
         F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
-    highest = (F.col("upto_p") == F.col("p")) & (F.col("upto_n") == F.col("n"))
-    points = F.when(highest, F.array(origin, point)).otherwise(F.array(point))
-    two_classes = (F.col("total_p") > 0) & (F.col("total_n") > 0)
-    return cumulated.where(two_classes).select("label", F.inline(points))
+    origins = usable.select("label").distinct().select("label", F.inline(F.array(origin)))
+    return usable.select("label", F.inline(F.array(point))).unionByName(origins)
 
 
 def curve_areas(cumulated: DataFrame) -> DataFrame:
@@ -280,10 +298,10 @@ def one_vs_rest(df: DataFrame, y: str = "y", scores: str = "scores") -> DataFram
     )
 
 
-def ovr_auc(df: DataFrame, num_classes: int, y: str = "y", scores: str = "scores") -> DataFrame:
+def ovr_auc(df: DataFrame, y: str = "y", scores: str = "scores") -> DataFrame:
     """One-vs-rest ROC AUC of every class that occurs and is not the only one."""
     counts = score_counts(one_vs_rest(df, y, scores), "label", "score", F.col("hit"))
-    return curve_areas(curve_counts(counts, num_classes)).select("label", "roc_auc")
+    return curve_areas(curve_counts(counts)).select("label", "roc_auc")
 
 
 def macro_auc(per_label: DataFrame) -> DataFrame:
@@ -294,7 +312,7 @@ def micro_auc(df: DataFrame, y: str = "y", scores: str = "scores") -> DataFrame:
     """ROC AUC of the pooled one-hot truth against the pooled scores."""
     pooled = one_vs_rest(df, y, scores).withColumn("label", F.lit("micro"))
     counts = score_counts(pooled, "label", "score", F.col("hit"))
-    return curve_areas(curve_counts(counts, 1)).select(F.col("roc_auc").alias("roc_auc_micro"))
+    return curve_areas(curve_counts(counts)).select(F.col("roc_auc").alias("roc_auc_micro"))
 
 
 # ---- multilabel ---------------------------------------------------------------------------
@@ -333,7 +351,7 @@ def multilabel_summary(report: DataFrame) -> DataFrame:
     return sums.select(*_prf(tp, tp + fp, tp + fn), "macro_f1", "weighted_f1")
 
 
-def multilabel_auc(df: DataFrame, num_labels: int, y: str = "y", scores: str = "scores") -> DataFrame:
+def multilabel_auc(df: DataFrame, y: str = "y", scores: str = "scores") -> DataFrame:
     """ROC AUC and PR AUC per label; labels with one class only are left out."""
     cells = df.select(
         F.posexplode(F.arrays_zip(F.col(y).alias("y"), F.col(scores).alias("s"))).alias("label", "c")
@@ -344,7 +362,7 @@ def multilabel_auc(df: DataFrame, num_labels: int, y: str = "y", scores: str = "
         "score",
         F.col("hit"),
     )
-    return curve_areas(curve_counts(counts, num_labels))
+    return curve_areas(curve_counts(counts))
 
 
 def multilabel_auc_summary(areas: DataFrame) -> DataFrame:

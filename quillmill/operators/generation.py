@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -190,6 +194,75 @@ def corpus_bleu(df: DataFrame, prediction: str = "prediction", reference: str =
     return sums.select(*([by] if by else []), "sys", "ref", *[f"m{n}" for n in orders], bleu.alias("bleu"))
 
 
+#: The modulus of the multiplicative hash that resampling weights come from.
+PRIME = 2**31 - 1
+
+
+def _drawn(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
+def replicate_factors(replicates: int, seed: int) -> list[tuple[int, int]]:
+    """The hash ``(a * key + b) % PRIME`` of each replicate."""
+    return [
+        (1 + _drawn(f"a{r}-{seed}") % (PRIME - 1), _drawn(f"b{r}-{seed}") % PRIME) for r in range(replicates)
+    ]
+
+
+def poisson_steps() -> list[float]:
+    """How often a row is drawn is the number of these that its uniform value reaches: a Poisson
+    variable of mean 1."""
+    steps, chance, total = [], math.exp(-1), 0.0
+    for k in range(1, 15):
+        total += chance
+        steps.append(total)
+        chance /= k
+    return steps
+
+
+def bootstrap_means(
+    df: DataFrame, key: Sequence[str], metrics: Sequence[str], replicates: int = 1000, confidence: float = 0.95, seed: int = 42
+) -> DataFrame:
+    """``(metric, low, mid, high, mean)``: the mean of each metric over all rows, and the median and the
+    confidence interval of its bootstrap means.
+
+    A row enters a replicate as often as a Poisson variable says that is hashed from its unique
+    ``key`` and the replicate, so nothing is drawn twice differently and no row meets another one. All
+    replicates are summed up in one pass, each task sends ``replicates`` rows of fixed width. Rows
+    with a null among the metrics are left out.
+    """
+    factors = np.array(replicate_factors(replicates, seed), np.int64)
+    steps = np.array(poisson_steps())
+    hashed = F.conv(F.left(F.md5(F.concat_ws("\x01", *[F.col(c).cast("string") for c in key])), F.lit(8)), 16, 10)
+    rows = df.select((hashed.cast("long") % PRIME).alias("h"), *[F.col(m).cast("double").alias(m) for m in metrics]).dropna()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row counts every row once.
+        sums = np.zeros((replicates + 1, 1 + len(metrics)))
+        for batch in batches:
+            keys = batch.column("h").to_numpy()
+            values = np.column_stack([np.ones(len(keys)), *[batch.column(m).to_numpy() for m in metrics]])
+            for at in range(0, len(keys), 1_000):
+                uniform = ((factors[:, :1] * keys[None, at : at + 1_000] + factors[:, 1:]) % PRIME) / PRIME
+                sums[:-1] += np.searchsorted(steps, uniform, side="right") @ values[at : at + 1_000]
+            sums[-1] += values.sum(axis=0)
+        numbers = pa.array(range(replicates + 1), pa.int32())
+        yield pa.RecordBatch.from_arrays([numbers, *map(pa.array, sums.T)], ["r", "w", *metrics])
+
+    fields = "r int, w double, " + ", ".join(f"`{m}` double" for m in metrics)
+    drawn = rows.mapInArrow(run, fields).groupBy("r").agg(*[F.sum(c).alias(c) for c in ("w", *metrics)])
+    at = [(1 - confidence) / 2, 0.5, (1 + confidence) / 2]
+    is_plain = F.col("r") == replicates
+    mean = lambda m: F.col(m) / F.nullif("w", F.lit(0.0))
+    spans = drawn.agg(
+        *[F.percentile(F.when(~is_plain, mean(m)), at).alias(m) for m in metrics],
+        *[F.max(F.when(is_plain, mean(m))).alias(f"_{m}") for m in metrics],
+    )
+    named = lambda m: [F.get(m, F.lit(i)).alias(n) for i, n in enumerate(("low", "mid", "high"))]
+    listed = [F.struct(F.lit(m).alias("metric"), *named(m), F.col(f"_{m}").alias("mean")) for m in metrics]
+    return spans.select(F.inline(F.array(*listed)))
+
+
 def generation_sample(df: DataFrame, order_by: str, limit: int | None = None) -> DataFrame:
     """The first ``limit`` pairs, a top-k to which each task sends at most ``limit`` rows; all
     pairs without a limit."""

@@ -133,7 +133,7 @@ def two_level_rank(
     )
 
 
-def _cuts_below(cuts: Column, value: Column, bits: int) -> Column:
+def cuts_below(cuts: Column, value: Column, bits: int) -> Column:
     """How many of ``2**bits - 1`` sorted cuts lie below ``value``, by bisection."""
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
     return F.aggregate(
@@ -148,50 +148,36 @@ def running_counts(
     keys: Sequence[str],
     score: str,
     values: Sequence[str],
-    key_bound: int | None = None,
-    slice_bits: int = 8,
+    slice_rows: int = 1_000_000,
 ) -> DataFrame:
-    """Inclusive sums ``upto_*`` of ``values`` over descending ``score`` within ``keys``, and their
-    ``total_*`` per key.
+    """Inclusive sums ``upto_*`` of ``values`` over descending ``score`` within ``keys``, their ``total_*``
+    per key, and the ``_slice`` a row was summed in, rising in that order.
 
-    ``counts`` holds one row per (keys, score) and is read three times, so it should be a table. Quantile cuts of the distinct scores slice each
-    key evenly whatever their distribution; sums run inside ``2**slice_bits`` slices and are
-    shifted by the totals of the slices above. ``key_bound`` is a proven bound on the number of
-    distinct keys.
+    ``counts`` holds one row per (keys, score); it is range-partitioned by them and written, once.
+    There are as many ranges as it takes for about ``slice_rows`` rows each, whatever the keys and
+    scores are; sums run inside a range and are shifted by the totals of the key's ranges before it.
     """
-    slices = 2**slice_bits
-    fractions = [i / slices for i in range(1, slices)]
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(score, fractions, 10_000).alias("_cuts"),
-        *[F.sum(v).alias(f"total_{v}") for v in values],
-    )
-    # A cut list is about 2 KB, so a quarter of the usual row bound keeps this side small.
-    cuts = broadcast_if(cuts, None if key_bound is None else key_bound * 4)
-    sliced = (
-        counts.join(cuts, list(keys))
-        .withColumn("_slice", F.coalesce(_cuts_below(F.col("_cuts"), F.col(score), slice_bits), F.lit(0)))
-        .drop("_cuts")
-    )
+    spark = counts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // slice_rows))
+    ranged = counts.repartitionByRange(parts, *keys, F.desc(score)).withColumn("_slice", F.spark_partition_id())
+    ranged = materialize(ranged, "score-ranges")
     groups = [*keys, "_slice"]
-    totals = sliced.groupBy(*groups).agg(*[F.sum(v).alias(v) for v in values])
-    above = (
-        Window.partitionBy(*keys)
-        .orderBy(F.desc("_slice"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    whole = Window.partitionBy(*keys)
+    above = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row per range, and one more per key.
+    totals = ranged.groupBy(*groups).agg(*[F.sum(v).alias(v) for v in values])
     offsets = totals.select(
-        *groups, *[F.coalesce(F.sum(v).over(above), F.lit(0)).alias(f"_above_{v}") for v in values]
-    )
-    inside = (
-        Window.partitionBy(*groups)
-        .orderBy(F.desc(score))
-        .rowsBetween(Window.unboundedPreceding, 0)
+        *groups,
+        *[F.coalesce(F.sum(v).over(above), F.lit(0)).alias(f"_above_{v}") for v in values],
+        *[F.sum(v).over(whole).alias(f"total_{v}") for v in values],
     )
+    inside = Window.partitionBy(*groups).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        sliced.withColumns({f"_in_{v}": F.sum(v).over(inside) for v in values})
-        .join(broadcast_if(offsets, None if key_bound is None else key_bound * slices), groups)
+        ranged.withColumns({f"_in_{v}": F.sum(v).over(inside) for v in values})
+        .join(offsets, groups)
         .select(
             *counts.columns,
+            "_slice",
             *[F.col(f"total_{v}") for v in values],
             *[(F.col(f"_in_{v}") + F.col(f"_above_{v}")).alias(f"upto_{v}") for v in values],
         )

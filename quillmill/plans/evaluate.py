@@ -97,7 +97,7 @@ def evaluate_classification(
         rows, matrix = [size, M.accuracy(guessed), M.multilabel_summary(report)], report.select("label", "tn", "fp", "fn", "tp")
         areas = None
         if not decided:
-            areas = materialize(M.multilabel_auc(scored, classes), "areas")
+            areas = materialize(M.multilabel_auc(scored), "areas")
             rows.append(areas.agg(F.avg("roc_auc").alias("roc_auc"), F.avg("pr_auc").alias("pr_auc")))
         return Evaluation(task, classes, None, _stacked(rows), _named(report, labels), matrix, areas)
 
@@ -108,7 +108,7 @@ def evaluate_classification(
         rows.append(M.top_k_accuracy(scored))
     areas = curves = None
     if not decided and (classes == 2 or arrays):
-        cumulated = M.curve_counts(_single_label_counts(scored, classes, arrays), classes + 1)
+        cumulated = M.curve_counts(_single_label_counts(scored, classes, arrays))
         areas = materialize(M.curve_areas(cumulated), "areas")
         curves = M.roc_curve(cumulated)
         pooled = F.col("label") == "micro"

@@ -146,7 +146,7 @@ SELECT CAST(label AS VARCHAR) AS label, round(roc_auc, 9) AS roc_auc FROM areas
 UNION ALL SELECT 'macro', round(avg(roc_auc), 9) FROM areas""",
 )
 def _ovr(spark, sf):
-    per_label = M.ovr_auc(probabilities(spark, sf), CLASSES).withColumn("label", F.col("label").cast("string"))
+    per_label = M.ovr_auc(probabilities(spark, sf)).withColumn("label", F.col("label").cast("string"))
     # A grouping set gives the macro mean without computing the curves twice.
     both = per_label.rollup("label").agg(F.avg("roc_auc").alias("roc_auc"))
     return rounded(both.withColumn("label", F.coalesce("label", F.lit("macro"))), "roc_auc")
@@ -201,17 +201,32 @@ round(fp / (SELECT sum(n) FROM points), 9) AS fpr, round(tp / (SELECT sum(p) FRO
 UNION ALL SELECT 0, NULL, 0.0, 0.0""",
 )
 def _roc_curve(spark, sf):
-    return rounded(M.roc_curve(M.curve_counts(judged_counts(spark, sf), 1)), "threshold", "fpr", "tpr")
+    return rounded(M.roc_curve(M.curve_counts(judged_counts(spark, sf))), "threshold", "fpr", "tpr")
+
+
+@query(
+    "roc_curve_corners",
+    f"""WITH {JUDGED}, {areas('hits')}, steps AS (SELECT *, lead(p) OVER w AS next_p, lead(n) OVER w AS next_n, row_number() OVER w AS place
+  FROM cumulated WINDOW w AS (PARTITION BY label ORDER BY score DESC))
+SELECT label, round(score, 9) AS threshold,
+round(fp / (SELECT sum(n) FROM points), 9) AS fpr, round(tp / (SELECT sum(p) FROM points), 9) AS tpr FROM steps
+WHERE place = 1 OR next_p IS NULL OR next_p <> p OR next_n <> n
+UNION ALL SELECT 0, NULL, 0.0, 0.0""",
+)
+def _roc_corners(spark, sf):
+    """The curve without the points on its straight parts, from slices far smaller than the table."""
+    corners = M.corner_points(M.curve_counts(judged_counts(spark, sf), slice_rows=50))
+    return rounded(M.roc_curve(corners), "threshold", "fpr", "tpr")
 
 
 @query("roc_auc", f"WITH {JUDGED}, {areas('hits')} SELECT label, round(roc_auc, 9) AS roc_auc FROM areas")
 def _roc_auc(spark, sf):
-    return rounded(M.curve_areas(M.curve_counts(judged_counts(spark, sf), 1)).select("label", "roc_auc"), "roc_auc")
+    return rounded(M.curve_areas(M.curve_counts(judged_counts(spark, sf))).select("label", "roc_auc"), "roc_auc")
 
 
 @query("average_precision", f"WITH {JUDGED}, {areas('hits')} SELECT label, round(pr_auc, 9) AS pr_auc FROM areas")
 def _pr_auc(spark, sf):
-    return rounded(M.curve_areas(M.curve_counts(judged_counts(spark, sf), 1)).select("label", "pr_auc"), "pr_auc")
+    return rounded(M.curve_areas(M.curve_counts(judged_counts(spark, sf))).select("label", "pr_auc"), "pr_auc")
 
 
 @query(
@@ -284,7 +299,7 @@ def _multilabel_summary(spark, sf):
 SELECT label, round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc FROM areas""",
 )
 def _multilabel_auc(spark, sf):
-    return rounded(M.multilabel_auc(two_labels(spark, sf), 2), "roc_auc", "pr_auc")
+    return rounded(M.multilabel_auc(two_labels(spark, sf)), "roc_auc", "pr_auc")
 
 
 @query(
@@ -293,7 +308,7 @@ def _multilabel_auc(spark, sf):
 SELECT round(avg(roc_auc), 9) AS macro_roc_auc, round(avg(pr_auc), 9) AS macro_pr_auc FROM areas""",
 )
 def _multilabel_auc_summary(spark, sf):
-    summary = M.multilabel_auc_summary(M.multilabel_auc(two_labels(spark, sf), 2))
+    summary = M.multilabel_auc_summary(M.multilabel_auc(two_labels(spark, sf)))
     return rounded(summary, *summary.columns)
 
 

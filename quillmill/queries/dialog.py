@@ -9,6 +9,7 @@ from quillmill.operators import classification as M
 from quillmill.operators import dialog as D
 from quillmill.operators import sequences as S
 from quillmill.operators.corpus import turns_to_pair
+from quillmill.operators.packing import pack_whole_table
 from quillmill.queries.corpus import SAID
 from quillmill.queries.generation import IDS
 from quillmill.queries.registry import query, rounded, table
@@ -158,6 +159,25 @@ def _pack(spark, sf):
     return packed.select("shard", "block", _joined("input_ids"), _joined("labels"))
 
 
+@query(
+    "pack_whole_table",
+    f"""WITH {CODED},
+lens AS (SELECT conv_id, len(ids) AS n, ids, labels FROM coded),
+folded AS (SELECT list_reduce(list(DISTINCT {{'at': conv_id, 'n': n, 'block': 0, 'used': 0, 'out': []::BIGINT[]}} ORDER BY {{'at': conv_id, 'n': n, 'block': 0, 'used': 0, 'out': []::BIGINT[]}}),
+  lambda a, x: CASE WHEN a.used > 0 AND a.used + x.n > 384
+     THEN {{'at': x.at, 'n': x.n, 'block': CASE WHEN x.n = 384 THEN a.block + 2 ELSE a.block + 1 END, 'used': CASE WHEN x.n = 384 THEN 0 ELSE x.n END, 'out': list_append(a.out, a.block + 1)}}
+     ELSE {{'at': x.at, 'n': x.n, 'block': CASE WHEN a.used + x.n = 384 THEN a.block + 1 ELSE a.block END, 'used': CASE WHEN a.used + x.n = 384 THEN 0 ELSE a.used + x.n END, 'out': list_append(a.out, a.block)}} END,
+  {{'at': -1::BIGINT, 'n': 0::BIGINT, 'block': 0, 'used': 0::BIGINT, 'out': []::BIGINT[]}}).out AS blocks,
+  list(conv_id ORDER BY conv_id) AS convs FROM lens),
+assigned AS (SELECT unnest(blocks) AS block, unnest(convs) AS conv_id FROM folded)
+SELECT block, string_agg(array_to_string(ids, ','), ',' ORDER BY conv_id) AS input_ids,
+  string_agg(array_to_string(labels, ','), ',' ORDER BY conv_id) AS labels FROM assigned JOIN lens USING (conv_id) GROUP BY ALL""",
+)
+def _pack_whole(spark, sf):
+    packed = pack_whole_table(coded(spark, sf), "conv_id", 384, slice_rows=SHARD_ROWS)
+    return packed.select("block", _joined("input_ids"), _joined("labels"))
+
+
 # ---- models -------------------------------------------------------------------------------
 
 

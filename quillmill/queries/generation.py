@@ -133,6 +133,28 @@ def _rouge(spark, sf):
     return scored.agg(*[F.round(F.avg(c), 4).alias(c) for c in ("rouge1", "rouge2")])
 
 
+REPLICATES = 1000
+_FACTORS = ", ".join(f"({a}, {b})" for a, b in G.replicate_factors(REPLICATES, 42))
+
+
+@query(
+    "rouge_bootstrap",
+    f"""WITH {ROUGE_LISTS}, {overlap('grams', 'id, n')},
+f AS (SELECT id, max(f) FILTER (WHERE n = 1) AS rouge1, max(f) FILTER (WHERE n = 2) AS rouge2 FROM (
+  SELECT id, n, CASE WHEN o IS NULL THEN 0 ELSE 2 * o / (len(a) + len(b)) END AS f FROM grams LEFT JOIN common USING (id, n)) GROUP BY id),
+keyed AS (SELECT *, ('0x' || left(md5(id), 8))::BIGINT % {G.PRIME} AS h FROM f),
+drawn AS (SELECT r, rouge1, rouge2, len(list_filter({G.poisson_steps()}::DOUBLE[], lambda s: s <= u)) AS w
+  FROM (SELECT *, ((a * h + b) % {G.PRIME}) / {G.PRIME}::DOUBLE AS u FROM keyed, (SELECT row_number() OVER () AS r, a::BIGINT AS a, b::BIGINT AS b FROM (VALUES {_FACTORS}) t(a, b)))),
+means AS (SELECT r, sum(w * rouge1) / sum(w) AS rouge1, sum(w * rouge2) / sum(w) AS rouge2 FROM drawn GROUP BY r),
+long AS (SELECT unnest(['rouge1', 'rouge2']) AS metric, unnest([rouge1, rouge2]) AS v FROM means)
+SELECT metric, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.5), 6) AS mid, round(quantile_cont(v, 0.975), 6) AS high,
+  round(any_value(CASE metric WHEN 'rouge1' THEN (SELECT avg(rouge1) FROM f) ELSE (SELECT avg(rouge2) FROM f) END), 6) AS mean FROM long GROUP BY metric""",
+)
+def _rouge_bootstrap(spark, sf):
+    scored = G.rouge_scores(generations(spark, sf))
+    return rounded(G.bootstrap_means(scored, ["id"], ["rouge1", "rouge2"], REPLICATES), "low", "mid", "high", "mean", places=6)
+
+
 @query(
     "rouge_l",
     f"""WITH {ROUGE_LISTS},

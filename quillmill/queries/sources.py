@@ -25,7 +25,13 @@ from quillmill.queries.runs import SIGNALS, log_lines
 from quillmill.session import scratch_path
 from quillmill.sources import archives, images, readers, sinks
 from quillmill.sources.storage import list_files, qualified
-from quillmill.streaming.jobs import incremental_prepare, log_health_stream, run_available
+from quillmill.streaming.jobs import (
+    arriving_pairs,
+    incremental_prepare,
+    keep_first_arrivals,
+    log_health_stream,
+    run_available,
+)
 
 TURNS = "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text FROM conversations"
 
@@ -430,3 +436,16 @@ def _incremental(spark, sf):
     out, marks = scratch_path(spark, "arrived"), scratch_path(spark, "marks")
     run_available(stream, out, marks)
     return spark.read.schema(stream.schema).parquet(out).select("instruction", "output", "split")
+
+
+@query("first_arrivals", f"WITH {PAIRS} SELECT DISTINCT instruction, output FROM pairs")
+def _arrivals(spark, sf):
+    """The document table in several batches, and all of it once more behind them."""
+    docs, folder = table(spark, sf, "documents"), scratch_path(spark, "arriving")
+    docs.repartition(3).write.parquet(folder)
+    docs.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+    out, ledger, marks = (scratch_path(spark, name) for name in ("arrived", "ledger", "marks"))
+    pairs = arriving_pairs(stream.select("doc_id", "text", "source"), "doc_id")
+    keep_first_arrivals(pairs, out, ledger, marks, ["instruction", "output"], ["doc_id", "chunk"])
+    return spark.read.parquet(out).select("instruction", "output")

@@ -42,36 +42,78 @@ def test_areas(spark, kind):
         "clustered": lambda: 1e-9 * rng.random() if rng.random() < 0.9 else rng.random(),
     }[kind]
     pairs = [(draw(), rng.random() < 0.3) for _ in range(400)]
-    for bound in (1, None):
-        got = M.curve_areas(M.curve_counts(binary(spark, pairs), bound)).first()
+    for slice_rows in (30, 1_000_000):
+        got = M.curve_areas(M.curve_counts(binary(spark, pairs), slice_rows)).first()
         assert got.roc_auc == pytest.approx(auc(pairs), abs=1e-12)
         assert got.pr_auc == pytest.approx(average_precision(pairs), abs=1e-12)
-    flipped = M.curve_areas(M.curve_counts(binary(spark, [(-s, y) for s, y in pairs]), 1)).first()
+    flipped = M.curve_areas(M.curve_counts(binary(spark, [(-s, y) for s, y in pairs]))).first()
     assert flipped.roc_auc == pytest.approx(1 - got.roc_auc, abs=1e-12)
 
 
 def test_one_class_is_left_out(spark):
-    assert M.curve_areas(M.curve_counts(binary(spark, [(0.1, 1), (0.2, 1)]), 1)).count() == 0
+    assert M.curve_areas(M.curve_counts(binary(spark, [(0.1, 1), (0.2, 1)]))).count() == 0
 
 
-@pytest.mark.parametrize("bits", [1, 3, 8])
-def test_running_counts_by_slice(spark, bits):
-    rng = random.Random(bits)
+@pytest.mark.parametrize("slice_rows", [1, 20, 1000])
+def test_running_counts_by_slice(spark, slice_rows):
+    rng = random.Random(slice_rows)
     data = [(k, rng.random(), rng.randrange(5)) for k in "ab" for _ in range(150)]
     df = spark.createDataFrame(data, "k string, score double, v long")
-    got = {(r.k, r.score): r.upto_v for r in running_counts(df, ["k"], "score", ["v"], 2, bits).collect()}
+    got = {(r.k, r.score): r.upto_v for r in running_counts(df, ["k"], "score", ["v"], slice_rows).collect()}
     assert got == {(k, s): sum(v2 for k2, s2, v2 in data if k2 == k and s2 >= s) for k, s, _ in data}
 
 
 def test_scores_are_exploded_once(spark):
     rows = [(i % 3, [0.1 * i % 1, 0.2, 0.3]) for i in range(30)]
-    plan = M.ovr_auc(multiclass(spark, rows), 3)._jdf.queryExecution().executedPlan().toString()
+    plan = M.ovr_auc(multiclass(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "explode" not in plan and "BroadcastNestedLoop" not in plan
 
 
+def plain_corners(pairs):
+    """``(fpr, tpr)`` per threshold, but for those at which both counts go on in equal steps."""
+    steps = [(sum(s == t and y for s, y in pairs), sum(s == t and not y for s, y in pairs)) for t in sorted({s for s, _ in pairs}, reverse=True)]
+    hits, misses = (sum(step[i] for step in steps) for i in (0, 1))
+    points, p, n = [(0.0, 0.0)], 0, 0
+    for i, step in enumerate(steps):
+        p, n = p + step[0], n + step[1]
+        if i in (0, len(steps) - 1) or steps[i + 1] != step:
+            points.append((n / misses, p / hits))
+    return sorted(points)
+
+
+@pytest.mark.parametrize("slice_rows", [1, 7, 1000])
+def test_corners_of_curves(spark, slice_rows):
+    rng = random.Random(slice_rows)
+    runs = [(rng.randrange(200) / 200, rng.random() < 0.5) for _ in range(90)] + [(2 + i / 64, i > 20) for i in range(60)]
+    counts = binary(spark, runs, "a").unionByName(binary(spark, [(1, True), (0, False)], "b")).unionByName(binary(spark, [(1, True)], "c"))
+    cumulated = M.curve_counts(counts, slice_rows)
+    assert cumulated.select("_slice").distinct().count() > (30 if slice_rows == 1 else 1)
+    got = M.roc_curve(M.corner_points(cumulated)).collect()
+    assert sorted((r.fpr, r.tpr) for r in got if r.label == "a") == plain_corners(runs)
+    assert sorted((r.fpr, r.tpr) for r in got if r.label == "b") == [(0, 0), (0, 1), (1, 1)]
+    assert len(got) < M.roc_curve(cumulated).count() - 30 and {r.label for r in got} == {"a", "b"}
+
+
+def test_a_million_scores(spark):
+    """Slices follow the number of scores, and the areas are those of one pass over them."""
+    scores = spark.range(1_000_000).select(
+        F.lit("x").alias("label"), F.expr("pmod(id * 7919, 1000003) / 1000003").alias("score"), (F.xxhash64("id") % 3 == 0).alias("hit")
+    )
+    cumulated = M.curve_counts(M.score_counts(scores, "label", "score", F.col("hit")), slice_rows=10_000)
+    sizes = [r["count"] for r in cumulated.groupBy("_slice").count().collect()]
+    assert sum(sizes) == 1_000_000 and len(sizes) >= 100 and max(sizes) < 30_000
+    rows = sorted(((r.score, r.hit) for r in scores.select("score", "hit").toLocalIterator()), reverse=True)
+    hits, area = 0, 0
+    for _, hit in rows:
+        hits += hit
+        area += 0 if hit else hits
+    want = area / hits / (len(rows) - hits)
+    assert M.curve_areas(cumulated).first().roc_auc == pytest.approx(want, abs=1e-9)
+
+
 def test_curve_points(spark):
     counts = binary(spark, [(0.9, 1), (0.8, 0), (0.8, 1), (0.1, 0)])
-    points = {(r.fpr, r.tpr) for r in M.roc_curve(M.curve_counts(counts, 1)).collect()}
+    points = {(r.fpr, r.tpr) for r in M.roc_curve(M.curve_counts(counts)).collect()}
     assert points == {(0.0, 0.0), (0.0, 0.5), (0.5, 1.0), (1.0, 1.0)}
 
 
@@ -125,7 +167,7 @@ def test_one_vs_rest_and_micro(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(3), [rng.randrange(5) / 5 for _ in range(4)]) for _ in range(120)]
     df = multiclass(spark, rows)
-    got = {r.label: r.roc_auc for r in M.ovr_auc(df, 4).collect()}
+    got = {r.label: r.roc_auc for r in M.ovr_auc(df).collect()}
     assert set(got) == {0, 1, 2}
     for k in got:
         assert got[k] == pytest.approx(auc([(s[k], y == k) for y, s in rows]))
@@ -142,7 +184,7 @@ def test_multilabel(spark):
     assert M.accuracy(predicted).first()[0] == 0.0
     summary = M.multilabel_summary(M.multilabel_report(M.multilabel_counts(predicted))).first()
     assert (summary.precision, summary.recall, summary.macro_f1) == (pytest.approx(1 / 3), 0.5, 0.25)
-    assert {r.label for r in M.multilabel_auc(df, 2).collect()} == {0}
+    assert {r.label for r in M.multilabel_auc(df).collect()} == {0}
 
 
 def test_status(spark):
@@ -224,3 +266,21 @@ def test_bleu(spark):
     assert G.corpus_bleu(pairs_of(spark, [("x", "y")])).first().bleu == 0.0
     df = spark.createDataFrame([("He said &quot;3.5%&quot; -\nno, x-y.",)], "t string")
     assert df.select(G.bleu_tokens(F.col("t"))).first()[0] == ["He", "said", '"', "3.5", "%", '"', "no", ",", "x-y", "."]
+
+
+def test_bootstrap_means(spark):
+    rng = random.Random(1)
+    rows = [(f"k{i}", rng.gauss(0.4, 0.1), float(i % 2)) for i in range(900)]
+    df = spark.createDataFrame([*rows, ("none", None, 1.0)], "id string, a double, b double")
+    got = {r.metric: r for r in G.bootstrap_means(df, ["id"], ["a", "b"], 400).collect()}
+    again = {r.metric: r for r in G.bootstrap_means(df.repartition(7), ["id"], ["a", "b"], 400).collect()}
+    for metric, spread in (("a", 0.1), ("b", 0.5)):
+        r, error = got[metric], spread / 30
+        assert r.mean == pytest.approx(sum(row[1 if metric == "a" else 2] for row in rows) / 900, abs=1e-12)
+        assert abs(r.mid - r.mean) < error / 3
+        # 95 % of the means lie within 1.96 standard errors.
+        assert r.high - r.low == pytest.approx(2 * 1.96 * error, rel=0.2)
+        assert tuple(again[metric])[1:] == pytest.approx(tuple(r)[1:], abs=1e-12)
+    other = G.bootstrap_means(df, ["id"], ["a"], 400, seed=7).first()
+    assert other.low != got["a"].low and other.mean == pytest.approx(got["a"].mean)
+    assert tuple(G.bootstrap_means(df.limit(0), ["id"], ["a"], 10).first()) == ("a", None, None, None, None)

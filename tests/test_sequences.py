@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import sequences as S
+from quillmill.operators.packing import pack_whole_table, slice_map
 
 TOKENS = "id long, input_ids array<int>, attention_mask array<int>, labels array<int>"
 
@@ -81,3 +82,34 @@ def test_render(spark):
 def test_label_index(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "label string")
     assert {(r.label, r.label_id) for r in S.label_index(df).collect()} == {("a", 0), ("b", 1)}
+
+
+@pytest.mark.parametrize("slice_rows, limit", [(1000, 10), (7, 10), (1, 10), (20, 64), (3, 1)])
+def test_packing_of_the_whole_table(spark, slice_rows, limit):
+    """Any slices give the blocks of one fold."""
+    rng = random.Random(slice_rows)
+    rows = records(rng, 150) + [[rng.randrange(9)] * rng.choice([1, 2]) for _ in range(60)]
+    data = [(f"k{i:04}", r, [1] * len(r), [-v for v in r]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, TOKENS.replace("id long", "id string")).repartition(5)
+    got = pack_whole_table(df, "id", limit, slice_rows).orderBy("block").collect()
+    assert [r.input_ids for r in got] == pack(rows, limit)
+    assert [r.block for r in got] == list(range(len(got)))
+    assert all(r.labels == [-v for v in r.input_ids] and r.attention_mask == [1] * len(r.input_ids) for r in got)
+
+
+def test_packing_of_an_empty_table(spark):
+    assert pack_whole_table(spark.createDataFrame([], TOKENS), "id", 8).count() == 0
+
+
+def test_slice_maps():
+    rng = random.Random(4)
+    for limit in (1, 2, 9, 30):
+        for _ in range(40):
+            sizes = [rng.choice([0, 1, 2, 5, 9, 10, 31]) for _ in range(rng.randrange(12))]
+            left, closed = slice_map(sizes, limit)
+            for used in range(limit):
+                blocks = pack([[0] * used] + [[0] * s for s in sizes], limit)
+                held = sum(map(len, blocks))
+                # The fold's last block is open unless it is full.
+                open_size = len(blocks[-1]) if blocks and len(blocks[-1]) < limit else 0
+                assert (left[used], closed[used]) == (open_size, len(blocks) - bool(open_size)), (sizes, limit, used, held)

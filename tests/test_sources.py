@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import zipfile
 
 import pytest
@@ -206,3 +207,31 @@ def test_incremental_prepare(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() == got.select("instruction", "output").distinct().count() == 7
     assert {r.split for r in got.collect()} <= {"train", "eval"}
+
+
+def test_first_arrivals(spark, tmp_path, monkeypatch):
+    """Copies that come in later batches, however late, and batches that run again add nothing."""
+    monkeypatch.setattr(jobs, "LEDGER_BATCHES", 3)
+    out, ledger = f"{tmp_path}/out", f"{tmp_path}/ledger"
+    rng, sent, kept = random.Random(2), [], {}
+    schema = "id long, a string, b string"
+    for n in range(8):
+        rows = [(n * 100 + i, rng.choice([None, "x", "y", f"z{rng.randrange(30)}"]), rng.choice(["", "w", None])) for i in range(40)]
+        for row in rows:
+            kept.setdefault(row[1:], row[0])
+        batch = spark.createDataFrame(rows, schema).repartition(3)
+        sent.append(batch)
+        jobs.add_first_arrivals(batch, n, out, ledger, ["a", "b"], ["id"])
+        jobs.add_first_arrivals(sent[n], n, out, ledger, ["a", "b"], ["id"])
+    got = {(r.a, r.b): r.id for r in spark.read.parquet(out).collect()}
+    assert got == kept and spark.read.parquet(out).count() == len(kept)
+    assert {p.name for p in (tmp_path / "ledger").iterdir() if "base" in p.name} == {"base=3", "base=6"}
+
+
+def test_first_arrivals_of_a_stream(spark, tmp_path):
+    schema = "id long, t string"
+    for n in range(3):
+        spark.createDataFrame([(n * 10 + i, f"t{i % 4 + n}") for i in range(8)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        jobs.keep_first_arrivals(stream, f"{tmp_path}/out", f"{tmp_path}/ledger", f"{tmp_path}/marks", ["t"], ["id"])
+    assert sorted((r.t, r.id) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(f"t{i}", i if i < 4 else i + 9 if i < 5 else 23) for i in range(6)]
