@@ -54,13 +54,14 @@ def star_components(edges: DataFrame, name: str) -> DataFrame:
     before, seen = None, mark(now)
     while seen[0] and seen != before:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # As tables, these sides bring no partitioning that would tie a hub's edges to one task.
         large = (
-            both.join(_lowest(both), F.col("a") == F.col("n"))
+            both.join(common.staged(_lowest(both), f"{name}-low"), F.col("a") == F.col("n"))
             .where(F.col("b") > F.col("a"))
             .select(F.col("b").alias("a"), F.col("low").alias("b"))
         )
         large = common.staged(_oriented(large), name)
-        low = _lowest(large)
+        low = common.staged(_lowest(large), f"{name}-low")
         small = large.join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = small.unionByName(low.select(F.col("n").alias("a"), F.col("low").alias("b")))
         now = common.staged(_oriented(small), name)

@@ -9,7 +9,8 @@ range-sorted by position.
 
 Null and empty texts have size 0 and are never taken; a null source is a source of its own and
 ranks last; ties of the hash fall to the id, the text and then to the staged row number, so
-repeated rows are rows of their own. An empty table gives an empty result. Other columns are kept.
+repeated rows are rows of their own. Rows without an id are ordered by a hash of their text and row
+number, so that they spread like others. An empty table gives an empty result. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -92,15 +93,18 @@ def plan_mix(
     names a column that numbers the rows; without one they are numbered here.
     """
     text = common.text_of(text_col)
+    # Rows without an id are placed by their text and number, or they would all have one place.
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    unnamed = F.concat_ws(" ", F.lit("null"), F.xxhash64(text).cast("string"), row.cast("string"))
     sized = df.select(
-        *([F.col(row_col).alias("row")] if row_col else []),
+        row.alias("row"),
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         size_of(text).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), unnamed)).alias("h"),
         F.xxhash64(text).alias("t"),
     )
-    sized = common.staged(sized, "mix-sizes", row=None if row_col else "row")
+    sized = common.staged(sized, "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = common.staged(source_targets(sizes), "mix-targets")
     slices = max(1, math.isqrt(sized.count()))

@@ -3,7 +3,8 @@
 Every page becomes a record; among equal payloads the smallest page is the response and the others
 revisit it. Archives are written with captures in the order of their URL keys, so each is a locally
 sorted run of the index. The runs are dealt into key ranges and every range is merged by a loser
-tree over its runs: ranges and places in them give the global order of capture histories.
+tree over its runs: ranges and places in them give the global order of capture histories. Archives
+of others are read as well, with a gzip member per record or one for all; times are in UTC.
 
 Null payloads are empty; a null URL has an empty key and sorts first; a null page id is the lowest
 id and comes back as null; line breaks inside a URL are escaped. Pages whose id repeats count as
@@ -14,12 +15,13 @@ are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm import common
@@ -27,12 +29,14 @@ from quillmill.session import scratch_path
 
 #: Equal payloads below this many bytes are stored again and again.
 LEAST_BYTES = 100
-#: Captures of an archive file, at most.
-FILE_ROWS = 4_000
-#: Index keys that the ranges are cut by, about.
-SAMPLE = 8_192
-#: Captures of a range, about; the number of ranges follows the number of captures.
-RANGE_ROWS = 50_000
+#: Payloads of up to so many bytes share an archive with others, up to so many records; larger ones
+#: have one of their own. An archive is read as one cell.
+FILE_ROWS = {1 << 16: 4_000, 1 << 22: 60, 1 << 31: 1}
+READ_BYTES = 1 << 16
+#: Captures of a range, about, and sampled index keys per range that the ranges are cut by; the number
+#: of ranges follows the number of captures.
+RANGE_ROWS = 200_000
+RANGE_SAMPLE = 8
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = (
@@ -51,6 +55,14 @@ def url_key(url: Column) -> Column:
     )
 
 
+def in_utc(when: Column) -> Column:
+    """A time as WARC spells it, whatever the zone of the session."""
+    seconds = F.unix_seconds(when.cast("timestamp"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int")).cast("string")
+    part = lambda size, of: F.lpad((F.floor(F.pmod(seconds, F.lit(86_400)) / size) % of).cast("string"), 2, "0")
+    return F.concat(day, F.lit("T"), part(3600, 24), F.lit(":"), part(60, 60), F.lit(":"), part(1, 60), F.lit("Z"))
+
+
 def decide(pages: DataFrame) -> DataFrame:
     """Add ``first``, the page a record revisits (null: it is a response), to ``k, html, ...``.
 
@@ -121,71 +133,143 @@ def write_archives(
         k.alias("k"),
         F.col(url_col).cast("string").alias("url"),
         common.text_of(payload_col).alias("html"),
-        F.coalesce(F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("")).alias("captured"),
+        F.coalesce(in_utc(when), F.lit("")).alias("captured"),
         url_key(F.col(url_col).cast("string")).alias("url_key"),
     )
-    rows = records(decide(pages)).sortWithinPartitions("url_key", "captured", "k")
-    # A record is a line of the file, and its closing blank lines are the line's end.
-    writer = rows.select("value").write.option("lineSep", END).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", FILE_ROWS).text(path)
-
-
-class _Bytes:
-    """Reads an unpacked archive piece by piece."""
+    longest = pages.agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0))).first()[0]
+    least = -1
+    for most, rows in FILE_ROWS.items():
+        some = records(decide(pages).where(F.col("bytes").between(least + 1, most)))
+        # A record is a line of the file, and its closing blank lines are the line's end.
+        lines = some.sortWithinPartitions("url_key", "captured", "k").select("value")
+        writer = lines.write.mode("append").option("lineSep", END).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", rows).text(path)
+        if longest <= most:
+            break
+        least = most
+
+
+class _Unpacked:
+    """Reads an archive member by member and piece by piece; nothing is read or held twice."""
 
     def __init__(self, packed: bytes) -> None:
         self.view, self.at = memoryview(packed), 0
         self.inflate = zlib.decompressobj(31)
-        self.held = b""
+        self.begun = False
+        self.held = bytearray()
 
     def _more(self) -> bool:
+        if self.inflate.eof:
+            # Archives usually have a gzip member per record; zeros may pad the end.
+            rest = self.inflate.unused_data
+            self.at -= len(rest)
+            while self.at < len(self.view) and self.view[self.at] == 0:
+                self.at += 1
+            self.inflate, self.begun = zlib.decompressobj(31), False
         if self.at >= len(self.view):
+            if self.begun:
+                raise ValueError("archive ends inside a gzip member")
             return False
-        self.held += self.inflate.decompress(self.view[self.at : self.at + 65_536])
-        self.at += 65_536
+        block = self.view[self.at : self.at + READ_BYTES]
+        self.begun = True
+        self.at += len(block)
+        self.held += self.inflate.decompress(block)
         return True
 
     def until(self, mark: bytes) -> bytes | None:
-        while (found := self.held.find(mark)) < 0:
+        """What comes before the mark, which is passed over; None at the end."""
+        searched = 0
+        while (found := self.held.find(mark, searched)) < 0:
+            searched = max(0, len(self.held) - len(mark) + 1)
             if not self._more():
+                if self.held.strip():
+                    raise ValueError("archive ends inside a record")
                 return None
-        out, self.held = self.held[:found], self.held[found + len(mark) :]
+        out = bytes(self.held[:found])
+        del self.held[: found + len(mark)]
         return out
 
-    def take(self, size: int) -> bytes:
-        while len(self.held) < size and self._more():
-            pass
-        out, self.held = self.held[:size], self.held[size:]
-        return out
+    def take(self, size: int) -> Iterator[bytes]:
+        """The next bytes, in pieces."""
+        while size:
+            if not self.held and not self._more():
+                raise ValueError("archive ends inside a record")
+            piece = bytes(self.held[:size])
+            del self.held[: len(piece)]
+            size -= len(piece)
+            if piece:
+                yield piece
+
+    def skip_ends(self) -> None:
+        """Pass over the line ends behind a record."""
+        while True:
+            while self.held and self.held[0] in b"\r\n":
+                del self.held[:1]
+            if self.held or not self._more():
+                return
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    return dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    """Header fields by their names in lower case."""
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in lines}
+
+
+def key_of(url: str) -> str:
+    """``url_key`` of one address."""
+    bare = re.sub("^[A-Za-z]+://", "", re.sub("#.*$", "", url)).lower()
+    if not bare:
+        return ""
+    host = re.match(r"[^/:?]*", bare)[0]
+    rest = re.sub(r"^[^/?]*", "", bare)
+    return ",".join(reversed(host.split("."))) + ")" + (rest or "/")
 
 
 def parse_archive(packed: bytes) -> Iterator[dict]:
-    """The records of an archive; a response's digest and size are those of the payload read."""
-    data = _Bytes(packed)
-    number = lambda name: int(name[len("<urn:x-page:") : -1] or common.NULL_ID)
+    """The responses, resources and revisits of an archive, its own or another's. Digest and size are
+    those of the payload that was read, which has to match a SHA-256 digest the record gives; a revisit
+    has what its record says. Ids are those of pages written here, else null."""
+    data = _Unpacked(packed)
+
+    def number(name: str) -> int | None:
+        found = re.fullmatch("<urn:x-page:(-?[0-9]*)>", name)
+        return found and int(found[1] or common.NULL_ID)
+
     while (head := data.until(END.encode())) is not None:
-        fields = _fields(head)
-        http, _, payload = data.take(int(fields["Content-Length"])).partition(END.encode())
-        data.take(len(END))
-        stored = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+        fields = _fields(head.lstrip(b"\r\n"))
+        kind, size = fields.get("warc-type"), int(fields["content-length"])
+        http, digest, length = b"", hashlib.sha256(), 0
+        # The payload starts behind the HTTP header, if there is one.
+        in_head = fields.get("content-type", "").startswith("application/http")
+        for piece in data.take(size):
+            if in_head:
+                http += piece
+                cut = http.find(END.encode())
+                if cut < 0:
+                    continue
+                http, piece, in_head = http[:cut], http[cut + len(END) :], False
+            digest.update(piece)
+            length += len(piece)
+        data.skip_ends()
+        if kind not in ("response", "resource", "revisit"):
+            continue
+        said = fields.get("warc-payload-digest", "")
         record = {
-            "page_id": number(fields["WARC-Record-ID"]),
-            "payload_bytes": len(payload),
-            "payload_digest": stored,
-            "record_type": fields["WARC-Type"],
+            "page_id": number(fields.get("warc-record-id", "")),
+            "payload_bytes": length,
+            "payload_digest": digest.hexdigest(),
+            "record_type": kind,
             "refers_to": None,
-            "url_key": fields["X-URL-Key"],
-            "captured": fields["WARC-Date"],
+            "url_key": fields.get("x-url-key", key_of(fields.get("warc-target-uri", "").strip("<>"))),
+            "captured": fields.get("warc-date", ""),
         }
-        if fields["WARC-Type"] == "revisit":
-            record["payload_bytes"] = int(_fields(http)["Content-Length"])
-            record["refers_to"] = number(fields["WARC-Refers-To"])
-        elif hashlib.sha256(payload).hexdigest() != stored:
-            raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
+        if kind == "revisit":
+            stored = _fields(http).get("content-length", "")
+            record["payload_bytes"] = int(stored) if stored.isdigit() else None
+            record["payload_digest"] = said.removeprefix("sha256:")
+            record["refers_to"] = number(fields.get("warc-refers-to", ""))
+        elif re.fullmatch("sha256:[0-9a-f]{64}", said) and said != f"sha256:{record['payload_digest']}":
+            raise ValueError(f"payload of {fields.get('warc-record-id')} does not match its digest")
         yield record
 
 
@@ -245,7 +329,9 @@ class LoserTree:
 def _ranged(cuts: list[tuple]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("url_key", "captured", "page_id")))
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("url_key", "captured", "page_id")]
+            columns[2] = [common.NULL_ID if k is None else k for k in columns[2]]
+            keys = zip(*columns)
             ranges = pa.array([bisect_right(cuts, key) for key in keys], pa.int32())
             yield pa.RecordBatch.from_arrays([ranges, *batch.columns], ["range_no", *batch.schema.names])
 
@@ -260,6 +346,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(held)
     runs: dict[int, dict[str, list[tuple]]] = {}
     columns = [table.column(c).to_pylist() for c in ("range_no", "archive", "url_key", "captured", "page_id")]
+    columns[4] = [common.NULL_ID if k is None else k for k in columns[4]]
     for row, (range_no, archive, *key) in enumerate(zip(*columns)):
         runs.setdefault(range_no, {}).setdefault(archive, []).append((*key, row))
     for range_no in sorted(runs):
@@ -270,16 +357,21 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from merged.to_batches()
 
 
+def _order_id(name: str) -> Column:
+    """Records without an id come before all others of their address and time."""
+    return F.coalesce(F.col(name), F.lit(common.NULL_ID)).alias(name)
+
+
 def merge_index(captures: DataFrame) -> DataFrame:
     """The captures in global order of (URL key, time, page): by ``range_no``, then ``range_place``.
 
     ``captures`` is read three times and should be a table. The ranges are cut at quantiles of a
     sample of whole index keys, so a URL or host with many captures spreads over many ranges.
     """
-    keys = captures.select("url_key", "captured", "page_id")
     rows = captures.count()
-    sample = sorted(tuple(r) for r in keys.sample(min(1.0, SAMPLE / max(1, rows)), seed=7).collect())
     ranges = max(common.partitions(captures.sparkSession), rows // RANGE_ROWS)
+    keys = captures.select("url_key", "captured", _order_id("page_id"))
+    sample = sorted(tuple(r) for r in keys.sample(min(1.0, RANGE_SAMPLE * ranges / max(1, rows)), seed=7).collect())
     cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
     fields = ", ".join(f"{c} {t}" for c, t in captures.dtypes)
     return (
@@ -291,16 +383,18 @@ def merge_index(captures: DataFrame) -> DataFrame:
 
 def global_places(merged: DataFrame) -> DataFrame:
     """Add ``index_place``, a capture's place (from 0) in the whole index, in place of its place in
-    a range. Stages the index; a row per range comes to the driver."""
+    a range. Stages the index; the ranges before each one are summed in one row per range."""
     held = common.staged(merged, "capture-index")
-    before, shift = [], 0
-    for range_no, rows in sorted(tuple(r) for r in held.groupBy("range_no").count().collect()):
-        before += [(range_no, shift)]
-        shift += rows
-    shifts = held.sparkSession.createDataFrame(before, "s_range int, shift long")
-    return held.join(F.broadcast(shifts), F.col("range_no") == F.col("s_range")).withColumn(
-        "index_place", F.col("range_place") + F.col("shift")
-    ).drop("range_no", "s_range", "range_place", "shift")
+    sizes = held.groupBy("range_no").count()
+    before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(
+        F.col("range_no").alias("s_range"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift")
+    )
+    # As a table, this side is broadcast if it is small.
+    shifts = common.staged(shifts, "capture-shifts")
+    placed = held.join(shifts, F.col("range_no") == F.col("s_range"))
+    index_place = F.col("range_place") + F.col("shift")
+    return placed.withColumn("index_place", index_place).drop("range_no", "s_range", "range_place", "shift")
 
 
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
