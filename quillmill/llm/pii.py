@@ -2,10 +2,12 @@
 
 Base patterns find e-mails, addresses, cards and phones. They and a shape for long mixed tokens are
 the seeds. Every identifier-like value of a text is an instance and its surroundings induce lexical
-patterns: the lexemes before it, and a leading word of its own. A pattern is trusted for a kind as
-far as the distinct instances it holds are of that kind; an instance is as trusted as the patterns
-it stands in make it. Both are scored in turn on the graph of patterns and instances, with seeds
-held fixed, and values in trusted patterns that no base pattern matches are added as spans.
+patterns: the lexemes before it, those behind it, and a leading word of its own. A pattern is trusted
+for a kind as far as the distinct instances it holds are of that kind, and accepted from a threshold
+on; an instance is as trusted as the accepted patterns it stands in make it. Both are scored in turn
+on the graph of patterns and instances, with seeds held fixed, until the accepted patterns and their
+trust stand still. Trust never falls, so that happens however many steps from a seed a pattern is.
+Values in accepted patterns that no base pattern matches are added as spans.
 
 Null and empty texts have no spans. Every row is scanned on its own, so repeated rows get equal
 spans; they count once in the graph, which is made of distinct instances. Other columns are not
@@ -26,9 +28,12 @@ from quillmill.llm import common
 
 #: In the order in which spans with one start are listed; the last is found by the method only.
 KINDS = ("email", "ip", "card", "phone", "secret")
-ROUNDS = 3
 #: Shorter values are no identifiers.
 LEAST_CHARS = 6
+#: Characters before and behind a value that its patterns are taken from.
+CONTEXT = 64
+#: Rounds go on while more patterns are accepted, or some trust rises by more than this.
+STILL = 0.001
 #: Distinct seed instances that a pattern must hold, and the least trust to accept it.
 SUPPORT = 3
 TRUST = 0.8
@@ -45,7 +50,6 @@ _VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+/-]*[A-Za-z0-9]")
 _LEXEME = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _DIGIT = re.compile("[0-9]")
 _HEAD = re.compile("[A-Z]{4}")
-_BEFORE = 64
 
 
 def _luhn(digits: str) -> bool:
@@ -94,10 +98,12 @@ def _mixed(value: str) -> bool:
     return len(value) >= 16 and digits >= 2 and len(value) - digits >= 2
 
 
-def _patterns(text: str, start: int, value: str) -> list[str]:
-    """Two and three lexemes before the value, and the capitals it begins with."""
-    before = _LEXEME.findall(text[max(0, start - _BEFORE) : start].lower())
+def _patterns(text: str, start: int, end: int, value: str) -> list[str]:
+    """Two and three lexemes before the value, two and three behind it, and the capitals it begins with."""
+    before = _LEXEME.findall(text[max(0, start - CONTEXT) : start].lower())
+    after = _LEXEME.findall(text[end : end + CONTEXT].lower())
     found = ["before " + " ".join(before[-n:]) for n in (2, 3) if len(before) >= n]
+    found += ["after " + " ".join(after[:n]) for n in (2, 3) if len(after) >= n]
     if _HEAD.match(value):
         found.append("head " + value[:4])
     return found
@@ -127,7 +133,7 @@ def scan(text: str) -> dict:
                 "end": end,
                 "value": xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) - 2**63,
                 "is_base": is_base,
-                "patterns": _patterns(text, start, value),
+                "patterns": _patterns(text, start, end, value),
             }
             for kind, start, end, value, is_base in instances
         ],
@@ -144,23 +150,32 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
     """``pattern, kind, trust`` of the accepted patterns, from distinct ``pattern, value, seed``.
 
     Trust of a pattern is the mean trust of its instances; an instance that no seed explains has
-    1 less the product of its patterns' doubts. Rounds run over the same staged edges; a hot pattern
-    or instance is summed before the shuffle, and AQE can split the joins, whose other side has one
-    row per key.
+    1 less the product of its accepted patterns' doubts. Rounds run over the same staged edges; a hot
+    pattern or instance is summed before the shuffle, and AQE can split the joins, whose other side is
+    a table with one row per key. Two numbers per round come to the driver.
     """
-    kinds = F.explode(F.array(*[F.lit(k) for k in range(len(KINDS))])).alias("kind")
-    seeds = edges.groupBy("value").agg(F.max("seed").alias("seed"))
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     held = edges.where("seed >= 0").select("pattern", "value", F.col("seed").alias("kind"), F.lit(1.0).alias("trust"))
-    scored = None
-    for _ in range(ROUNDS):
+    sizes = common.staged(sizes, "pii-sizes")
+    accepted = (F.col("mass") >= SUPPORT) & (F.col("trust") >= TRUST)
+    before, known = None, -1
+    while True:
         sums = held.groupBy("pattern", "kind").agg(F.sum("trust").alias("mass"))
-        scored = common.staged(
-            sums.join(sizes, "pattern").select("pattern", "kind", "mass", (F.col("mass") / F.col("n")).alias("trust")),
-            "pii-patterns",
-        )
+        scored = sums.join(sizes, "pattern").select("pattern", "kind", "mass", (F.col("mass") / F.col("n")).alias("trust"))
+        if before is not None:
+            last = before.select(F.col("pattern").alias("l_pattern"), F.col("kind").alias("l_kind"), F.col("trust").alias("last"))
+            same = (F.col("pattern") == F.col("l_pattern")) & (F.col("kind") == F.col("l_kind"))
+            scored = scored.join(last, same, "left").drop("l_pattern", "l_kind")
+        else:
+            scored = scored.withColumn("last", F.lit(None).cast("double"))
+        scored = common.staged(scored, "pii-patterns")
+        rise = F.max(F.col("trust") - F.coalesce("last", F.lit(0.0)))
+        now, risen = scored.agg(F.count_if(accepted), F.coalesce(rise, F.lit(0.0))).first()
+        if now == known and risen <= STILL:
+            return scored.where(accepted).select("pattern", "kind", "trust")
+        before, known = scored, now
         spread = edges.where("seed < 0").select("pattern", "value").join(
-            scored.where(F.col("mass") >= SUPPORT).select("pattern", "kind", "trust"), "pattern"
+            scored.where(accepted).select("pattern", "kind", "trust"), "pattern"
         )
         doubts = spread.groupBy("value", "kind").agg(
             F.sum(F.log(F.greatest(1.0 - F.col("trust"), F.lit(1e-9)))).alias("doubt")
@@ -172,7 +187,6 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
         held = edges.where("seed >= 0").select(
             "pattern", "value", F.col("seed").alias("kind"), F.lit(1.0).alias("trust")
         ).unionByName(again.select("pattern", "value", "kind", "trust"))
-    return scored.where((F.col("mass") >= SUPPORT) & (F.col("trust") >= TRUST)).select("pattern", "kind", "trust")
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
