@@ -9,8 +9,7 @@ query. Inside a shard another such tree finds the exact pairs, and only a spanni
 leaves the shard. Components come from the forests of all shards.
 
 The top of the tree is fitted on a bounded sample of the fingerprints; all fingerprints are placed
-and searched, so the sample affects balance only, not results. A shard that comes out much larger than
-the others, as a dense group does, is dealt to several tasks, one for every two of its blocks.
+and searched, so the sample affects balance only, not results.
 
 Null texts are empty; a text without words has fingerprint zero and links like any other. Rows
 with the same id are one document. A null id names no document: its rows link by their fingerprints
@@ -93,7 +92,9 @@ class Tree:
             self.leaves += 1
             return (self.leaves - 1,)
         near = _distance(points, found[0]) <= found[1]
-        return (*found, self._grow(points[near], leaves // 2), self._grow(points[~near], leaves - leaves // 2))
+        # Ties make the sides of a dense group uneven; each gets leaves for what it holds.
+        share = min(leaves - 1, max(1, round(leaves * near.mean())))
+        return (*found, self._grow(points[near], share), self._grow(points[~near], leaves - share))
 
     def place(self, points: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """Per leaf, the points that belong to it and those that belong to an earlier leaf but may
@@ -175,29 +176,15 @@ def _searched(table: pa.Table) -> pa.Table:
 def near_links(distinct: DataFrame) -> DataFrame:
     """Edges ``a, b`` that connect the distinct fingerprints ``f`` within the radius.
 
-    Runs two small jobs, a count and the sample that the top of the tree is fitted on, and stages the
-    placed fingerprints, whose shards are then measured.
+    Runs two small jobs: a count, and the sample that the top of the tree is fitted on.
     """
     rows = distinct.count()
     leaves = max(1, min(rows // SHARD_ROWS, MOST_LEAVES))
     wanted = max(LEAST_SAMPLE, LEAF_SAMPLE * leaves)
     sample = distinct.select("f").sample(min(1.0, wanted / max(1, rows)), seed=7).toPandas()["f"].to_numpy()
     tree = Tree(sample.astype(np.int64).view(np.uint64), max(1, min(leaves, len(sample) // LEAF_SAMPLE)))
-    placed = common.staged(
-        distinct.select("f").mapInArrow(_placed(tree), "shard int, f long, own boolean"), "simhash-shards"
-    )
-    sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.when(F.col("n") > 2 * SHARD_ROWS, F.ceil(F.col("n") / SHARD_ROWS)).otherwise(1).cast("int")
-    # As a table, this side brings no partitioning that would tie a large shard to one task.
-    sizes = common.staged(sizes.select(F.col("shard").alias("s_shard"), blocks.alias("blocks")), "simhash-sizes")
-    block, other = F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"), F.col("other")
-    dealt = (
-        placed.join(sizes, F.col("shard") == F.col("s_shard"))
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("shard", F.least("block", other).alias("lo"), F.greatest("block", other).alias("hi"), "f", "own")
-    )
-    return dealt.groupBy("shard", "lo", "hi").applyInArrow(_searched, "a long, b long")
+    placed = distinct.select("f").mapInArrow(_placed(tree), "shard int, f long, own boolean")
+    return placed.groupBy("shard").applyInArrow(_searched, "a long, b long")
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
