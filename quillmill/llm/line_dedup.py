@@ -165,13 +165,15 @@ def dropped_keys(
     confirmed = (
         found.distinct()
         .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("documents"), F.max(F.struct("k", "t")).alias("keeper"))
+        .agg(F.count(F.lit(1)).alias("documents"), F.max("k").alias("keeper_k"), F.max("t").alias("keeper_t"))
         .where(F.col("documents") >= min_documents)
-        .select(F.col("key").alias("c_key"), F.col("keeper.k").alias("keeper_k"), F.col("keeper.t").alias("keeper_t"))
+        .select(F.col("key").alias("c_key"), "keeper_k", "keeper_t")
     )
     # As a table, this side brings no partitioning that would tie a hot key to one task.
     confirmed = common.staged(confirmed, "line-confirmed")
-    loses = (F.col("k") != F.col("keeper_k")) | (F.col("t") != F.col("keeper_t"))
+    # Among documents without an id the highest hash keeps the line, if no id does.
+    unnamed = (F.col("keeper_k") == common.NULL_ID) & (F.col("t") != F.col("keeper_t"))
+    loses = (F.col("k") != F.col("keeper_k")) | unnamed
     return (
         found.join(confirmed, (F.col("key") == F.col("c_key")) & loses)
         .groupBy("k", "t")

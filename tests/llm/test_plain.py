@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillmill.llm import fingerprints, pii, quality
+from quillmill.llm import fingerprints, line_dedup, mixing, pii, quality
 from quillmill.llm.queries import QUERIES
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
@@ -229,3 +229,33 @@ def test_scores_do_not_see_ids_or_labels(spark):
     flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     again = quality.train(docs, flipped)
     assert np.array_equal(model.weights, again.weights) and model.shift == again.shift
+
+
+# Lines of documents without an id.
+
+
+def test_line_dedup_without_ids(spark):
+    """Rows without an id are documents told apart by their texts, and lower than any id."""
+    line, other = "This line is shared by many of the documents.", "Another line that only unnamed ones share."
+    rows = [(None, f"{line}\n{other}\nown {i}") for i in range(6)] + [(None, f"{line}\n{other}\nown 0")] * 3
+    rows += [(i, f"{line}\nown {i}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.lit("clash"))
+    out = [(r.doc_id, r.text.split("\n")) for r in line_dedup.dedupe_lines(docs).collect()]
+    assert len(out) == 13 and [i for i, lines in out if line in lines] == [3]
+    keepers = {lines[-1] for i, lines in out if other in lines}
+    assert len(keepers) == 1 and all(i is None for i, lines in out if other in lines)
+    # Four documents are too few.
+    few = spark.createDataFrame([(None, f"{line}\nown 0")] * 9 + [(i, line) for i in range(3)], "doc_id long, text string")
+    assert all(line in r.text for r in line_dedup.dedupe_lines(few).collect())
+
+
+def test_mixing_without_ids(spark):
+    """Rows without an id take part like others, and reruns agree."""
+    rows = [(None, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(400)] + [(i, "w w w", "a") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    first = mixing.plan_mix(docs).collect()
+    for source in {(r.source_size, r.target) for r in first}:
+        own = [r for r in first if (r.source_size, r.target) == source]
+        assert abs(sum(r.taken for r in own) - source[1]) <= 1 and len({r.before for r in own}) > 20
+    key = lambda r: (r.row, r.taken, r.before)
+    assert sorted(map(key, first)) == sorted(map(key, mixing.plan_mix(docs).collect()))
