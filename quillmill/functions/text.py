@@ -34,13 +34,18 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(value, WHITE_SPACE, " "))
 
 
-def chunk_text(text: Column, min_chars: int = 180, max_chars: int = 1300) -> Column:
+def chunk_text(text: Column, min_chars: int = 180, max_chars: int = 1300, lossless: bool = False) -> Column:
     """Pack sentences greedily into chunks of at most ``max_chars`` characters.
 
     On overflow the current chunk is kept if it has ``min_chars`` and dropped otherwise; the
     next one starts with at most ``max_chars`` characters of the sentence. A text of 40 or
     more characters that yields no chunk gives its first ``max_chars`` characters.
+
+    ``lossless`` keeps every chunk, however short, and cuts longer sentences into parts of
+    ``max_chars``, so that no character but white space is lost.
     """
+    if lossless:
+        min_chars = 1
     # The length of the open chunk travels along, so no step measures a growing text again.
     state = "struct<done:array<string>,open:string,size:int>"
 
@@ -65,6 +70,10 @@ def chunk_text(text: Column, min_chars: int = 180, max_chars: int = 1300) -> Col
 
     def packed(clean: Column) -> Column:
         sentences = F.filter(F.split(clean, r"(?<=[.!?])\s+", -1), lambda s: s != "")
+        if lossless:
+            starts = lambda s: F.sequence(F.lit(1), F.length(s), F.lit(max_chars))
+            parts = lambda s: F.transform(starts(s), lambda i: F.trim(F.substring(s, i, F.lit(max_chars))))
+            sentences = F.filter(F.flatten(F.transform(sentences, parts)), lambda s: s != "")
         sized = F.transform(
             sentences, lambda s: F.struct(s.alias("text"), F.length(s).alias("size"))
         )

@@ -17,8 +17,8 @@ USER_ROLES = ("user", "human")
 ASSISTANT_ROLES = ("assistant", "gpt", "bot")
 
 # Question templates and the limits of a usable pair.
-GOAL_QUESTION = ("For the goal '", "', what should the assistant know about ")
-PLAIN_QUESTION = "What does the source document say about "
+GOAL_QUESTION = "For the goal '{goal}', what should the assistant know about {topic}?"
+PLAIN_QUESTION = "What does the source document say about {topic}?"
 MIN_INSTRUCTION, MIN_OUTPUT, MAX_PAIR = 5, 10, 8000
 MIN_EVAL_ROWS = 50
 
@@ -173,6 +173,7 @@ def synthesize_qa(
     min_chars: int = 180,
     max_chars: int = 1300,
     keep: Sequence[str] = (),
+    lossless: bool = False,
 ) -> DataFrame:
     """One question per text chunk, asking about the chunk's keywords.
 
@@ -183,12 +184,13 @@ def synthesize_qa(
     named = {c.lower(): c for c in df.columns}.get("source")
     row_name = F.concat(F.lit("row_"), F.col(id_col).cast("string"))
     source = clean_text(F.col(f"`{named}`")) if named else row_name
-    opening, closing = (PLAIN_QUESTION, "?") if not goal else (goal.join(GOAL_QUESTION), "?")
+    mark = "\x00"
+    opening, closing = (GOAL_QUESTION if goal else PLAIN_QUESTION).format(goal=goal, topic=mark).split(mark)
     chunks = df.select(
         F.col(id_col),
         *keep,
         source.alias("origin"),
-        F.posexplode(chunk_text(F.col(f"`{text}`"), min_chars, max_chars)).alias("chunk", "output"),
+        F.posexplode(chunk_text(F.col(f"`{text}`"), min_chars, max_chars, lossless)).alias("chunk", "output"),
     )
     return chunks.select(
         id_col,
@@ -201,7 +203,7 @@ def synthesize_qa(
 
 
 def to_instruction_output(
-    df: DataFrame, id_col: str, goal: str = ""
+    df: DataFrame, id_col: str, goal: str = "", lossless: bool = False
 ) -> tuple[DataFrame, dict[str, str], bool]:
     """Pairs by the first way that fits: chat records, two columns, or generated questions.
 
@@ -236,15 +238,39 @@ def to_instruction_output(
             id_col, F.lit(0).alias("chunk"), "instruction", "output", origin.alias("source")
         )
         return out, {"prompt": found[0], "response": found[1]}, False
-    made = synthesize_qa(df, id_col, goal)
+    made = synthesize_qa(df, id_col, goal, lossless=lossless)
     return made, {"prompt": "synthetic_question", "response": "synthetic_answer"}, True
 
 
+def text_loss(
+    df: DataFrame, text: str = "text", min_chars: int = 180, max_chars: int = 1300, lossless: bool = False
+) -> DataFrame:
+    """One row: ``documents``, their ``chars`` without white space, the ``lost_chars`` that no chunk holds,
+    and ``documents_lost``, those that have characters but no chunk."""
+    bare = lambda t: F.length(F.regexp_replace(t, " ", "")).cast("long")
+    chunks = chunk_text(F.col(f"`{text}`"), min_chars, max_chars, lossless)
+    measured = df.select(
+        bare(clean_text(F.col(f"`{text}`"))).alias("chars"),
+        F.inline(F.array(F.struct(chunks.alias("chunks")))),
+    ).select("chars", F.size("chunks").alias("n"), bare(F.array_join("chunks", "")).alias("kept"))
+    return measured.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"),
+        F.coalesce(F.sum(F.col("chars") - F.col("kept")), F.lit(0)).alias("lost_chars"),
+        F.count_if((F.col("chars") > 0) & (F.col("n") == 0)).alias("documents_lost"),
+    )
+
+
 # ---- filter, dedupe, sample, split --------------------------------------------------------
 
 
-def filter_pairs(df: DataFrame) -> DataFrame:
-    """Clean both texts; drop pairs that are too short or too long together.
+def filter_pairs(
+    df: DataFrame,
+    min_instruction: int | None = MIN_INSTRUCTION,
+    min_output: int | None = MIN_OUTPUT,
+    max_pair: int | None = MAX_PAIR,
+) -> DataFrame:
+    """Clean both texts; drop pairs that are too short or too long together. A limit of None is off.
 
     The test runs on a one-item array that is then unnested, so the texts are computed once. A
     plain ``where`` would be pushed below the projection and repeat every expression in it.
@@ -255,9 +281,9 @@ def filter_pairs(df: DataFrame) -> DataFrame:
     )
     usable = F.filter(
         F.array(pair),
-        lambda p: (F.length(p["instruction"]) >= MIN_INSTRUCTION)
-        & (F.length(p["output"]) >= MIN_OUTPUT)
-        & (F.length(p["instruction"]) + F.length(p["output"]) <= MAX_PAIR),
+        lambda p: (F.length(p["instruction"]) >= F.lit(min_instruction or 0))
+        & (F.length(p["output"]) >= F.lit(min_output or 0))
+        & (F.lit(max_pair is None) | (F.length(p["instruction"]) + F.length(p["output"]) <= F.lit(max_pair or 0))),
     )
     others = [c for c in df.columns if c not in ("instruction", "output")]
     return df.select(*others, F.inline(usable)).select(*df.columns)

@@ -15,11 +15,11 @@ IMAGE_NAMES = ["image", "image_path", "path", "file", "filename"]
 CLASS_NAMES = ["label", "class", "category", "target"]
 TEXT_SUFFIXES = ["txt", "md", "rst"]
 IMAGE_SUFFIXES = ["jpg", "jpeg", "png", "bmp", "gif", "webp"]
-IMAGE_GOAL = "image|photo|picture|classify|classification|defect"
+IMAGE_GOAL = ["image", "photo", "picture", "classify", "classification", "defect"]
 SUBTYPE_WORDS = [
-    ("translation", "translat|tradui|traduire"),
-    ("summarization", "summar|résumé|abstract|condensed"),
-    ("classification", "classif|sentiment|categor|label|intent"),
+    ("translation", ["translat", "tradui", "traduire"]),
+    ("summarization", ["summar", "résumé", "abstract", "condensed"]),
+    ("classification", ["classif", "sentiment", "categor", "label", "intent"]),
 ]
 
 
@@ -56,7 +56,7 @@ def detect_task(
         F.count_if(kind.isin(IMAGE_SUFFIXES)).alias("images"),
         F.count_if(kind.isin(TEXT_SUFFIXES)).alias("texts"),
     )
-    asks_for_images = F.lower(F.coalesce("_goal", F.lit(""))).rlike(IMAGE_GOAL)
+    asks_for_images = F.lower(F.coalesce("_goal", F.lit(""))).rlike("|".join(IMAGE_GOAL))
     task = (
         F.when(F.coalesce("_task", F.lit("")).isin("", "auto") == False, F.col("_task"))  # noqa: E712
         .when(asks_for_images & F.col("_container").isin("dir", "zip", "csv"), "image_classification")
@@ -74,7 +74,7 @@ def tag_task_subtype(goal: Column) -> Column:
     """The kind of text task a goal names; the first rule that matches wins."""
     low = F.lower(F.coalesce(goal, F.lit("")))
     (first, words), *others = SUBTYPE_WORDS
-    tagged = F.when(low.rlike(words), first)
-    for name, pattern in others:
-        tagged = tagged.when(low.rlike(pattern), name)
+    tagged = F.when(low.rlike("|".join(words)), first)
+    for name, words in others:
+        tagged = tagged.when(low.rlike("|".join(words)), name)
     return tagged.otherwise("generative_qa")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.operators.ranking import two_level_rank
+from quillmill.operators.matching import as_of, level_answers
+from quillmill.operators.ranking import BROADCAST_ROWS, two_level_rank
 from quillmill.session import materialize
 
 # Log patterns, thresholds, verdict order, metric names and display rules.
@@ -387,7 +388,7 @@ def _level_answers(items: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["on", "need", "largest", "smallest", "middle"])
 
 
-def best_fit_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+def best_fit_match(requests: DataFrame, catalog: DataFrame, small_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Choose a catalog item for every request; adds ``choice``.
 
     ``requests``: request_id, tier, capacity, objective (performance, memory or other), override.
@@ -397,16 +398,19 @@ def best_fit_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     go to the earlier position. An unknown size counts as 0, or as 999 among the smallest. An
     override wins.
 
-    The choice depends on the capacity only through the highest requirement level it reaches. The
-    catalog is a dimension table: one pass over it in order of need, n log n in one task, works out
-    the answers per level, and they reach the requests as one list, in which a request finds its
-    level by bisection. No pair of request and item is formed, and requests are not shuffled.
+    The choice depends on the capacity only through the highest requirement level it reaches, so the
+    answers are worked out per level and no pair of request and item is formed. A catalog of up to
+    ``small_rows`` items, counted first, is one bounded group, and its answers reach the requests as one
+    list, in which a request finds its level by bisection; requests are not shuffled. For larger ones
+    see :mod:`quillmill.operators.matching`.
     """
     offers = catalog.select("id", "need", "size", "position", F.lit("gpu").alias("on")).unionByName(
         catalog.where("cpu_ok").select("id", F.lit(0.0).alias("need"), "size", "position", F.lit("cpu").alias("on"))
     )
     fields = "on string, need double, largest string, smallest string, middle string"
     answers = offers.withColumns({"id": F.col("id").cast("string"), "need": F.col("need").cast("double")})
+    if catalog.count() > small_rows:
+        return _match_large(requests, answers, catalog)
     answers = answers.groupBy("on").applyInPandas(_level_answers, fields)
     level = F.struct("need", F.struct("largest", "smallest", "middle").alias("answer"))
     lists = answers.agg(
@@ -424,11 +428,31 @@ def best_fit_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         "_fit",
         F.when(F.col("tier") == "cpu", F.col("_all.cpu")).otherwise(F.get(F.col("_all.levels"), reached - 1)["answer"]),
     )
+    return fitted.withColumn("choice", _choice(first)).drop("_fit", "_all")
+
+
+def _choice(first: DataFrame) -> Column:
+    """The item of the answer ``_fit`` that the objective of a request asks for."""
     big = (F.col("objective") == "performance") & F.col("tier").isin("mid_gpu", "high_gpu")
     picked = (
         F.when(big, F.col("_fit.largest"))
         .when(F.col("objective") == "memory", F.col("_fit.smallest"))
         .otherwise(F.col("_fit.middle"))
     )
-    choice = F.coalesce(F.nullif(F.col("override"), F.lit("")), picked, first.scalar())
-    return fitted.withColumn("choice", choice).drop("_fit", "_all")
+    return F.coalesce(F.nullif(F.col("override"), F.lit("")), picked, first.scalar())
+
+
+def _match_large(requests: DataFrame, offers: DataFrame, catalog: DataFrame) -> DataFrame:
+    levels = materialize(level_answers(offers), "levels")
+    answer = F.struct("largest", "smallest", "middle").alias("_fit")
+    # Requests meet the answers by their capacity; those on CPUs, which have one level, by none.
+    asked = F.when(F.col("tier") != "cpu", F.col("capacity").cast("double"))
+    capacities = requests.select(asked.alias("need")).where("need IS NOT NULL")
+    reached = as_of(levels.where("on = 'gpu'").select("need", answer), capacities, "need", "_fit")
+    # As a table, this side is broadcast if it is small, and brings no partitioning otherwise.
+    reached = materialize(reached.withColumnRenamed("need", "_need"), "reached")
+    first = catalog.agg(F.min_by("id", "position").alias("id"))
+    cpu = levels.where("on = 'cpu'").agg(F.first(answer))
+    fitted = requests.withColumn("_asked", asked).join(reached, F.col("_asked") == F.col("_need"), "left")
+    fitted = fitted.withColumn("_fit", F.when(F.col("tier") == "cpu", cpu.scalar()).otherwise(F.col("_fit")))
+    return fitted.withColumn("choice", _choice(first)).select(*requests.columns, "choice")

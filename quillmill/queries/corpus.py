@@ -148,6 +148,41 @@ def _clean(spark, sf):
     return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
+LOSSLESS = rf"""
+docs AS (SELECT doc_id, {CLEAN.format('text')} AS t FROM documents),
+folded AS (
+  SELECT doc_id, t, list_reduce(
+    list_transform(list_filter(flatten(list_transform(
+        list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''),
+        lambda s: list_transform(range(0, length(s), 1300), lambda i: trim(s[i + 1:i + 1300])))), lambda s: s <> ''),
+                   lambda s: {{'done': []::VARCHAR[], 'cur': s}}),
+    lambda a, b: CASE WHEN length(a.cur) + length(b.cur) + 1 <= 1300
+      THEN {{'done': a.done, 'cur': trim(a.cur || ' ' || b.cur)}}
+      ELSE {{'done': CASE WHEN a.cur <> '' THEN list_append(a.done, a.cur) ELSE a.done END, 'cur': b.cur}} END,
+    {{'done': []::VARCHAR[], 'cur': ''}}) AS st
+  FROM docs WHERE t <> ''),
+listed AS (SELECT doc_id, t, list_append(st.done, st.cur) AS cs FROM folded),
+chunks AS (SELECT doc_id, CAST(unnest(range(len(cs))) AS INT) AS chunk, unnest(cs) AS output FROM listed)
+"""
+
+
+@query("chunk_text_lossless", f"WITH {LOSSLESS} SELECT doc_id, chunk, output FROM chunks")
+def _lossless(spark, sf):
+    docs = texts(spark, sf, "documents", "doc_id", "text")
+    return docs.select("doc_id", F.posexplode(chunk_text(F.col("text"), lossless=True)).alias("chunk", "output"))
+
+
+@query(
+    "text_loss",
+    f"""WITH {CHUNKS}, kept AS (SELECT doc_id, sum(length(replace(body, ' ', ''))) AS kept FROM chunks GROUP BY doc_id)
+SELECT count(*) AS documents, CAST(sum(length(replace(t, ' ', ''))) AS BIGINT) AS chars,
+  CAST(sum(length(replace(t, ' ', '')) - coalesce(kept, 0)) AS BIGINT) AS lost_chars,
+  count(*) FILTER (t <> '' AND kept IS NULL) AS documents_lost FROM docs LEFT JOIN kept USING (doc_id)""",
+)
+def _loss(spark, sf):
+    return C.text_loss(texts(spark, sf, "documents", "text"))
+
+
 @query("chunk_text", f"WITH {CHUNKS} SELECT doc_id, chunk, body AS output FROM chunks")
 def _chunk(spark, sf):
     docs = texts(spark, sf, "documents", "doc_id", "text")

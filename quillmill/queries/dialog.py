@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import clip_text, strip_preamble
+from quillmill.functions.text import PREAMBLE, clip_text, strip_preamble
 from quillmill.operators import classification as M
 from quillmill.operators import dialog as D
 from quillmill.operators import sequences as S
@@ -78,12 +78,8 @@ def _prompt(spark, sf):
 # Answers with and without an opener, by turn number.
 OPENED = """CASE turn % 4 WHEN 0 THEN 'Sure! ' || text WHEN 1 THEN 'Of course, here''s the answer to your question: ' || text
 WHEN 2 THEN 'Okay.' ELSE text END"""
-PREAMBLE = (
-    r"(?i)^\s*(?:(?:sure|okay|ok|certainly|of course|great question|good question|absolutely)[!,.\s]+)?"
-    r"(?:(?:here''?s?|the following is|this is)\s+(?:is\s+)?(?:the\s+)?(?:answer|response)"
-    r"(?:\s+to\s+(?:your|the)\s+question)?\s*[:\-]\s*)?"
-)
-CUT = r"regexp_replace(regexp_replace(answer, '{}', ''), '^\s+|\s+$', '', 'g')".format(PREAMBLE)
+OPENER = "(?i)" + PREAMBLE.replace("'", "''")
+CUT = r"regexp_replace(regexp_replace(answer, '{}', ''), '^\s+|\s+$', '', 'g')".format(OPENER)
 
 
 @query(

@@ -325,6 +325,38 @@ def _match(spark, sf):
     return R.best_fit_match(requests, catalog).select("request_id", "choice")
 
 
+@query(
+    "best_fit_match_large",
+    """WITH catalog AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_size + p_partkey / 1000000.0::DOUBLE AS need, p_retailprice AS size, p_partkey AS position, p_size <= 2 AS cpu_ok FROM part),
+requests AS (SELECT c_custkey AS request_id, CASE c_custkey % 4 WHEN 0 THEN 'cpu' WHEN 1 THEN 'low_gpu' WHEN 2 THEN 'mid_gpu' ELSE 'high_gpu' END AS tier,
+   c_acctbal / 200 AS capacity, CASE c_mktsegment WHEN 'MACHINERY' THEN 'performance' WHEN 'FURNITURE' THEN 'memory' ELSE 'balanced' END AS objective FROM customer),
+fits AS (SELECT request_id, tier, objective, id, size, position FROM requests JOIN catalog ON CASE WHEN tier = 'cpu' THEN cpu_ok ELSE need <= capacity END),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY size, position) AS up,
+   row_number() OVER (PARTITION BY request_id ORDER BY size DESC, position) AS down, count(*) OVER (PARTITION BY request_id) AS n FROM fits),
+picked AS (SELECT request_id, id FROM numbered WHERE CASE WHEN objective = 'performance' AND tier IN ('mid_gpu', 'high_gpu') THEN down = 1
+   WHEN objective = 'memory' THEN up = 1 ELSE up = n // 2 + 1 END)
+SELECT request_id, coalesce(id, (SELECT id FROM catalog ORDER BY position LIMIT 1)) AS choice FROM requests LEFT JOIN picked USING (request_id)""",
+)
+def _match_every_part(spark, sf):
+    """Every part is an item with a level of its own."""
+    key = F.col("p_partkey")
+    need = F.col("p_size") + key / F.lit(1e6)
+    catalog = table(spark, sf, "part").select(
+        key.cast("string").alias("id"), need.alias("need"), F.col("p_retailprice").alias("size"), key.alias("position"),
+        (F.col("p_size") <= 2).alias("cpu_ok"),
+    )
+    customer, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    tiers = F.array(*[F.lit(t) for t in ("cpu", "low_gpu", "mid_gpu", "high_gpu")])
+    requests = table(spark, sf, "customer").select(
+        customer.alias("request_id"),
+        F.get(tiers, (customer % 4).cast("int")).alias("tier"),
+        (F.col("c_acctbal") / 200).alias("capacity"),
+        F.when(segment == "MACHINERY", "performance").when(segment == "FURNITURE", "memory").otherwise("balanced").alias("objective"),
+        F.lit(None).cast("string").alias("override"),
+    )
+    return R.best_fit_match(requests, catalog, small_rows=0).select("request_id", "choice")
+
+
 GOALS = """CASE doc_id % 6 WHEN 0 THEN 'Translate ' WHEN 1 THEN 'Résumé of ' WHEN 2 THEN 'Sentiment in ' WHEN 3 THEN 'Label the abstract ' ELSE 'Answer about ' END || source || ' ' || lang"""
 
 

@@ -31,19 +31,25 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
+#: The folder of a local session that names none.
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir`` or set on the context.
 
     Where there is none, a temporary folder serves a local master; on a cluster executors could
     not see it, so there that is an error.
     """
+    global _own_dir
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="quillmill-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if _own_dir is None:
+            _own_dir = tempfile.mkdtemp(prefix="quillmill-")
+        named = _own_dir
     return named.rstrip("/")
 
 

@@ -10,6 +10,7 @@ from quillmill.operators import classification as M
 from quillmill.operators import dialog as D
 from quillmill.plans.evaluate import evaluate_classification, evaluate_generation
 from quillmill.plans.images import prepare_image_dataset
+from quillmill.plans.prepare import prepare_text_dataset
 
 
 def metrics(found):
@@ -115,3 +116,16 @@ def test_heads_learn(spark):
     assert guessed.where("predicted <> label").isEmpty()
     nearest = D.score_table(df, D.centroid_head(df, key="id"), "id long, predicted int, distance double")
     assert nearest.join(df, "id").where("predicted <> label").isEmpty() and nearest.count() == 60
+
+
+def test_accounts_of_what_is_lost(spark):
+    texts = [("long", "Word number one. " * 200 + "x" * 2_000), ("short", "too short"), ("copy", "Word number one. " * 200 + "x" * 2_000)]
+    raw = spark.createDataFrame(texts, "id string, text string")
+    plain = prepare_text_dataset(raw, "id", account=True).report.first()
+    kept = prepare_text_dataset(raw, "id", account=True, lossless=True, limits=(None, None, None)).report.first()
+    assert plain.lost_chars > 1_000 and plain.dropped_pairs == 0
+    assert (kept.lost_chars, kept.dropped_pairs) == (0, 0)
+    pairs = spark.createDataFrame([(1, "q" * 9, "a" * 9), (2, "q" * 9, "a" * 20), (3, "q" * 9, "a" * 20)], "id int, question string, answer string")
+    report = prepare_text_dataset(pairs, "id", account=True).report.first()
+    assert (report.dropped_pairs, report.duplicates) == (1, 1) and "lost_chars" not in report.asDict()
+    assert prepare_text_dataset(pairs, "id", limits=(None, None, 25)).all_rows.count() == 1

@@ -127,6 +127,31 @@ def test_matching(spark, seed):
     assert got == {n: choose(items, *rest) for n, *rest in asks}
 
 
+@pytest.mark.parametrize("least_rows", [1, 7, 1000])
+def test_matching_of_catalogs_in_slices(spark, monkeypatch, least_rows):
+    """Slices and buckets of any size choose as the plain rules do."""
+    monkeypatch.setattr("quillmill.operators.matching.LEAST_ROWS", least_rows)
+    rng = random.Random(least_rows)
+    names = ["id", "need", "size", "position", "cpu_ok"]
+    items = [
+        (f"m{i}", rng.choice([1.0, 2.5, 4.0, rng.random() * 9]), rng.choice([None, 1.0, 2.0, rng.random() * 5]), i, rng.random() < 0.3)
+        for i in range(60)
+    ]
+    catalog = spark.createDataFrame(items, "id string, need double, size double, position int, cpu_ok boolean")
+    asks = [
+        (n, rng.choice(["cpu", "low_gpu", "mid_gpu", "high_gpu"]), rng.choice([0.1, 2.5, rng.random() * 10, 4.0]), rng.choice(["performance", "memory", "x"]), rng.choice([None, None, "", "own"]))
+        for n in range(150)
+    ]
+    requests = spark.createDataFrame(asks, "request_id int, tier string, capacity double, objective string, override string")
+    got = {r.request_id: r.choice for r in R.best_fit_match(requests, catalog, small_rows=0).collect()}
+    small = {r.request_id: r.choice for r in R.best_fit_match(requests, catalog).collect()}
+    # An unknown size counts as 0, or as 999 among the smallest.
+    known = lambda objective: [
+        dict(zip(names, i)) | {"size": (999.0 if objective == "memory" else 0.0) if i[2] is None else i[2]} for i in items
+    ]
+    assert got == small == {n: choose(known(rest[2]), *rest) for n, *rest in asks}
+
+
 def test_matching_takes_a_large_catalog(spark):
     big = spark.range(5000).selectExpr("cast(id as string) id", "id * 1.0D need", "if(id = 7, null, id * 1.0D) size", "id position", "id < 9 cpu_ok")
     asks = [(1, "high_gpu", 4000.5, "performance", None), (2, "high_gpu", 4000.5, "memory", None), (3, "low_gpu", 10.0, "other", None), (4, "cpu", 0.0, "memory", None)]

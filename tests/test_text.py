@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import arrays, text
+from quillmill.functions.text import chunk_text
+from quillmill.operators import corpus as C
 
 
 def one(spark, rows, expr, name="t"):
@@ -102,3 +104,21 @@ def test_template(spark):
     df = spark.createDataFrame([("i", "o")], "a string, b string")
     got = df.select(text.render_template("<{b}|{a}|{b}>", a=F.col("a"), b=F.col("b"))).first()[0]
     assert got == "<o|i|o>"
+
+
+def test_lossless_chunks(spark):
+    rng = random.Random(6)
+    texts = ["", " ", "short.", "x" * 3000, "a b " * 900, ("Word. " * 40 + "y" * 1400 + " end. ") * 3]
+    texts += ["".join(rng.choice(["ab", " ", ". ", "é! ", "longer" * 9]) for _ in range(rng.randrange(300))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    bare = lambda t: "".join(t.split())
+    for limit in (20, 1300):
+        rows = df.select("id", chunk_text(F.col("text"), max_chars=limit, lossless=True).alias("c")).collect()
+        for r in rows:
+            assert bare("".join(r.c or [])) == bare(texts[r.id]) and all(0 < len(c) <= limit for c in r.c or [])
+    lost = C.text_loss(df).first()
+    kept = {r.id: r.c or [] for r in df.select("id", chunk_text(F.col("text")).alias("c")).collect()}
+    assert lost.chars == sum(len(bare(t)) for t in texts) and lost.documents == len(texts)
+    assert lost.lost_chars == sum(len(bare(t)) - len(bare("".join(kept[i]))) for i, t in enumerate(texts)) > 0
+    assert lost.documents_lost == sum(bool(bare(t)) and not kept[i] for i, t in enumerate(texts)) > 0
+    assert C.text_loss(df, lossless=True).first().lost_chars == 0
