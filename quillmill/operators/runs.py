@@ -62,10 +62,14 @@ def log_signals(msg: Column) -> list[Column]:
     ]
 
 
-def line_signals(logs: DataFrame, run: str = "run_id", seq: str = "seq", msg: str = "msg") -> DataFrame:
-    """``(run, seq, oom, nan, loss, head)`` per line; ``head`` is kept only where it is reported."""
-    return logs.select(run, F.col(seq).alias("seq"), msg, *log_signals(F.col(msg))).select(
+def line_signals(
+    logs: DataFrame, run: str = "run_id", seq: str = "seq", msg: str = "msg", keep: Sequence[str] = ()
+) -> DataFrame:
+    """``(run, seq, oom, nan, loss, head)`` per line and the ``keep`` columns; ``head`` is kept only where
+    it is reported."""
+    return logs.select(run, *keep, F.col(seq).alias("seq"), msg, *log_signals(F.col(msg))).select(
         run,
+        *keep,
         "seq",
         "oom",
         "nan",

@@ -9,6 +9,7 @@ from quillmill.operators import classification as M
 from quillmill.operators import dialog as D
 from quillmill.operators import sequences as S
 from quillmill.operators.corpus import turns_to_pair
+from quillmill.operators.heads import apply_two_layer_head, train_two_layer_head
 from quillmill.operators.packing import pack_whole_table
 from quillmill.queries.corpus import SAID
 from quillmill.queries.generation import IDS
@@ -217,3 +218,23 @@ def _train(spark, sf):
     return learned.join(support, F.col("y") == F.col("actual")).select(
         F.col("y").alias("label"), "train_rows", "test_rows", F.lit(total).cast("long").alias("predictions")
     )
+
+
+RING = "embedding[1] * embedding[1] + embedding[2] * embedding[2] > 0.0218"
+
+
+@query(
+    "train_two_layer_head",
+    f"SELECT CAST({RING} AS INT) AS label, count(*) AS rows, TRUE AS learned FROM (SELECT list_transform(embedding, lambda v: v::DOUBLE) AS embedding FROM embeddings) GROUP BY 1",
+)
+def _ring(spark, sf):
+    """Labels that tell a ring from what it encloses: a class is learned if nine in ten of its rows are
+    told right by the fitted head."""
+    rows = vectors(spark, sf)
+    inside = F.get("features", F.lit(0)) * F.get("features", F.lit(0)) + F.get("features", F.lit(1)) * F.get("features", F.lit(1))
+    ringed = rows.select("features", (inside > 0.0218).cast("int").alias("label"))
+    head = train_two_layer_head(ringed)
+    told = apply_two_layer_head(head, ringed).withColumn("told", (F.get("scores", F.lit(1)) > 0.5).cast("int"))
+    return told.groupBy("label").agg(
+        F.count(F.lit(1)).alias("rows"), (F.count_if(F.col("told") == F.col("label")) >= 0.9 * F.count(F.lit(1))).alias("learned")
+    )

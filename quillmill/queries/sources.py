@@ -21,7 +21,7 @@ from quillmill.plans.images import prepare_image_dataset
 from quillmill.plans.prepare import prepare_text_dataset
 from quillmill.queries.corpus import AUGMENTED, CLEAN, PAIRS, documents
 from quillmill.queries.registry import query, rounded, table
-from quillmill.queries.runs import SIGNALS, log_lines
+from quillmill.queries.runs import SIGNALS, TRENDS, log_lines
 from quillmill.session import scratch_path
 from quillmill.sources import archives, images, readers, sinks
 from quillmill.sources.storage import list_files, qualified
@@ -32,6 +32,7 @@ from quillmill.streaming.jobs import (
     log_health_stream,
     run_available,
 )
+from quillmill.streaming.monitor import monitor_runs, run_monitor
 
 TURNS = "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text FROM conversations"
 
@@ -51,13 +52,16 @@ def _csv(spark, sf):
     return readers.read_delimited(spark, path, "csv")
 
 
-@query("read_tab_separated", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, props FROM events")
+@query("read_tab_separated", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def _tsv(spark, sf):
     path = scratch_path(spark, "tsv")
-    events = table(spark, sf, "events").select("event_id", "event_type", "props")
-    tabs = events.write.option("header", "true").option("sep", "\t").option("escape", '"')
+    events = table(spark, sf, "events")
+    # As text, since the writer would cut times to milliseconds.
+    told = events.select(*[F.col(c).cast("string").alias(c) for c in events.columns])
+    tabs = told.write.option("header", "true").option("sep", "\t").option("escape", '"')
     tabs.option("extension", "tab").csv(path)
-    return readers.read_delimited(spark, path, "tab")
+    back = readers.read_delimited(spark, path, "tab")
+    return back.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in events.schema])
 
 
 @query("read_jsonl", "SELECT conv_id, turn, role, text FROM conversations")
@@ -419,6 +423,22 @@ def _log_stream(spark, sf):
     return rounded(closed.withColumns(bounds), "mean_loss", places=6)
 
 
+@query(
+    "monitor_runs",
+    f"""WITH {TRENDS}, ended AS (SELECT run_id FROM signals GROUP BY run_id HAVING max(ts) + INTERVAL '1 day' < (SELECT max(ts) - INTERVAL '10 minutes' FROM events))
+SELECT run_id, oom_detected, nan_loss_detected, oom_event, nan_event, f.losses, round(first_half, 6) AS first_half, round(second_half, 6) AS second_half, trend
+FROM found f JOIN ended USING (run_id) LEFT JOIN trends USING (run_id)""",
+)
+def _monitor(spark, sf):
+    """The event table as a file stream; a run is reported when a day has passed since its last line."""
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")
+    lines = log_lines(events).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = monitor_runs(lines, quiet="1 day", delay="10 minutes")
+    out, marks = scratch_path(spark, "ended"), scratch_path(spark, "marks")
+    run_monitor(stream, out, marks)
+    return rounded(spark.read.schema(stream.schema).parquet(out), "first_half", "second_half", places=6)
+
+
 @query(
     "incremental_prepare",
     f"""WITH {PAIRS} SELECT DISTINCT instruction, output,

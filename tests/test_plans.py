@@ -3,11 +3,13 @@
 import os
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import classification as M
 from quillmill.operators import dialog as D
+from quillmill.operators import heads
 from quillmill.plans.evaluate import evaluate_classification, evaluate_generation
 from quillmill.plans.images import prepare_image_dataset
 from quillmill.plans.prepare import prepare_text_dataset
@@ -129,3 +131,41 @@ def test_accounts_of_what_is_lost(spark):
     report = prepare_text_dataset(pairs, "id", account=True).report.first()
     assert (report.dropped_pairs, report.duplicates) == (1, 1) and "lost_chars" not in report.asDict()
     assert prepare_text_dataset(pairs, "id", limits=(None, None, 25)).all_rows.count() == 1
+
+
+def test_two_layers_learn_a_ring(spark):
+    """What no linear head can tell apart, the same way in every fit."""
+    pick = np.random.default_rng(5)
+    angles, far = pick.uniform(0, 2 * np.pi, 400), np.where(np.arange(400) % 2, 1.0, 3.0) + pick.normal(0, 0.2, 400)
+    points = [(i, [float(r * np.cos(a)), float(r * np.sin(a)), float(pick.normal())], "in" if i % 2 else "out") for i, (a, r) in enumerate(zip(angles, far))]
+    df = spark.createDataFrame([*points, (900, None, "in"), (901, [0.0, 0.0, 0.0], None)], "id int, features array<double>, label string")
+    head = heads.train_two_layer_head(df, hidden=16, steps=50)
+    told = {r.id: r.scores and head.labels[int(np.argmax(r.scores))] for r in heads.apply_two_layer_head(head, df).collect()}
+    assert told[900] is None and told[901] == "in"
+    assert sum(told[i] == label for i, _, label in points) > 0.97 * len(points)
+    assert head.losses[-1] < 0.3 * head.losses[0]
+    linear = D.apply_head(D.train_head(df.where("features IS NOT NULL AND label IS NOT NULL").withColumn("label", (F.col("label") == "in").cast("int"))), df.where("id < 900"))
+    right = sum((r.scores[1] > 0.5) == (r.label == "in") for r in linear.collect())
+    assert right < 0.8 * len(points)
+    again = heads.train_two_layer_head(df, hidden=16, steps=50)
+    assert np.array_equal(again.weights, head.weights)
+
+
+def test_gradients():
+    pick = np.random.default_rng(2)
+    rows, truth = pick.normal(size=(7, 3)), pick.integers(0, 4, 7)
+    weights = pick.normal(size=(3 + 1) * 5 + (5 + 1) * 4)
+    found = heads.gradient(weights, rows, truth, 5, 4)
+    for i in range(len(weights)):
+        step = np.zeros_like(weights)
+        step[i] = 1e-6
+        slope = (heads.gradient(weights + step, rows, truth, 5, 4)[-1] - heads.gradient(weights - step, rows, truth, 5, 4)[-1]) / 2e-6
+        assert found[i] == pytest.approx(slope, abs=1e-5)
+
+
+def test_batches_of_a_head(spark):
+    df = spark.range(300).select((F.col("id") % 2).cast("int").alias("label"), F.array((F.col("id") % 2) * 2.0 + F.col("id") / 300).alias("features"))
+    head = heads.train_two_layer_head(df, hidden=4, steps=24, batches=3)
+    assert len(head.losses) == 24 and head.losses[-1] < head.losses[0]
+    with pytest.raises(ValueError):
+        heads.train_two_layer_head(df.limit(0))

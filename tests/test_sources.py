@@ -8,8 +8,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quillmill.operators import runs as R
 from quillmill.sources import images, readers, sinks
-from quillmill.streaming import jobs
+from quillmill.streaming import jobs, monitor
 
 
 def put(path, data):
@@ -235,3 +236,31 @@ def test_first_arrivals_of_a_stream(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
         jobs.keep_first_arrivals(stream, f"{tmp_path}/out", f"{tmp_path}/ledger", f"{tmp_path}/marks", ["t"], ["id"])
     assert sorted((r.t, r.id) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(f"t{i}", i if i < 4 else i + 9 if i < 5 else 23) for i in range(6)]
+
+
+def test_monitor_of_runs(spark, tmp_path, monkeypatch):
+    """Runs that come in several batches and out of order are reported once, as the closed log says."""
+    monkeypatch.setattr(monitor, "BLOCK_LINES", 4)
+    day, rng = dt.datetime(2024, 1, 1), random.Random(3)
+    lines = []
+    for run in range(5):
+        for seq in range(rng.choice([1, 3, 9, 30])):
+            text = rng.choice(["loss=%.2f" % (3 - seq / 20), "CUDA out of memory %d" % seq, "loss is nan at %d" % seq, "ok", "train_loss: %.1f" % rng.random()])
+            lines.append((run, seq, day + dt.timedelta(minutes=seq + run), text))
+    schema = "run_id long, seq long, ts timestamp, msg string"
+    late = [(9, 0, day + dt.timedelta(days=3), "ok")]
+    shuffled = rng.sample(lines, len(lines))
+    for n, part in enumerate((shuffled[::2], shuffled[1::2], late)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        monitor.run_monitor(monitor.monitor_runs(stream, "2 hours", "10 hours"), f"{tmp_path}/out", f"{tmp_path}/marks")
+    logs = spark.createDataFrame(lines, schema)
+    events = R.extract_log_events(logs).join(R.loss_trend(logs).drop("losses"), "run_id", "left").collect()
+    got = {r.run_id: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert set(got) == {r.run_id for r in events} and spark.read.parquet(f"{tmp_path}/out").count() == len(got)
+    for want in events:
+        found = got[want.run_id]
+        for name in ("oom_detected", "nan_loss_detected", "oom_event", "nan_event", "losses", "trend"):
+            assert found[name] == want[name], name
+        for name in ("first_half", "second_half"):
+            assert (found[name] is None) == (want[name] is None) and (want[name] is None or abs(found[name] - want[name]) < 1e-9)
