@@ -57,6 +57,9 @@ def edge_dirs(spark, tmp_path_factory):
         pages = [(1, "http://a.b/x#y", "p" * 200), (2, None, "p" * 200), (None, "u\r\n", None), (2, None, "p" * 200), (9, "", "a\r\n\r\nb")]
         schema = "page_id long, url string, html string"
         spark.createDataFrame(pages if rows else [], schema).withColumn("k", F.lit(1)).write.parquet(f"{top}/pages.parquet")
+        items = [(1, "Some line that is long enough to be counted as a repeat."), (None, LONG[:900]), (2, None), (2, ""), (3, "one")]
+        items = spark.createDataFrame(items if rows else [], "item_id long, text string")
+        items.withColumns({n: F.lit("clash") for n in NAMES}).write.parquet(f"{top}/benchmark.parquet")
         found[name] = str(top)
     return found
 
@@ -74,14 +77,47 @@ def test_stages_keep_columns(spark, edge_dirs):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, edge_dirs[kind])
             assert out.columns == docs.columns, name
-            assert out.count() >= 0
+            ids = {r["doc_id"] for r in out.collect()}
+            assert ids <= {None, 1, 2, 3, 4, 5} and bool(ids) == (kind == "full"), name
         assert corpus_pipeline.run(spark, edge_dirs[kind]).count() >= 0
 
 
+def test_edge_values(spark, edge_dirs):
+    """What the docstrings state for nulls, blanks, repeated rows and long texts."""
+    rows = {name: QUERIES[name](spark, edge_dirs["full"]).collect() for name in QUERIES if name != "op4_warc_index"}
+    of = lambda name, i: [r for r in rows[name] if r["doc_id"] == i]
+    leaks = {i: of("op11_decontamination", i)[0] for i in (None, 1, 2, 3, 5)}
+    assert [(r["n_items"], r["contaminated"]) for r in of("op11_decontamination", 1)] == [(1, True)] * 2
+    # The item without an id marks words and lists nothing.
+    assert (leaks[3]["n_items"], leaks[3]["contaminated"], leaks[3]["n_hit"] > 90) == (0, True, True)
+    assert [tuple(leaks[i])[1:4] for i in (None, 2)] == [(0, 0, 0)] * 2
+    drawn = {r["doc_id"]: r for r in rows["op12_importance_resampling"]}
+    assert [drawn[i]["n_features"] for i in (None, 2, 4)] == [0, 0, 0] and drawn[3]["n_features"] == 3 * 60_000 - 3
+    assert all(r["rank"] is None for r in drawn.values())
+    aligned = {r["doc_id"]: r for r in rows["op13_tokenizer_alignment"]}
+    assert all(tuple(aligned[i])[1:] == (0, 0, 0, 0, 0, 0, "") for i in (None, 2))
+    assert aligned[3]["n_groups"] > 50_000 and aligned[4]["n_a"] > 0
+    twins = of("op9_simhash_dedup", 1)
+    assert len(twins) == 2 and twins[0] == twins[1] and of("op9_simhash_dedup", None)[0]["fingerprint"] == "0" * 16
+    assert {r["component_id"] for i in (2, 4) for r in of("op9_simhash_dedup", i)} <= {None}
+    kept = of("op10_line_dedup", None)[0]
+    assert (kept["n_lines"], kept["n_dropped"], kept["kept_sha256"]) == (1, 0, sha(""))
+    assert [r["n_lines"] for r in of("op10_line_dedup", 4)] == [3]
+    for name in ("op7_byte_bpe", "op8_token_counts"):
+        assert of(name, None)[0]["n_tokens"] == of(name, 2)[0]["n_tokens"] == 0 and of(name, 3)[0]["n_tokens"] > 60_000
+    assert of("op8_token_counts", 3)[0]["n_bytes"] == len(LONG) and of("op8_token_counts", 3)[0]["over_limit"]
+    assert of("op7_byte_bpe", 3)[0]["decoded_sha256"] == sha(LONG)
+    assert [(r["n_words"], r["base_failed"]) for r in of("op3_line_quality", 2)] == [(0, True)]
+    assert [r["size"] for r in of("op5_mixing", 3)] == [60_000] and of("op5_mixing", None)[0]["taken"] == 0
+    assert [r["n_chars"] for r in of("op1_document_fingerprints", 2)] == [0]
+    assert [r["spans"] for r in of("op2_personal_data", None)] == [""]
+    assert all(0 <= r["score"] <= 1 for r in rows["op6_quality_classifier"])
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "pages", "labels"):
+    for name in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
