@@ -155,10 +155,19 @@ def running_counts(
 
     ``counts`` holds one row per (keys, score); it is range-partitioned by them and written, once.
     There are as many ranges as it takes for about ``slice_rows`` rows each, whatever the keys and
-    scores are; sums run inside a range and are shifted by the totals of the key's ranges before it.
+    scores are; sums run inside a range and are shifted by the totals of the key's ranges before it. A
+    table of no more than ``slice_rows`` rows is summed as it is.
     """
-    spark = counts.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // slice_rows))
+    spark, rows = counts.sparkSession, counts.count()
+    if rows <= slice_rows:
+        every, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc(score))
+        upto = upto.rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumns(
+            {"_slice": F.lit(0)}
+            | {f"total_{v}": F.sum(v).over(every) for v in values}
+            | {f"upto_{v}": F.sum(v).over(upto) for v in values}
+        )
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // slice_rows))
     ranged = counts.repartitionByRange(parts, *keys, F.desc(score)).withColumn("_slice", F.spark_partition_id())
     ranged = materialize(ranged, "score-ranges")
     groups = [*keys, "_slice"]

@@ -87,7 +87,7 @@ def test_corners_of_curves(spark, slice_rows):
     runs = [(rng.randrange(200) / 200, rng.random() < 0.5) for _ in range(90)] + [(2 + i / 64, i > 20) for i in range(60)]
     counts = binary(spark, runs, "a").unionByName(binary(spark, [(1, True), (0, False)], "b")).unionByName(binary(spark, [(1, True)], "c"))
     cumulated = M.curve_counts(counts, slice_rows)
-    assert cumulated.select("_slice").distinct().count() > (30 if slice_rows == 1 else 1)
+    assert cumulated.select("_slice").distinct().count() >= {1: 30, 7: 2, 1000: 1}[slice_rows]
     got = M.roc_curve(M.corner_points(cumulated)).collect()
     assert sorted((r.fpr, r.tpr) for r in got if r.label == "a") == plain_corners(runs)
     assert sorted((r.fpr, r.tpr) for r in got if r.label == "b") == [(0, 0), (0, 1), (1, 1)]
