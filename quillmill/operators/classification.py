@@ -30,15 +30,18 @@ def _is_array(df: DataFrame, name: str) -> bool:
 # ---- scores and labels --------------------------------------------------------------------
 
 
-def normalize_scores(df: DataFrame, scores: str = "scores", kind: str = "auto", multilabel: bool = False) -> DataFrame:
+def normalize_scores(df: DataFrame, scores: str = "scores", kind: str = "auto", multilabel: bool = False, stored: bool = False) -> DataFrame:
     """Turn scores into probabilities.
 
     ``auto`` looks at the whole table: scores are kept if all lie in [0, 1] and, for arrays, every
     row sums to 1 within 1e-3; otherwise softmax, or sigmoid for single scores and multilabel. The
     row-sum test also applies to multilabel arrays, so pass ``probabilities`` where they are known.
+    The table is written first, so that what makes the scores runs once; ``stored`` says that it is a
+    stored table already, of which the look only reads the scores.
     """
     if kind == "probabilities":
         return df
+    df = df if stored else materialize(df, "scores")
     value = F.col(scores)
     if _is_array(df, scores):
         squashed = F.transform(value, sigmoid) if multilabel else softmax(value)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 from quillmill.functions.arrays import let
 from quillmill.functions.text import NOT_BLANK, chunk_text, clean_text, keywords
 from quillmill.operators.detect import PROMPT_NAMES, RESPONSE_NAMES, TEXT_NAMES, find_column
-from quillmill.operators.ranking import at_or_below_cut, lowest_hash_cut
+from quillmill.operators.ranking import BROADCAST_ROWS, at_or_below_cut, broadcast_if, lowest_hash_cut
+from quillmill.session import materialize
 
 USER_ROLES = ("user", "human")
 ASSISTANT_ROLES = ("assistant", "gpt", "bot")
@@ -289,23 +291,65 @@ def filter_pairs(
     return df.select(*others, F.inline(usable)).select(*df.columns)
 
 
+def _packed(df: DataFrame, columns: Sequence[str]) -> Column:
+    """One sort key for several columns, nulls first: a decimal where all are integers and fit, since the
+    least of decimals is found by hash aggregation; else a struct."""
+    bits = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+    widths = [bits.get(df.schema[c].dataType.simpleString(), 127) for c in columns]
+    if sum(widths) + len(widths) > 126:
+        return F.struct(*columns)
+    key = F.lit(0).cast("decimal(38,0)")
+    for c, width in zip(columns, widths):
+        place = F.coalesce(F.col(c).cast("decimal(38,0)") + F.lit(Decimal(2 ** (width - 1) + 1)), F.lit(Decimal(0)))
+        key = (key * F.lit(Decimal(2**width + 1)) + place).cast("decimal(38,0)")
+    return key
+
+
+def repeated_pairs(rows: DataFrame) -> DataFrame:
+    """Digest, first order key and number of the pairs that occur more than once."""
+    found = rows.groupBy("_pair").agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    return found.where(F.col("_copies") > 1)
+
+
 def dedupe_pairs(df: DataFrame, order_by: Sequence[str], copies: str | None = None) -> DataFrame:
-    """Keep the first row, by ``order_by``, of each exact (instruction, output) pair.
+    """Keep the first row, by ``order_by``, of each exact (instruction, output) pair; of rows that tie
+    there, the first by a hash of the other columns.
 
-    A hash leads the grouping key so rows compare by eight bytes first; the texts follow, so
-    the result never rests on the hash. Copies collapse before the shuffle, so a pair that makes
-    up a third of the table sends one row per task.
+    Pairs are told apart by SHA-256. The rows are written once with their digests; only digests and
+    order keys are aggregated and shuffled, and a hot pair sends one row per task. Digests that occur once
+    are then forgotten: rows meet a table of the repeated ones, which is broadcast if it has few rows,
+    and then no text is shuffled. Runs the jobs that write these tables.
     """
     rest = [c for c in df.columns if c not in {"instruction", "output", *order_by}]
-    first = F.min(F.struct(*order_by, *rest)).alias("first")
-    counted = [F.count(F.lit(1)).alias(copies)] if copies else []
-    kept = df.groupBy(
-        F.xxhash64("instruction", "output").alias("h"), "instruction", "output"
-    ).agg(first, *counted)
-    columns = [
-        c if c in ("instruction", "output") else F.col(f"first.{c}").alias(c) for c in df.columns
-    ]
-    return kept.select(*columns, *([copies] if copies else []))
+    # The length tells where the first text ends, and whether it is null.
+    told = [F.coalesce(F.length("instruction"), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce("instruction", F.lit(""))]
+    answered = F.when(F.col("output").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "output"))
+    rows = df.withColumns(
+        {
+            "_pair": F.unhex(F.sha2(F.concat(*told, answered), 256)),
+            "_order": _packed(df, order_by),
+            "_rest": F.hash(*rest) if rest else F.lit(0),
+            "_row": F.monotonically_increasing_id(),
+        }
+    )
+    rows = materialize(rows, "pairs")
+    repeated = materialize(repeated_pairs(rows), "repeated-pairs")
+    # One row per pair here and among the keepers.
+    found = repeated.limit(BROADCAST_ROWS + 1).count()
+    if not found:
+        kept = rows.withColumn("_copies", F.lit(1).cast("long"))
+    else:
+        # Rows of one pair with one order key: as a rule a single row.
+        tied = rows.select("_pair", "_order", "_rest", "_row").join(broadcast_if(repeated, found), "_pair")
+        tie = _packed(rows, ["_rest", "_row"])
+        keepers = tied.where("_order <=> _first").groupBy("_pair", "_copies").agg(F.min(tie).alias("_keeper"))
+        # As a table, the larger kind brings no partitioning that would tie a hot pair to one task.
+        keepers = keepers if found <= BROADCAST_ROWS else materialize(keepers, "kept-pairs")
+        kept = rows.join(broadcast_if(keepers, found), "_pair", "left")
+        kept = kept.where(F.col("_keeper").isNull() | (tie == F.col("_keeper")))
+        kept = kept.withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    counted = [F.col("_copies").alias(copies)] if copies else []
+    return kept.select(*df.columns, *counted)
 
 
 def sample_n(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:

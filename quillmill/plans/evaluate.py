@@ -90,7 +90,7 @@ def evaluate_classification(
     decided = kind == "labels" and (task == "multilabel" or not arrays)
     multilabel = task == "multilabel"
     kind = "auto" if kind == "labels" and not decided else kind
-    scored = held if decided else M.normalize_scores(held, kind=kind, multilabel=multilabel)
+    scored = held if decided else M.normalize_scores(held, kind=kind, multilabel=multilabel, stored=True)
     guessed = M.predict_labels(scored, kind="labels" if decided else kind, threshold=threshold, multilabel=multilabel)
     if multilabel:
         report = materialize(M.multilabel_report(M.multilabel_counts(guessed)), "per-label")

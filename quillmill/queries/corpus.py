@@ -219,38 +219,37 @@ def _dedupe(spark, sf):
 
 @query(
     "sample_n",
-    """WITH r AS (SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY md5(concat_ws(chr(1), doc_id, '42')), doc_id) AS r
-                  FROM documents)
-SELECT doc_id, lang, n_chars FROM r WHERE r <= 150""",
+    """WITH r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(chr(1), doc_id, '42')), doc_id) AS r FROM documents)
+SELECT * EXCLUDE (r) FROM r WHERE r <= 150""",
 )
 def _sample(spark, sf):
-    return C.sample_n(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), 150, ["doc_id"])
+    return C.sample_n(table(spark, sf, "documents"), 150, ["doc_id"])
 
 
 @query(
     "split_train_eval",
     f"""WITH size AS (SELECT count(*) AS n FROM documents),
-r AS (SELECT doc_id, source, row_number() OVER (ORDER BY md5(concat_ws(chr(1), doc_id, '42')), doc_id) AS r FROM documents)
-SELECT doc_id, source, CASE WHEN r <= (SELECT {EVAL_ROWS} FROM size) THEN 'eval' ELSE 'train' END AS split FROM r""",
+r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(chr(1), doc_id, '42')), doc_id) AS r FROM documents)
+SELECT * EXCLUDE (r), CASE WHEN r <= (SELECT {EVAL_ROWS} FROM size) THEN 'eval' ELSE 'train' END AS split FROM r""",
 )
 def _split(spark, sf):
-    return C.split_train_eval(table(spark, sf, "documents").select("doc_id", "source"), ["doc_id"])
+    return C.split_train_eval(table(spark, sf, "documents"), ["doc_id"])
 
 
 @query(
     "stratified_split",
-    """WITH d AS (SELECT doc_id, lang FROM documents),
+    """WITH d AS (SELECT * FROM documents),
 sizes AS (SELECT lang, count(*) AS rows FROM d GROUP BY lang),
 want AS (SELECT CAST(ceil(0.15::DOUBLE * sum(rows)) AS BIGINT) AS want, CAST(sum(rows) AS BIGINT) AS total FROM sizes),
 shares AS (SELECT lang, (want * rows) // total AS base, (want * rows) % total AS rest, want FROM sizes, want),
 quotas AS (SELECT lang, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, lang)
                                          <= want - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM shares),
-r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws(chr(1), doc_id, '42')), doc_id) AS r
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws(chr(1), doc_id, '42')), doc_id) AS r
       FROM d)
-SELECT doc_id, lang, CASE WHEN r <= quota THEN 'test' ELSE 'train' END AS split FROM r JOIN quotas USING (lang)""",
+SELECT * EXCLUDE (r, quota), CASE WHEN r <= quota THEN 'test' ELSE 'train' END AS split FROM r JOIN quotas USING (lang)""",
 )
 def _stratified(spark, sf):
-    return stratified_split(table(spark, sf, "documents").select("doc_id", "lang"), "lang", ["doc_id"])
+    return stratified_split(table(spark, sf, "documents"), "lang", ["doc_id"])
 
 
 @query(
@@ -370,15 +369,15 @@ def _turns(spark, sf):
 
 
 def chat_records(spark, sf):
-    """JSON chat records, as chat datasets come, one per conversation."""
+    """JSON chat records, as chat datasets come: a record holds 64 turns of a conversation at most."""
     listed = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     messages = F.transform(listed, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    records = table(spark, sf, "conversations").groupBy("conv_id").agg(F.to_json(messages).alias("messages"))
-    return records.select(F.col("conv_id").alias("record"), "messages")
+    record = F.expr("concat(conv_id, '-', turn div 64)").alias("record")
+    return table(spark, sf, "conversations").groupBy(record).agg(F.to_json(messages).alias("messages"))
 
 
 RECORD_PAIRS = f"""{SAID.replace('conv_id', 'record').replace('FROM conversations',
-    'FROM (SELECT conv_id AS record, turn, role, text FROM conversations)')},
+    "FROM (SELECT conv_id || '-' || turn // 64 AS record, turn, role, text FROM conversations)")},
 record_pairs AS (SELECT * FROM turn_pairs WHERE instruction IS NOT NULL AND output IS NOT NULL)"""
 
 

@@ -239,12 +239,18 @@ def _image_dataset(spark, sf):
     )
 
 
-@query("union_sources", f"SELECT 0 AS source_id, conv_id::VARCHAR AS conv_id, text FROM conversations UNION ALL SELECT 1, NULL, {BENCH_TEXT} FROM benchmark")
+@query(
+    "union_sources",
+    f"""SELECT 0 AS source_id, conv_id, turn, role, text, CAST(NULL AS VARCHAR) AS item FROM ({TURNS})
+UNION ALL SELECT 1, NULL, NULL, NULL, {BENCH_TEXT}, CAST(item_id AS VARCHAR) FROM benchmark""",
+)
 def _union(spark, sf):
+    """A table of turns and a folder of texts; ``member`` tells the item that a text is of."""
     csv = scratch_path(spark, "csv")
-    sinks.write_csv_report(turns(spark, sf).select("conv_id", "text"), csv)
+    sinks.write_csv_report(turns(spark, sf), csv)
     both = readers.union_sources(spark, [csv, text_folder(spark, sf)])
-    return both.select("source_id", F.col("conv_id").cast("string").alias("conv_id"), "text")
+    item = F.regexp_extract("member", "item_id=([^/]*)/", 1).alias("item")
+    return both.select("source_id", *[F.col(c).cast("string") for c in ("conv_id", "turn", "role")], "text", item)
 
 
 # ---- sinks --------------------------------------------------------------------------------

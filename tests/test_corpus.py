@@ -97,6 +97,57 @@ def test_dedupe_keeps_the_first(spark, partitions):
     assert got == {(0, "s0", 300), (500, "z", 1)}
 
 
+def plain_dedupe(data, order):
+    """First row of each pair by the order columns, nulls first, with its number of copies."""
+    groups = {}
+    for row in data:
+        groups.setdefault(row[-2:], []).append(row)
+    key = lambda r: tuple((v is not None, v) for v in r[:order])
+    return sorted(((*min(g, key=key), len(g)) for g in groups.values()), key=repr)
+
+
+@pytest.mark.parametrize("kinds", ["long, int", "long, long", "string, int"])
+def test_dedupe_of_any_order(spark, kinds):
+    """Nulls, empty texts, signs and extremes of the order keys, whether they pack into one number or not."""
+    first, second = kinds.split(", ")
+    lows = ["a", "b", None, "", "B"] if first == "string" else [-(2**63), 2**63 - 1, None, 0, -1]
+    texts = [None, "", "x", "1:x", ":", "xx", "+"]
+    data = [
+        (lows[i % 5], None if i % 11 == 0 else i - 60, texts[i * 7 % 5], texts[i * i % 7]) for i in range(120)
+    ]
+    data = list({row[:2]: row for row in data}.values())
+    df = spark.createDataFrame(data, f"a {first}, b {second}, instruction string, output string").repartition(5)
+    got = sorted((tuple(r) for r in C.dedupe_pairs(df, ["a", "b"], "copies").collect()), key=repr)
+    assert got == plain_dedupe(data, 2)
+
+
+def test_dedupe_of_rows_that_tie_and_of_none(spark):
+    twice = spark.createDataFrame([(1, "q", "a", "s")] * 3 + [(1, "q2", "a", "s")], "id long, instruction string, output string, source string")
+    assert sorted(tuple(r) for r in C.dedupe_pairs(twice, ["id"], "copies").collect()) == [(1, "q", "a", "s", 3), (1, "q2", "a", "s", 1)]
+    assert C.dedupe_pairs(twice.where("false"), ["id"], "copies").count() == 0
+
+
+def test_dedupe_with_many_repeated_pairs(spark, monkeypatch):
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 3)
+    data = [(i, i % 3, f"q{i % 20}", "a") for i in range(200)] + [(1000, 0, "alone", "a")]
+    df = spark.createDataFrame(data, "a long, b int, instruction string, output string").repartition(3)
+    got = sorted((tuple(r) for r in C.dedupe_pairs(df, ["a", "b"], "copies").collect()), key=repr)
+    assert got == plain_dedupe(data, 2)
+
+
+def test_dedupe_moves_digests_not_texts(spark):
+    """Digests are counted by hash aggregates; with few repeated pairs the rows stay where they are."""
+    data = [(i, 0, f"question {i // 2}", "answer") for i in range(60)]
+    df = spark.createDataFrame(data, "id long, chunk int, instruction string, output string")
+    keyed = df.select(F.unhex(F.sha2("instruction", 256)).alias("_pair"), C._packed(df, ["id", "chunk"]).alias("_order"))
+    plan = C.repeated_pairs(keyed)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHash" not in plan
+    kept = C.dedupe_pairs(df, ["id", "chunk"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortAggregate" not in plan and "SortMergeJoin" not in plan
+    assert kept.count() == 30
+
+
 @pytest.mark.parametrize("n", [0, 1, 37, 400, 401, 1000])
 def test_sample_is_exact_and_repeatable(spark, n):
     df = rows_of(spark, 400)
