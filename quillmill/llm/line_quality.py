@@ -1,8 +1,9 @@
 """Quality rules from cross-document line frequency, in built-in functions only.
 
 A line that many documents of one host repeat is boilerplate. Lines are normalised and hashed,
-distinct documents are counted per host and hash, lines above the limit count as removed, and a
-document that keeps too small a share of its words is rejected. The base rules come first: too few
+distinct documents are counted per host and hash, lines above the limit are removed, and a
+document that keeps too small a share of its words is rejected: ``judge`` gives figures and verdicts,
+``cleaned`` the documents that stay. The base rules come first: too few
 words, or too many words inside repeated three-word windows.
 
 Null texts count as empty and fail the base rule; a null host is a host of its own. Every row
@@ -24,6 +25,8 @@ LINE_LIMIT = 20
 KEPT_SHARE = 0.3
 MIN_WORDS = 50
 SYMBOLS = r"[^#*$%&|<>]+"
+#: A line that is not blank.
+WORDED = r"[^\x20\x09-\x0D]"
 
 
 def _no_strings() -> Column:
@@ -95,7 +98,7 @@ def line_digest(df: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
         ).alias("w"),
         F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
         let(
-            F.filter(F.split(text, "\n"), lambda l: F.regexp_like(l, F.lit(r"[^\x20\x09-\x0D]"))),
+            F.filter(F.split(text, "\n"), lambda l: F.regexp_like(l, F.lit(WORDED))),
             lambda ls: F.struct(
                 (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                 F.transform(
@@ -126,7 +129,31 @@ def judge(
     marks removed lines has one row per frequent line on its other side, so AQE can split it.
     """
     digest = common.staged(line_digest(df, id_col, text_col, host_col), "line-digest", row="row")
-    lines = digest.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words")
+    removed = removed_lines(digest, line_limit).groupBy("row").agg(F.sum("words").alias("removed"))
+    return (
+        digest.drop("lines", "host")
+        .join(removed, "row", "left")
+        .select(
+            F.col("id").alias(id_col),
+            *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
+            base_failed().alias("base_failed"),
+            (~base_failed() & (words_left() >= kept_share * F.col("n_words"))).alias("kept"),
+            words_left().alias("words_left"),
+        )
+    )
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def words_left() -> Column:
+    return F.col("n_words") - F.coalesce("removed", F.lit(0))
+
+
+def removed_lines(digest: DataFrame, line_limit: int) -> DataFrame:
+    """Row, place among the row's lines that are not blank, and words of every line above the limit."""
+    lines = digest.select("row", "host", F.posexplode("lines").alias("at", "l")).select("row", "host", "at", "l.line", "l.words")
     per_document = digest.select("host", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
     frequent = (
         per_document.groupBy("host", "line")
@@ -136,24 +163,49 @@ def judge(
     )
     # As a table, this side brings no partitioning that would tie a hot line to one task.
     frequent = common.staged(frequent, "frequent-lines")
-    removed = (
-        lines.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
-        .groupBy("row")
-        .agg(F.sum("words").alias("removed"))
-    )
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    left = F.col("n_words") - F.coalesce("removed", F.lit(0))
-    return (
-        digest.drop("lines", "host")
-        .join(removed, "row", "left")
-        .select(
-            F.col("id").alias(id_col),
-            *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
-            base_failed.alias("base_failed"),
-            (~base_failed & (left >= kept_share * F.col("n_words"))).alias("kept"),
-            left.alias("words_left"),
-        )
+    return lines.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host"))).select("row", "at", "words")
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without some of its lines, given by their rising places among those that are not blank."""
+
+    def cut(lines: Column) -> Column:
+        marked = F.transform(lines, lambda l, i: F.when(F.regexp_like(l, F.lit(WORDED)), i).otherwise(-1))
+        return let(F.filter(marked, lambda i: i >= 0), lambda worded: let(F.transform(places, lambda p: F.get(worded, p)), lambda gone: between(lines, gone)))
+
+    def between(lines: Column, gone: Column) -> Column:
+        starts = F.concat(F.array(F.lit(-1)), gone)
+        runs = F.transform(starts, lambda p, i: F.slice(lines, p + 2, F.coalesce(F.get(gone, i), F.size(lines)) - p - 1))
+        return F.array_join(F.flatten(runs), "\n")
+
+    return let(F.split(text, "\n"), cut)
+
+
+def cleaned(
+    df: DataFrame,
+    text_col: str = "text",
+    host_col: str = "source",
+    line_limit: int = LINE_LIMIT,
+    kept_share: float = KEPT_SHARE,
+) -> DataFrame:
+    """The rows that :func:`judge` keeps, in the columns of ``df``, their texts without the removed lines.
+
+    The rows are staged once with a number. Only places of removed lines are shuffled to it, and texts
+    once to their verdicts.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
+    docs = common.staged(df.select(whole), "documents", row="doc_row")
+    read = docs.select("doc_row", F.col(f"doc.`{text_col}`").alias("text"), F.col(f"doc.`{host_col}`").alias("host"))
+    digest = common.staged(line_digest(read, "doc_row", "text", "host"), "line-digest", row="row")
+    removed = removed_lines(digest, line_limit).groupBy("row")
+    removed = removed.agg(F.sum("words").alias("removed"), F.sort_array(F.collect_list("at")).alias("places"))
+    judged = digest.drop("lines", "host").join(removed, "row", "left")
+    kept = judged.where(~base_failed() & (words_left() >= kept_share * F.col("n_words"))).select("id", "places")
+    left = F.when(F.col("places").isNull(), F.col(f"doc.`{text_col}`")).otherwise(
+        without_lines(F.col(f"doc.`{text_col}`"), F.col("places"))
     )
+    columns = [left.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in df.columns]
+    return docs.join(kept, F.col("doc_row") == F.col("id")).select(*columns)
 
 
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
