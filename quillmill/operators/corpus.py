@@ -81,14 +81,11 @@ def _pair_of_turns(turns: Column) -> Column:
     return let(tidy, pair)
 
 
-def messages_to_pair(messages: Column, is_text: bool = True) -> Column:
-    """``struct<instruction, output>`` of one chat record, null if it holds no pair.
-
-    A text record is parsed as JSON; bad JSON, a bare object and list items that are no objects
-    are passed over rather than failing the row.
-    """
+def _turns_of(messages: Column, is_text: bool) -> Column:
+    """The ``array<struct<role, content>>`` of a chat record; bad JSON, a bare object and list items that
+    are no objects are passed over."""
     if not is_text:
-        return _pair_of_turns(messages)
+        return messages
 
     def turns(parsed: Column) -> Column:
         is_list = F.schema_of_variant(parsed).startswith("ARRAY")
@@ -102,7 +99,31 @@ def messages_to_pair(messages: Column, is_text: bool = True) -> Column:
             ),
         )
 
-    return let(F.try_parse_json(messages), lambda v: _pair_of_turns(turns(v)))
+    return let(F.try_parse_json(messages), turns)
+
+
+def messages_to_pair(messages: Column, is_text: bool = True) -> Column:
+    """``struct<instruction, output>`` of one chat record, null if it holds no pair.
+
+    A text record is parsed as JSON; bad JSON, a bare object and list items that are no objects
+    are passed over rather than failing the row.
+    """
+    if not is_text:
+        return _pair_of_turns(messages)
+    return let(_turns_of(messages, is_text), _pair_of_turns)
+
+
+def message_parts_to_pair(
+    records: DataFrame, id_col: str, part: str, messages: str = "messages", is_text: bool = True
+) -> DataFrame:
+    """``id_col, instruction, output`` of chat records that come in several rows, in the order of ``part``.
+
+    The pair is that of the whole record, as :func:`messages_to_pair` finds it in one cell, but no
+    cell or task has to hold a whole record: each part is parsed where it lies.
+    """
+    turns = records.select(id_col, part, F.posexplode(_turns_of(F.col(f"`{messages}`"), is_text)).alias("_at", "_m"))
+    said = turns.select(id_col, F.struct(part, "_at").alias("_turn"), "_m.role", "_m.content")
+    return turns_to_pair(said, id_col, "_turn", "role", "content")
 
 
 def turns_to_pair(
@@ -205,13 +226,14 @@ def synthesize_qa(
 
 
 def to_instruction_output(
-    df: DataFrame, id_col: str, goal: str = "", lossless: bool = False
+    df: DataFrame, id_col: str, goal: str = "", lossless: bool = False, part: str | None = None
 ) -> tuple[DataFrame, dict[str, str], bool]:
     """Pairs by the first way that fits: chat records, two columns, or generated questions.
 
     Returns the pairs with ``id_col``, a ``chunk`` number and ``source``; which columns were
     used; and whether questions were generated. The only job run here looks for one chat record
-    that parses, and stops at the first.
+    that parses, and stops at the first. Where ``part`` names a column, a chat record is all the rows of
+    one id in its order, with the source of the first; the pairs are then written once.
     """
     if df.select(id_col).limit(1).count() == 0:
         raise ValueError("text dataset is empty")
@@ -222,12 +244,16 @@ def to_instruction_output(
     if "messages" in lower:
         name = lower["messages"]
         is_text = isinstance(df.schema[name].dataType, T.StringType)
-        pairs = df.select(
-            F.col(id_col),
-            F.lit(0).alias("chunk"),
-            messages_to_pair(F.col(f"`{name}`"), is_text).alias("pair"),
-            source.alias("source"),
-        ).where(F.col("pair").isNotNull())
+        if part is None:
+            paired = df.select(
+                F.col(id_col), messages_to_pair(F.col(f"`{name}`"), is_text).alias("pair"), source.alias("source")
+            ).where(F.col("pair").isNotNull())
+        else:
+            whole = message_parts_to_pair(df, id_col, part, name, is_text)
+            sources = df.groupBy(id_col).agg(F.min_by(source, part).alias("source"))
+            whole = whole.join(sources, id_col, "left") if "source" in lower else whole.withColumn("source", source)
+            paired = materialize(whole.select(id_col, F.struct("instruction", "output").alias("pair"), "source"), "record-pairs")
+        pairs = paired.withColumn("chunk", F.lit(0))
         if pairs.limit(1).count():
             out = pairs.select(id_col, "chunk", "pair.instruction", "pair.output", "source")
             return out, {"prompt": "messages", "response": "messages"}, False

@@ -369,23 +369,21 @@ def _turns(spark, sf):
 
 
 def chat_records(spark, sf):
-    """JSON chat records, as chat datasets come: a record holds 64 turns of a conversation at most."""
+    """JSON chat records, as chat datasets come, one per conversation; long ones in several parts."""
     listed = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     messages = F.transform(listed, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    record = F.expr("concat(conv_id, '-', turn div 64)").alias("record")
-    return table(spark, sf, "conversations").groupBy(record).agg(F.to_json(messages).alias("messages"))
+    keys = F.col("conv_id").alias("record"), F.expr("turn div 64").alias("part")
+    return table(spark, sf, "conversations").groupBy(*keys).agg(F.to_json(messages).alias("messages"))
 
 
 RECORD_PAIRS = f"""{SAID.replace('conv_id', 'record').replace('FROM conversations',
-    "FROM (SELECT conv_id || '-' || turn // 64 AS record, turn, role, text FROM conversations)")},
+    'FROM (SELECT conv_id AS record, turn, role, text FROM conversations)')},
 record_pairs AS (SELECT * FROM turn_pairs WHERE instruction IS NOT NULL AND output IS NOT NULL)"""
 
 
 @query("messages_to_pair", f"WITH {RECORD_PAIRS} SELECT * FROM record_pairs")
 def _messages(spark, sf):
-    pair = F.array_compact(F.array(C.messages_to_pair(F.col("messages"))))
-    paired = chat_records(spark, sf).select("record", F.explode(pair).alias("p"))
-    return paired.select("record", "p.instruction", "p.output")
+    return C.message_parts_to_pair(chat_records(spark, sf), "record", "part")
 
 
 @query(
@@ -393,7 +391,7 @@ def _messages(spark, sf):
     f"WITH {RECORD_PAIRS} SELECT record, 0 AS chunk, instruction, output, CAST(NULL AS VARCHAR) AS source FROM record_pairs",
 )
 def _to_pairs(spark, sf):
-    pairs, _, _ = C.to_instruction_output(materialize(chat_records(spark, sf), "chats"), "record")
+    pairs, _, _ = C.to_instruction_output(materialize(chat_records(spark, sf), "chats"), "record", part="part")
     return pairs
 
 

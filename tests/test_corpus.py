@@ -283,3 +283,19 @@ def test_prepare_without_an_id(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"instruction": "a", "output": ""}\n')
     with pytest.raises(ValueError, match="no instruction"):
         prepare_text_path(spark, str(tmp_path / "b.jsonl"))
+
+
+def _long_chats(spark, path):
+    turns = [(1, n, "system", "s") for n in range(200)]
+    turns[10], turns[60], turns[70] = (1, 10, "user", "a"), (1, 60, "User", "b"), (1, 70, "bot", "c")
+    turns += [(2, 0, "user", "q"), (2, 64, "assistant", "r"), (2, 65, "user", " "), (3, 0, "user", "alone")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+
+
+def test_pair_of_a_chat_in_parts(spark, tmp_path):
+    """The pair of a long chat is that of all its turns, wherever its parts begin."""
+    from quillmill.queries import QUERIES
+
+    _long_chats(spark, tmp_path)
+    got = {(r.record, r.instruction, r.output) for r in QUERIES["messages_to_pair"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "a\nb", "c"), (2, "q", "r")}
