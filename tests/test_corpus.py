@@ -299,3 +299,16 @@ def test_pair_of_a_chat_in_parts(spark, tmp_path):
     _long_chats(spark, tmp_path)
     got = {(r.record, r.instruction, r.output) for r in QUERIES["messages_to_pair"](spark, str(tmp_path)).collect()}
     assert got == {(1, "a\nb", "c"), (2, "q", "r")}
+
+
+def test_conversion_of_chats_in_parts(spark, tmp_path):
+    from quillmill.queries import QUERIES
+
+    _long_chats(spark, tmp_path)
+    got = {(r.record, r.instruction, r.output) for r in QUERIES["to_instruction_output"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "a\nb", "c"), (2, "q", "r")}
+    parts = [(7, 1, '[{"role": "user", "content": "y"}, 3, {"role": "bot", "content": "z"}]', "two"), (7, 0, '[{"role": "user", "content": "x"}]', "one"), (7, 2, "bad", None)]
+    df = spark.createDataFrame(parts, "id long, part long, messages string, source string")
+    pairs, used, made = C.to_instruction_output(df, "id", part="part")
+    assert [tuple(r) for r in pairs.collect()] == [(7, 0, "x\ny", "z", "one")]
+    assert used == {"prompt": "messages", "response": "messages"} and not made
