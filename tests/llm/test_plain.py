@@ -259,3 +259,35 @@ def test_mixing_without_ids(spark):
         assert abs(sum(r.taken for r in own) - source[1]) <= 1 and len({r.before for r in own}) > 20
     key = lambda r: (r.row, r.taken, r.before)
     assert sorted(map(key, first)) == sorted(map(key, mixing.plan_mix(docs).collect()))
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """Every row is in a pair, with copies too, and the cut is a quantile of all scores."""
+    good, bad = 45, 7
+    rows = [(i, 1, [float(i), 0.0]) for i in range(good)] + [(good + i, 0, [0.0, float(-i)]) for i in range(bad)]
+    table = spark.createDataFrame(rows, "l_id long, label int, x array<double>")
+    gaps = [tuple(r.gap) for r in quality.preference_pairs(table, good, bad).collect()]
+    each = -(-quality.PAIRS * bad // good)
+    assert len(set(gaps)) == len(gaps) == good * each
+    assert sorted(a for a, _ in gaps) == sorted([*range(good)] * each) and {b for _, b in gaps} == set(range(bad))
+    pick = random.Random(1)
+    picked = [pick.choice([0.5, -1.0, 2.0, 7.25]) for _ in range(50)] + [float(i) for i in range(30)]
+    values = spark.createDataFrame([(v,) for v in picked], "s double")
+    assert quality.values_at(values, "s", [0, 40, 55, 79]) == [sorted(picked)[r] for r in (0, 40, 55, 79)]
+
+
+def test_no_labelled_row_is_left_out(spark, monkeypatch):
+    """More rows of a label than a sample would hold are all weighed."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Some words "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 40 != 0).cast("int").alias("quality"))
+    seen, plain = {}, quality.common.staged
+
+    def counted(df, name, row=None):
+        out = plain(df, name, row)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(quality.common, "staged", counted)
+    quality.train(docs, labels)
+    assert seen["label-features"] == labels.where(~quality.held_out()).count() > 8_000
+    assert seen["preference-pairs"] >= seen["label-features"] - seen["label-0"]
