@@ -175,15 +175,23 @@ def read_zip_members(spark: SparkSession, path: str, suffixes: list[str] | None
 
 
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, rows, made = ["archive", "member", "path", "length"], [], None
     for member, blocks in _each_member(batches):
         files, place = opened(member["path"])
-        files.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        folder = place.rsplit("/", 1)[0]
+        if folder != made:
+            files.create_dir(folder, recursive=True)
+            made = folder
         # A task that runs again writes the same bytes again.
         with files.open_output_stream(place) as out:
             for block in blocks:
                 out.write(block)
-        names = ["archive", "member", "path", "length"]
-        yield pa.RecordBatch.from_pylist([{n: member[n] for n in names}])
+        rows.append({n: member[n] for n in names})
+        if len(rows) == 1_000:
+            yield pa.RecordBatch.from_pylist(rows)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows)
 
 
 def extract_zip(index: DataFrame, folder: str) -> DataFrame:

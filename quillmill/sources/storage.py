@@ -8,6 +8,7 @@ passes through the driver, and a file of any size is read in blocks.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from quillmill.operators.detect import suffix_of
 from quillmill.session import materialize
 
-#: Folders that a task lists in one round before it hands the rest on.
+#: Folders that a task lists in one round, at least those it was given, before it hands the rest on.
 FOLDERS_PER_TASK = 256
 #: Bytes of a block of a file that one task reads at a time.
 BLOCK_BYTES = 32 << 20
@@ -46,10 +47,11 @@ def _hidden(name: str) -> bool:
 
 def _list(folders_per_task: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = [path for batch in batches for path in batch.column(0).to_pylist()]
-        listed = 0
-        while waiting and listed < folders_per_task:
-            folder = waiting.pop()
+        waiting = deque(path for batch in batches for path in batch.column(0).to_pylist())
+        # All that it was given, so that the number of rounds follows the depth of the tree alone.
+        budget, listed = max(folders_per_task, len(waiting)), 0
+        while waiting and listed < budget:
+            folder = waiting.popleft()
             listed += 1
             files, place = opened(folder)
             rows = []
@@ -73,8 +75,8 @@ def _list(folders_per_task: int) -> Callable:
 def list_files(spark: SparkSession, root: str, folders_per_task: int = FOLDERS_PER_TASK) -> DataFrame:
     """``(path, length)`` of every file below ``root``; contents are not read.
 
-    Folders are listed in rounds: each task lists some and what lies below them, and hands the rest
-    on. Only their number comes to the driver. A store that Arrow cannot open, or a pattern, is
+    Folders are listed in rounds, not more than the tree has levels: each task lists those it is given,
+    also some below them if they are few, and hands the rest on. Only their number comes to the driver. A store that Arrow cannot open, or a pattern, is
     listed by Spark.
     """
     base = qualified(spark, root)

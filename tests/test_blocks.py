@@ -239,3 +239,15 @@ def test_one_json_list_is_many_tasks(spark, tmp_path):
     assert lines.select(F.spark_partition_id()).distinct().count() > 10
     got = readers.read_json_documents(spark, path, block_bytes=2_000)
     assert sorted(map(tuple, got.collect())) == [(r["id"], r["t"]) for r in rows]
+
+
+def test_rounds_of_a_listing(spark, tmp_path, monkeypatch):
+    """A wide tree takes as many rounds as it has levels, whatever its number of folders."""
+    for n in range(300):
+        (tmp_path / f"a{n}" / "b").mkdir(parents=True)
+        (tmp_path / f"a{n}" / "b" / "x.txt").write_text("x" * n)
+    rounds, plain = [], storage.materialize
+    monkeypatch.setattr(storage, "materialize", lambda df, name: rounds.append(name) or plain(df, name))
+    got = storage.list_files(spark, str(tmp_path), folders_per_task=2)
+    assert sorted(r.length for r in got.collect()) == list(range(300))
+    assert len(rounds) <= 3
