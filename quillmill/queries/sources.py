@@ -466,11 +466,14 @@ def _incremental(spark, sf):
 
 @query("first_arrivals", f"WITH {PAIRS} SELECT DISTINCT instruction, output FROM pairs")
 def _arrivals(spark, sf):
-    """The document table in several batches, and all of it once more behind them."""
+    """The document table in several batches, and all of it once more behind them.
+
+    A batch has as many files as the table has splits, so that no file grows with the table."""
     docs, folder = table(spark, sf, "documents"), scratch_path(spark, "arriving")
-    docs.repartition(3).write.parquet(folder)
-    docs.coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+    files = max(1, docs.rdd.getNumPartitions())
+    docs.repartition(3 * files).write.parquet(folder)
+    docs.repartition(files).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", str(files)).parquet(folder)
     out, ledger, marks = (scratch_path(spark, name) for name in ("arrived", "ledger", "marks"))
     pairs = arriving_pairs(stream.select("doc_id", "text", "source"), "doc_id")
     keep_first_arrivals(pairs, out, ledger, marks, ["instruction", "output"], ["doc_id", "chunk"])

@@ -1,5 +1,7 @@
 """Readers, image tables, sinks and streams on small hand-made files."""
 
+import glob
+import os
 import datetime as dt
 import json
 import random
@@ -264,3 +266,20 @@ def test_monitor_of_runs(spark, tmp_path, monkeypatch):
             assert found[name] == want[name], name
         for name in ("first_half", "second_half"):
             assert (found[name] is None) == (want[name] is None) and (want[name] is None or abs(found[name] - want[name]) < 1e-9)
+
+
+def test_arriving_files_follow_the_splits(spark, tmp_path):
+    """No file of the arriving documents, and so no task, has the whole table or a third of it."""
+    from quillmill.queries import QUERIES
+
+    docs = spark.range(1_200).select(F.col("id").alias("doc_id"), F.format_string("A text of some length, number %d. ", "id").alias("text"), F.lit("s").alias("source"))
+    docs.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        made = QUERIES["first_arrivals"](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert made.count() == made.distinct().count()
+    folder = max(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/arriving-*"), key=os.path.getmtime)
+    sizes = [r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 2_400 and max(sizes) <= 200
