@@ -1,16 +1,17 @@
 """The log monitor as a stateful stream: first events and the trend of every run that has ended.
 
-A run's state is its flags with their first messages, and its losses in blocks of line numbers. A
-batch touches only the blocks its lines fall into; the others stay in the state store. Whether the
-trend improves depends on the halves of the losses, and where the middle lies is known only when the
-run has ended, so that a timer asks then: sums of whole blocks lead to the block with the middle, and
-only that one is taken apart.
+A run's state is its flags with their first messages, and a list of its losses with their line numbers.
+A batch appends to the list and leaves what lies there in the state store, so that a batch and the end
+of a run take a few calls of the store each, however far apart a run's lines lie. Whether the trend
+improves depends on the halves of the losses in line order, and where the middle lies is known only when
+the run has ended: a timer then reads the list, sixteen bytes per loss.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from quillmill.operators.runs import line_signals
 from quillmill.streaming.jobs import run_available
 
-#: Line numbers of a block.
+#: Losses of an entry of the list, at most.
 BLOCK_LINES = 1_000
 REPORT = (
     "run_id long, oom_detected boolean, nan_loss_detected boolean, oom_event string, nan_event string,"
@@ -37,53 +38,45 @@ class RunMonitor(StatefulProcessor):
         self.handle = handle
         first = "oom_seq long, oom_head string, nan_seq long, nan_head string, until long"
         self.facts = handle.getValueState("facts", first)
-        self.blocks = handle.getMapState("blocks", "block long", "seqs array<long>, losses array<double>")
+        self.losses = handle.getListState("losses", "seqs array<long>, losses array<double>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = self.facts.get() if self.facts.exists() else (None, None, None, None, None)
-        oom, nan, until = list(kept[0:2]), list(kept[2:4]), kept[4]
+        oom, nan, before = list(kept[0:2]), list(kept[2:4]), kept[4]
+        until, entries = before, []
         for batch in rows:
+            seq, loss = batch["seq"].to_numpy(), batch["loss"].to_numpy(dtype=float)
             for found, hit in ((oom, "oom"), (nan, "nan")):
-                lines = batch[batch[hit]]
+                lines = np.flatnonzero(batch[hit].to_numpy(dtype=bool))
                 if len(lines):
-                    line = lines.loc[lines["seq"].idxmin()]
-                    if found[0] is None or line["seq"] < found[0]:
-                        found[:] = int(line["seq"]), str(line["head"])
+                    line = int(lines[seq[lines].argmin()])
+                    if found[0] is None or seq[line] < found[0]:
+                        found[:] = int(seq[line]), str(batch["head"].iloc[line])
             last = int(batch["ts_ms"].max()) + self.quiet_ms
             until = last if until is None else max(until, last)
-            lost = batch[batch["loss"].notna()]
-            for block, part in lost.groupby(lost["seq"] // BLOCK_LINES):
-                number = (int(block),)
-                seqs, losses = ([], [])
-                if self.blocks.containsKey(number):
-                    seqs, losses = (list(v) for v in self.blocks.getValue(number))
-                seqs += map(int, part["seq"])
-                losses += map(float, part["loss"])
-                self.blocks.updateValue(number, (seqs, losses))
+            lost = ~np.isnan(loss) & ~pd.isna(seq)
+            seq, loss = seq[lost].astype(np.int64), loss[lost]
+            for at in range(0, len(seq), BLOCK_LINES):
+                entries.append((seq[at : at + BLOCK_LINES].tolist(), loss[at : at + BLOCK_LINES].tolist()))
+        if entries:
+            self.losses.appendList(entries)
         # One timer per run: it moves with the last line.
-        for at in self.handle.listTimers():
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer(until)
-        self.facts.update((*oom, *nan, until))
+        if until != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(until)
+        if kept != (*oom, *nan, until):
+            self.facts.update((*oom, *nan, until))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         facts = self.facts.get()
-        numbers = sorted(key[0] for key in self.blocks.keys())
-        parts = {n: self.blocks.getValue((n,)) for n in numbers}
-        total = sum(len(losses) for _, losses in parts.values())
-        half, seen, first, second = total // 2, 0, 0.0, 0.0
-        for n in numbers:
-            seqs, losses = parts[n]
-            if seen + len(losses) <= half:
-                first += sum(losses)
-            elif seen >= half:
-                second += sum(losses)
-            else:
-                ordered = [loss for _, loss in sorted(zip(seqs, losses))]
-                first += sum(ordered[: half - seen])
-                second += sum(ordered[half - seen :])
-            seen += len(losses)
+        entries = [(np.array(s, np.int64), np.array(v, float)) for s, v in self.losses.get()]
+        seqs, losses = (np.concatenate([e[i] for e in entries] or [np.array([])]) for i in (0, 1))
+        losses = losses[np.lexsort((losses, seqs))]
+        total = len(losses)
+        half = total // 2
+        first, second = float(losses[:half].sum()), float(losses[half:].sum())
         means = (first / half if half else None, second / (total - half) if total else None)
         trend = None
         if total:
@@ -103,7 +96,7 @@ class RunMonitor(StatefulProcessor):
             "trend": trend,
         }
         self.facts.clear()
-        self.blocks.clear()
+        self.losses.clear()
         yield pd.DataFrame([row])
 
     def close(self) -> None:

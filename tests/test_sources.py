@@ -7,6 +7,7 @@ import json
 import random
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,28 @@ def test_arriving_files_follow_the_splits(spark, tmp_path):
     folder = max(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/arriving-*"), key=os.path.getmtime)
     sizes = [r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 2_400 and max(sizes) <= 200
+
+
+def test_monitor_calls_its_store_a_few_times():
+    """A run whose lines lie far apart costs no call of the state store per line."""
+    calls = []
+
+    class Store:
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                return False if name in ("exists", "containsKey") else iter([])
+
+            return call
+
+    class Handle(Store):
+        def getValueState(self, *_):
+            return Store()
+
+        getMapState = getListState = getValueState
+
+    processor = monitor.RunMonitor(1_000)
+    processor.init(Handle())
+    lines = {"seq": [n * 50_000 for n in range(60)], "oom": False, "nan": False, "loss": 1.0, "head": "x", "ts_ms": 5}
+    processor.handleInputRows((1,), iter([pd.DataFrame(lines)]), None)
+    assert len(calls) <= 6
