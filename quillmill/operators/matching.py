@@ -57,6 +57,25 @@ def _middles(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=pa.schema(fields))
 
 
+def deal_levels(held: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """The items of each bucket, and the levels that ask for one of them, in pieces of at most twice
+    ``width`` levels with all items of the bucket.
+
+    The middle items of most levels are close to each other, so a few buckets are asked by nearly all.
+    There are no more pieces than ``width`` goes into the levels, and one per bucket.
+    """
+    asked = asked.withColumn("slice", F.floor((F.col("n") - 1) / width).cast("long"))
+    counts = asked.groupBy("on", "bucket", "slice").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("on", "bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = counts.withColumn("piece", F.floor(F.coalesce(before, F.lit(0)) / width).cast("long")).drop("c")
+    last = pieces.groupBy("on", "bucket").agg(F.max("piece").alias("last"))
+    # A row per bucket that is asked: about the root of the catalog.
+    every = held.join(F.broadcast(last), ["on", "bucket"])
+    every = every.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    columns = ["on", "bucket", "piece", "n", "rank", "place"]
+    return every.select(*columns).unionByName(asked.join(pieces, ["on", "bucket", "slice"]).select(*columns))
+
+
 def level_answers(offers: DataFrame) -> DataFrame:
     """``on, need, largest, smallest, middle`` per requirement level of ``offers(on, id, need, size,
     position)``, by the rules of the small catalog."""
@@ -107,7 +126,8 @@ def level_answers(offers: DataFrame) -> DataFrame:
         F.col("q_on").alias("on"), F.col("q_bucket").alias("bucket"), F.col("upto").alias("n"), F.lit(None).cast("long").alias("rank"), "place"
     )
     held = placed.select("on", "bucket", F.col("n").cast("long").alias("n"), F.col("rank").cast("long").alias("rank"), F.lit(-1).cast("long").alias("place"))
-    middles = held.unionByName(asked).groupBy("on", "bucket").applyInArrow(_middles, "m_on string, m_upto long, m_rank long")
+    dealt = deal_levels(held, materialize(asked, "levels-asked"), width)
+    middles = dealt.groupBy("on", "bucket", "piece").applyInArrow(_middles, "m_on string, m_upto long, m_rank long")
     names = placed.select(F.col("on").alias("i_on"), F.col("rank").alias("i_rank"), F.col("by_size.id").alias("middle"))
     found = middles.join(names, (F.col("m_on") == F.col("i_on")) & (F.col("m_rank") == F.col("i_rank")))
     return extremes.join(found, (F.col("on") == F.col("m_on")) & (F.col("n") == F.col("m_upto"))).select(

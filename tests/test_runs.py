@@ -167,3 +167,18 @@ def test_catalog_rows(spark):
     )
     got = [(r.need, r.cpu_ok) for r in R.catalog_items(raw).orderBy("position").collect()]
     assert got == [(1.0, True), (16.0, True), (999.0, False)]
+
+
+def test_levels_of_a_bucket_are_dealt(spark):
+    """A bucket that all levels ask for is worked on in pieces; its items are in each of them."""
+    from quillmill.operators.matching import deal_levels
+
+    fields = "on string, bucket long, n long, rank long, place long"
+    held = spark.createDataFrame([("gpu", 3, n, n, -1) for n in range(1, 11)], fields)
+    asked = spark.createDataFrame([("gpu", 3, n, None, 0) for n in range(1, 201)], fields)
+    rows = deal_levels(held, asked, 10).collect()
+    pieces = {r.piece for r in rows}
+    assert sorted(r.n for r in rows if r.place == 0) == list(range(1, 201))
+    for piece in pieces:
+        mine = [r for r in rows if r.piece == piece]
+        assert len(mine) <= 30 and sum(r.place == -1 for r in mine) == 10
